@@ -1,9 +1,9 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code's four segments are four index tables. A query probes each table with its segment and all
-values within radius r of it, r growing from 0. Once every table was probed to radius r, any code
-not met differs by more than r on each segment, so by 4 (r + 1) bits at least; a query is done when its
-k-th verified distance is below that. A round probes only the values at exactly the new radius, and
+A code is cut into m segments of about log2(number of codes) bits, which are m index tables. A query
+probes each table with its segment and all values within radius r of it, r growing from 0. Once every table was
+probed to radius r, any code not met differs by more than r on each segment, so by m (r + 1) bits at least; a
+query is done when its k-th verified distance is below that. A round probes only the values at exactly the new radius, and
 only for queries that are not done.
 
 Equal codes are one index entry with their k + 1 smallest ids: no result needs more of them.
@@ -12,14 +12,13 @@ Equal codes are one index entry with their k + 1 smallest ids: no result needs m
 from __future__ import annotations
 
 from itertools import combinations
+from math import log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small, written
 
-M, BITS = 4, 16
-
 
 def sign_code(v: Column) -> Column:
     """The signs of a vector's first 64 parts as a long; bit i is set if part i is above 0. Missing parts are not."""
@@ -30,14 +29,20 @@ def sign_code(v: Column) -> Column:
     return code.cast("long")
 
 
-def masks(radius: int) -> list[int]:
-    """All values of a segment with that many bits set."""
-    return [sum(1 << b for b in c) for c in combinations(range(BITS), radius)]
+def masks(radius: int, width: int) -> list[int]:
+    """All values of a segment of that width with that many bits set."""
+    return [sum(1 << b for b in c) for c in combinations(range(width), radius)]
+
+
+def edges_of(n: int) -> list[int]:
+    """Where the segments of an index of n codes begin and end."""
+    m = max(2, min(16, round(64 / max(4.0, log2(max(2, n))))))
+    return [64 * i // m for i in range(m + 1)]
 
 
-def _segments(code: str) -> Column:
-    part = lambda j: F.shiftrightunsigned(F.col(code), BITS * j).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
-    return F.posexplode(F.array(*map(part, range(M)))).alias("seg", "value")
+def _segments(code: str, edges: list[int]) -> Column:
+    part = lambda a, b: F.shiftrightunsigned(F.col(code), a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long"))
+    return F.posexplode(F.array(*(part(a, b) for a, b in zip(edges, edges[1:], strict=False)))).alias("seg", "value")
 
 
 def top_k(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -51,14 +56,20 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     entries = items.withColumn("n", first).filter(F.col("n") <= k + 1).groupBy("code").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     entries = written(entries, "mih-entries")
     queries = written(queries.select("id", "code").filter("id IS NOT NULL AND code IS NOT NULL").distinct(), "mih-queries")
-    index = written(entries.select("code", _segments("code")), "mih-index")
+    edges = edges_of(entries.count())
+    widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]
+    index = written(entries.select("code", _segments("code", edges)), "mih-index")
     asked = queries.select(F.col("code").alias("q")).distinct()
     best = None  # q, code, distance: distinct codes met so far, the nearest k + 1 ids' worth
     done: list[DataFrame] = []
     open_ = written(asked, "mih-open")
-    for radius in range(BITS + 1):
-        probes = open_.select("q", _segments("q")).withColumn("mask", F.explode(F.array(*map(F.lit, masks(radius)))))
-        probes = probes.select("q", "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    for radius in range(max(widths) + 1):
+        by_width = {w: F.array(*(F.lit(x).cast("long") for x in masks(radius, w))).cast("array<bigint>") for w in sorted(set(widths))}
+        mask = by_width[min(widths)]
+        for w, values in by_width.items():
+            mask = F.when(F.col("seg").isin(*(k for k, x in enumerate(widths) if x == w)), values).otherwise(mask)
+        probes = open_.select("q", _segments("q", edges)).withColumn("mask", F.explode(mask))
+        probes = probes.select("q", "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value")).hint("merge")  # its size is not that of open_
         met = probes.join(index, ["seg", "value"]).select("q", "code").distinct().withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("long"))
         if best is not None:
             met = met.unionByName(best.join(small(open_), "q", "left_semi").drop("n_ids")).distinct()
@@ -66,9 +77,9 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         met = met.join(entries.select("code", F.size("ids").alias("n_ids")), "code")
         closer = F.coalesce(F.sum("n_ids").over(Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
         best = written(met.withColumn("closer", closer).filter(F.col("closer") <= k).drop("closer"), "mih-best")
-        covered = M * (radius + 1) - 1
+        covered = len(widths) * (radius + 1) - 1
         sure = best.filter(F.col("distance") <= covered).groupBy("q").agg(F.sum("n_ids").alias("n")).filter(F.col("n") > k).select("q")
-        if radius == BITS:
+        if radius == max(widths):
             sure = open_
         sure = written(sure, "mih-done")
         done.append(best.join(small(sure), "q", "left_semi"))
