@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..plans.storage import written
+from .ids import consecutive
 
 
 def fuse(vectors: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -137,7 +138,7 @@ def relabel(labels: DataFrame) -> DataFrame:
     """id, cluster: 0.. in the order of each label's smallest id; a null label (noise) is a cluster of its own."""
     own = F.coalesce(F.col("label").cast("string"), F.concat(F.lit("noise "), F.col("id").cast("string")))
     first = labels.withColumn("g", own).groupBy("g").agg(F.min("id").alias("first"))
-    ranked = first.withColumn("cluster", F.row_number().over(Window.orderBy("first")).cast("long") - 1)
+    ranked = consecutive(first, ["first"], "cluster")
     return labels.withColumn("g", own).join(ranked, "g").select("id", "cluster")
 
 

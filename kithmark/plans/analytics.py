@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cron
 from ..functions import scalar as S
 from ..operators import crossref, dedupe, graph, library, review
+from ..operators.ids import consecutive
 from .library import STATE
 from .registry import query
 from .standins import Tables
@@ -731,9 +732,8 @@ def fn_merge_order(t):
 
 @query("SELECT id, (row_number() OVER (ORDER BY id) - 1) // 100 AS batch FROM photos WHERE deleted = 0 AND id % 3 = 0")
 def mut_dedupe_delete(t):
-    """Batches of 100 for deletion; the few hundred ids of a run are ranked together."""
-    at = F.row_number().over(Window.orderBy("id")) - 1
-    return library.live(t.photos).filter("id % 3 = 0").select("id", F.floor(at / 100).cast("long").alias("batch"))
+    """Batches of 100 for deletion, in order of the ids."""
+    return consecutive(library.live(t.photos).filter("id % 3 = 0").select("id"), ["id"], "at").select("id", F.floor(F.col("at") / 100).cast("long").alias("batch"))
 
 
 @query("SELECT item_id, CASE WHEN kind = 'merge' AND status = 'pending' AND trim(json_extract_string(payload_json, '$.person_b.name')) <> '' THEN 'merge_named' ELSE kind END AS kind FROM queue")
