@@ -29,7 +29,7 @@ def boilerplate_lines(pages: DataFrame, page: str, host: str, text: str, ratio:
     rows = rows.select("id", "host", "pos", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b")).alias("k"))
     totals = pages.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("pages"))
     # One row for each page and line: pages are whole in a task, so this needs no shuffle of its own.
-    once = pages.select(F.col(page).alias("id"), F.col(host).alias("host"), F.explode(F.array_distinct(F.filter(F.transform(lines, F.trim), lambda x: x != ""))).alias("line"))
+    once = pages.select(F.col(page).alias("id"), F.col(host).alias("host"), F.explode(F.array_distinct(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""))).alias("line"))
     once = once.select("host", "id", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b")).alias("k"))
     counts = once.groupBy("host", "k").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
     found = counts.alias("c").join(small(written(totals, "line-hosts")).alias("t"), F.col("c.host").eqNullSafe(F.col("t.host"))).filter(F.col("n") > ratio * F.col("pages"))
