@@ -413,7 +413,7 @@ def test_spans_cover_the_original_bytes(codec):
             piece, _, kind = codec.pieces[i]
             assert a <= at <= b or kind == piece_codec.BYTE
             if kind == piece_codec.NORMAL:
-                assert raw[a:b].decode() in (piece.replace("▁", " "), piece.replace("▁", " ")[1:], piece)
+                assert raw[a:b].decode() in (piece.replace("▁", " "), piece.replace("▁", " ")[1:], piece, piece[1:])  # the first mark may be the dummy
             at = max(at, b)
         assert at == len(raw)
 
