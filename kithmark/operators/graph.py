@@ -142,15 +142,17 @@ def relabel(labels: DataFrame) -> DataFrame:
     return labels.withColumn("g", own).join(ranked, "g").select("id", "cluster")
 
 
-def hdbscan(ids: DataFrame, near: DataFrame, min_cluster_size: int = 2, min_samples: int = 1) -> DataFrame:
+def hdbscan(ids: DataFrame, near: DataFrame, min_cluster_size: int = 2, min_samples: int | None = None) -> DataFrame:
     """id, label (null: noise): density clusters of the mutual neighbour graph, one component in a task.
 
-    In a component: mutual reachability, its spanning tree, the condensed tree, and the most stable clusters.
+    In a component: mutual reachability, its spanning tree, the condensed tree, and the most stable clusters. The whole
+    component is never a cluster of itself: one that doesn't split, or is too small, is noise.
     """
     edges = mutual_edges(near)
     parts = components(edges)
     rows = edges.join(parts, edges["src"] == parts["id"]).select("component", "src", "dst", "distance")
     mcs = max(2, min_cluster_size)
+    samples = min_samples or mcs
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = np.unique(np.concatenate((pdf["src"], pdf["dst"])))
@@ -161,7 +163,7 @@ def hdbscan(ids: DataFrame, near: DataFrame, min_cluster_size: int = 2, min_samp
         core = np.full(n, np.inf)
         for x in range(n):
             own = np.sort(d[(a == x) | (b == x)])
-            core[x] = own[min(min_samples, len(own)) - 1]
+            core[x] = own[min(samples, len(own)) - 1]
         reach = np.maximum(d, np.maximum(core[a], core[b]))
         parent, size = list(range(2 * n)), [1] * n + [0] * n
         kids: dict[int, tuple[int, int, float]] = {}
@@ -216,9 +218,9 @@ def hdbscan(ids: DataFrame, near: DataFrame, min_cluster_size: int = 2, min_samp
         pick = [True] * len(clusters)
         for c in range(len(clusters) - 1, -1, -1):
             below = sum(best[k] for k in clusters[c]["kids"])
-            if clusters[c]["kids"] and (below > best[c] or c == 0):
+            if c == 0 or clusters[c]["kids"] and below > best[c]:
                 pick[c], best[c] = False, below
-        todo, at = [0], 0
+        todo = [0]
         while todo:
             c = todo.pop()
             if pick[c]:

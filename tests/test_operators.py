@@ -73,8 +73,14 @@ def test_clusters_of_three_blobs(spark):
         assert len(set(got.values())) == n
     sync = graph.spread_labels(x, graph.threshold_edges(near, 0.5), 10).collect()
     assert all(r.label // 15 == r.id // 15 for r in sync)
-    dense = graph.hdbscan(x, near, 5).collect()
-    assert len({r.label for r in dense if r.label is not None}) == 3 and all(r.label is None or r.label // 15 == r.id // 15 for r in dense)
+
+
+def test_dense_groups_of_one_component(spark):
+    """Three cliques in a chain are three clusters; a clique by itself doesn't split, so it is noise, as are ids without edges."""
+    near = [(i, j, 0.9 - abs(i - j) / 1000) for base in (0, 6, 12, 30) for i in range(base, base + 6) for j in range(base, base + 6) if i != j]
+    near += [(a, b, 0.2) for x, y in ((5, 6), (11, 12)) for a, b in ((x, y), (y, x))] + [(50, 0, 0.9)]
+    got = graph.hdbscan(spark.createDataFrame([(i,) for i in [*range(18), *range(30, 36), 50]], "id long"), spark.createDataFrame(near, "src long, dst long, similarity double"), 3)
+    assert {r.id: r.label for r in got.collect()} == {i: i // 6 * 6 for i in range(18)} | dict.fromkeys([*range(30, 36), 50])
 
 
 def test_components_of_a_long_chain(spark):
