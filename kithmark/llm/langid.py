@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import UNIT, unit_hash, written
 
 BINS = 1 << 16
 #: Documents of each language that fit the models, at most, and languages learned, at most (the most frequent).
@@ -51,9 +51,14 @@ def learn(docs: DataFrame, fit_docs: int = FIT_DOCS, languages: int = LANGUAGES)
     ``fit_docs`` rows that come first by a hash of their id are counted, whole.
     """
     known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(~held_out())
-    common = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.filter(F.col("lang").isin(common)).select("doc_id", "lang").withColumn("n", order).filter(F.col("n") <= fit_docs).select("doc_id").distinct()
+    common = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    # Hashes below a language's bound leave it about four times as many rows as it needs, so few are ranked.
+    place, bound = unit_hash(F.col("doc_id").cast("string")), F.lit(None).cast("double")
+    for lang, n in common.items():
+        bound = F.when(F.col("lang") == lang, 4.0 * fit_docs / n * UNIT).otherwise(bound)
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    few = known.select("doc_id", "lang", place.alias("place"), bound.alias("bound")).filter("place < bound")
+    ids = few.withColumn("n", order).filter(F.col("n") <= fit_docs).select("doc_id").distinct()
     ids = written(ids, "langid-sample")  # at most languages x fit_docs rows
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
