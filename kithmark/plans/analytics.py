@@ -619,10 +619,10 @@ def mut_upsert_items(t):
 NEW_PERSONS = "n AS (SELECT space, id + 100 AS id, 'renamed' AS name, item_count, show FROM persons)"
 
 
-@query(f"WITH {NEW_PERSONS} SELECT coalesce(p.space, n.space) AS space, coalesce(p.id, n.id) AS id, CASE WHEN n.id IS NULL THEN p.name ELSE n.name END AS name, CASE WHEN n.id IS NULL THEN p.show ELSE n.show END AS show, CASE WHEN n.id IS NULL THEN p.deleted ELSE CAST(0 AS BIGINT) END AS deleted FROM persons p FULL JOIN n ON p.space = n.space AND p.id = n.id")
+@query(f"WITH {NEW_PERSONS} SELECT coalesce(p.space, n.space) AS space, coalesce(p.id, n.id) AS id, CASE WHEN n.id IS NULL THEN p.name ELSE n.name END AS name, CASE WHEN n.id IS NULL THEN p.show ELSE n.show END AS shown, CASE WHEN n.id IS NULL THEN p.deleted ELSE CAST(0 AS BIGINT) END AS deleted FROM persons p FULL JOIN n ON p.space = n.space AND p.id = n.id")
 def mut_upsert_persons(t):
     new = t.persons.select("space", (F.col("id") + 100).alias("id"), F.lit("renamed").alias("name"), "item_count", "show")
-    return library.upsert(t.persons, new, ["space", "id"], ["name", "item_count", "show"], deleted=F.lit(0).cast("long")).select("space", "id", "name", "show", "deleted")
+    return library.upsert(t.persons, new, ["space", "id"], ["name", "item_count", "show"], deleted=F.lit(0).cast("long")).select("space", "id", "name", F.col("show").alias("shown"), "deleted")
 
 
 TAGS = "n AS (SELECT space, person_id + 1 AS person_id, photo_id FROM person_photos WHERE photo_id % 3 = 0)"
@@ -634,7 +634,7 @@ def mut_replace_tags(t):
     return library.replace_groups(t.person_photos, new, ["space", "photo_id"])
 
 
-@query("WITH n AS (SELECT space, syno_face_id + 5 AS syno_face_id, photo_id FROM syno_faces WHERE photo_id > 500 AND photo_id % 2 = 0) SELECT space, syno_face_id, photo_id FROM syno_faces WHERE NOT (photo_id > 500 AND photo_id % 2 = 0) UNION ALL SELECT * FROM n")
+@query("WITH n AS (SELECT space, syno_face_id + 5 AS syno_face_id, photo_id FROM syno_faces WHERE photo_id > 500 AND photo_id % 2 = 0) SELECT space, syno_face_id, photo_id FROM syno_faces WHERE NOT (photo_id > 500 AND photo_id % 2 = 0) UNION ALL SELECT DISTINCT * FROM n")
 def mut_sync_faces(t):
     """Faces of the photos beyond the cursor are replaced; those before it wait for the next pass."""
     old = t.syno_faces.select("space", "syno_face_id", "photo_id")
@@ -741,10 +741,10 @@ def mut_migrate_5(t):
     return review.split_named(t.queue).select("item_id", "kind")
 
 
-@query("SELECT id, CASE WHEN deleted = 0 AND trim(coalesce(name, '')) = '' AND id % 2 = 0 THEN 'N' ELSE name END AS name, CASE WHEN id % 10 = 3 THEN CAST(0 AS BIGINT) ELSE show END AS show FROM persons")
+@query("SELECT id, CASE WHEN deleted = 0 AND trim(coalesce(name, '')) = '' AND id % 2 = 0 THEN 'N' ELSE name END AS name, CASE WHEN id % 10 = 3 THEN CAST(0 AS BIGINT) ELSE persons.show END AS shown FROM persons")
 def mut_quickmerge(t):
     free = (F.col("deleted") == 0) & S.blank(F.col("name")) & (F.col("id") % 2 == 0)
-    return t.persons.select("id", F.when(free, "N").otherwise(F.col("name")).alias("name"), F.when(F.col("id") % 10 == 3, 0).otherwise(F.col("show")).cast("long").alias("show"))
+    return t.persons.select("id", F.when(free, "N").otherwise(F.col("name")).alias("name"), F.when(F.col("id") % 10 == 3, 0).otherwise(F.col("show")).cast("long").alias("shown"))
 
 
 @query("SELECT space, id, deleted FROM photos WHERE space <> 'de'")
