@@ -616,7 +616,7 @@ def mut_upsert_items(t):
     return got.select("space", "id", "filename", "cache_key", "deleted", "sha256", "hash_cache_key")
 
 
-NEW_PERSONS = "n AS (SELECT space, id + 100 AS id, 'renamed' AS name, item_count, show FROM persons)"
+NEW_PERSONS = "n AS (SELECT space, id + 100 AS id, 'renamed' AS name, item_count, persons.show AS show FROM persons)"
 
 
 @query(f"WITH {NEW_PERSONS} SELECT coalesce(p.space, n.space) AS space, coalesce(p.id, n.id) AS id, CASE WHEN n.id IS NULL THEN p.name ELSE n.name END AS name, CASE WHEN n.id IS NULL THEN p.show ELSE n.show END AS shown, CASE WHEN n.id IS NULL THEN p.deleted ELSE CAST(0 AS BIGINT) END AS deleted FROM persons p FULL JOIN n ON p.space = n.space AND p.id = n.id")
