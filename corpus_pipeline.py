@@ -15,8 +15,8 @@ from kithmark.llm.common import written
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; those without letters go."""
-    found = langid.predict(docs, langid.learn(docs), keep=docs.columns)
-    return found.filter(found["lang_pred"] != langid.UND).select(*docs.columns)
+    found = langid.predict(docs, langid.learn(docs), whole=True)
+    return found.filter(found["lang_pred"] != langid.UND).select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,24 +125,24 @@ def infer(h: np.ndarray, logs: np.ndarray, penalty: float = PENALTY) -> np.ndarr
     return out
 
 
-PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, languages string"
+PREDICTED = "held_out boolean, lang_pred string, score double, languages string"
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], whole: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score, languages (name:proportion, largest first).
 
     score is the proportion of lang_pred. Null text, text without letters, and any text if no language
-    was learned are "und" with score 0 and no languages; ties go to the first name. Whole texts are read. With keep, those
-    columns of docs come along, named as they are, instead of doc_id.
+    was learned are "und" with score 0 and no languages; ties go to the first name. Whole texts are read. If `whole`, all
+    columns of docs come along as a struct named row instead of doc_id, so their names can't clash.
     """
     names, held = model[0], docs.sparkSession.sparkContext.broadcast(model)
-    columns = keep or ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = held.value[1]
         for batch in batches:
             lang, score, mix = [], [], []
-            for text in batch.column("_text").to_pylist():
+            texts = batch.column("row").field("text") if whole else batch.column("text")
+            for text in texts.to_pylist():
                 h = trigrams(text) if text and names else None
                 if h is None:
                     lang.append(UND), score.append(0.0), mix.append("")
@@ -152,12 +152,14 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
                 lang.append(names[order[0]])
                 score.append(float(min(1.0, w[order[0]])))
                 mix.append(",".join(f"{names[k]}:{w[k]:.3f}" for k in order if w[k] > 0))
-            kept = [batch.column(c) for c in [*columns, "_held_out"]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.string())], names=[*columns, "held_out", "lang_pred", "score", "languages"])
-
-    ready = docs.select(*columns, F.col("text").alias("_text"), held_out().alias("_held_out"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields)
-    return ready.mapInArrow(run, f"{schema}, held_out boolean, lang_pred string, score double, languages string")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.string())], names=[batch.schema.names[0], "held_out", "lang_pred", "score", "languages"])
+
+    if whole:
+        ready = docs.select(F.struct(*docs.columns).alias("row"), held_out().alias("held_out"))
+    else:
+        ready = docs.select("doc_id", held_out().alias("held_out"), "text")
+    first = ready.schema.fields[0]
+    return ready.mapInArrow(run, f"{first.name} {first.dataType.simpleString()}, {PREDICTED}")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

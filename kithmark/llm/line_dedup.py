@@ -41,21 +41,22 @@ def drop_boilerplate(pages: DataFrame, page: str = "doc_id", host: str = "source
 
     Lines end at \\n and compare by what is left after trimming spaces; blank lines stay. Null text
     stays null and has no lines; text that is all boilerplate becomes empty. A null host is one host. Rows that
-    repeat a page id or lack one count as pages and are cleaned by their own lines. Other columns stay; they may
-    not be called n_lines or n_dropped. An empty table gives no rows.
+    repeat a page id or lack one count as pages and are cleaned by their own lines. Other columns stay; ones named
+    n_lines or n_dropped give way to these. An empty table gives no rows.
     """
-    keyed = pages.withColumn("_row", F.xxhash64(F.col(page), F.col(host), F.col(text)))  # equal rows have equal lines
-    rows, found = boilerplate_lines(keyed, "_row", host, text, ratio, support)
-    hits = rows.alias("r").join(small(found).alias("f"), F.col("r.host").eqNullSafe(F.col("f.host")) & (F.col("r.k") == F.col("f.k"))).select(F.col("r.id").alias("_row"), "r.pos")
-    bad = hits.groupBy("_row").agg(F.collect_set("pos").alias("_bad"))
-    got = keyed.join(bad, "_row", "left").withColumn("_lines", F.split(F.col(text), "\n", -1))
+    row = F.struct(*pages.columns)
+    keyed = pages.select(row.alias("row"), F.col(host).alias("host"), F.col(text).alias("text"), F.xxhash64(F.col(page), F.col(host), F.col(text)).alias("id"))  # equal rows have equal lines
+    rows, found = boilerplate_lines(keyed, "id", "host", "text", ratio, support)
+    hits = rows.alias("r").join(small(found).alias("f"), F.col("r.host").eqNullSafe(F.col("f.host")) & (F.col("r.k") == F.col("f.k"))).select("r.id", "r.pos")
+    bad = hits.groupBy("id").agg(F.collect_set("pos").alias("bad"))
+    got = keyed.select("row", "id").join(bad, "id", "left").withColumn("lines", F.split(F.col(f"row.{text}"), "\n", -1))
     none = F.array().cast("array<int>")
-    kept = F.filter("_lines", lambda x, i: ~F.array_contains(F.coalesce("_bad", none), i))
-    n = F.coalesce(F.size("_lines"), F.lit(0))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(n).cast("long")
-    clean = F.when(F.col("_bad").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    dropped = F.coalesce(F.size("_bad"), F.lit(0))
-    return got.select(*[clean.alias(c) if c == text else F.col(c) for c in pages.columns], n_lines.alias("n_lines"), F.when(F.col("_bad").isNull(), 0).otherwise(dropped).cast("long").alias("n_dropped"))
+    kept = F.filter("lines", lambda x, i: ~F.array_contains(F.coalesce("bad", none), i))
+    clean = F.when(F.col("bad").isNull(), F.col(f"row.{text}")).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    n_dropped = F.when(F.col("bad").isNull(), 0).otherwise(F.size("bad")).cast("long")
+    other = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    return got.select(*[clean.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in other], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ from .common import UNIT, small, unit_hash, written
 WEIGHTS = (5, 2, 1)
 #: No source is taken more often than this.
 MAX_LAPS = 3
+#: Words of an output shard, some 25 MB of text.
+SHARD_WORDS = 4_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -105,9 +107,17 @@ def split(node: DataFrame, shards: int, seed: int) -> DataFrame:
         halves = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("low"), F.col("left").alias("quotas")), F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("low") + width // 2).alias("low"), right.alias("quotas")))
         node = node.select("all", F.explode(halves).alias("h")).select("all", "h.*")
         width //= 2
+        if shards // width == 256:
+            node = node.repartition("node")  # from here on the nodes split in many tasks
     return node.select(F.col("low").alias("shard"), "quotas")
 
 
+def shards_for(rows: DataFrame) -> int:
+    """A power of two of output shards: of about SHARD_WORDS words each, at least 64."""
+    words = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    return 1 << max(6, (words // SHARD_WORDS).bit_length())
+
+
 def mix_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_LAPS, shards: int = 64, seed: int = 7, block_words: int = 200_000, block_rows: int = 20_000) -> DataFrame:
     """One row per source of sized rows: its target, laps, blocks, where the last lap ends, and which shard has which of its draws."""
     by = targets(rows, weights, most)
@@ -145,7 +155,10 @@ def _block() -> Column:
 
 def assign(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows (sized) with source_size, target and draws: an array of (lap, shard), one for each time the mix takes the document."""
-    p = small(plan.select(F.col("source").alias("plan_source"), "source_size", "target", "laps", "blocks", "cut", "last_block", "ends"))
+    shards = F.size("ends")
+    p = plan.select(F.col("source").alias("plan_source"), "source_size", "target", "laps", "blocks", "cut", "last_block", "ends")
+    # A row has a bound for each shard: broadcast up to 2,000,000 of them.
+    p = small(p, max(1, 2_000_000 // (plan.agg(F.max(shards)).first()[0] or 1)))
     got = rows.join(p, F.col("source").eqNullSafe(F.col("plan_source")))
     block = _block()
     before_cut = F.col("cut").isNotNull() & ((F.col("place") < F.col("cut.place")) | ((F.col("place") == F.col("cut.place")) & (F.coalesce("doc_id", F.lit(-(1 << 62))) <= F.coalesce("cut.doc_id", F.lit(-(1 << 62))))))
@@ -156,25 +169,26 @@ def assign(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return got.select(*[rows[c] for c in rows.columns], "source_size", "target", draws.alias("draws"))
 
 
-def mix(docs: DataFrame, shards: int = 64, seed: int = 7, **options) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, seed: int = 7, **options) -> DataFrame:
     """The mix itself: a row of docs as often as it is drawn, dealt into shards and shuffled inside each.
 
     Null or empty texts have size 0: they follow their place, and count no words. Null sources
-    are one source, last. Repeated rows each count. An empty table gives an empty mix. Columns
-    of docs are kept as they are; they may not be called size, place, draws, source_size or target.
+    are one source, last. Repeated rows each count. An empty table gives an empty mix. All columns
+    of docs are kept as they are, whatever their names.
     """
-    rows = sized(docs, seed)
-    stats = written(rows.select("doc_id", "source", "size", "place"), "mix-sized")
-    drawn = assign(rows, mix_plan(stats, shards=shards, seed=seed, **options)).select(*docs.columns, "place", F.explode("draws").alias("draw"))
+    rows = sized(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text"), seed).drop("text")
+    stats = written(rows.drop("row"), "mix-sized")
+    shards = shards or shards_for(stats)
+    drawn = assign(rows, mix_plan(stats, shards=shards, seed=seed, **options)).select("row", "place", F.explode("draws").alias("draw"))
     order = unit_hash(F.lit(f"{seed} order"), F.col("place").cast("string"), F.col("draw.lap").cast("string"))
     drawn = drawn.withColumns({"shard": F.col("draw.shard"), "turn": order}).repartition(shards, "shard").sortWithinPartitions("shard", "turn")
-    return drawn.select(*docs.columns)
+    return drawn.select("row.*")
 
 
-def mixed_words(docs: DataFrame, shards: int = 64, seed: int = 7) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken (words, repeats counted) and n_draws."""
+def mixed_words(docs: DataFrame, shards: int | None = None, seed: int = 7) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken (words, repeats counted)."""
     rows = written(sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix-sized")
-    got = assign(rows, mix_plan(rows, shards=shards, seed=seed))
+    got = assign(rows, mix_plan(rows, shards=shards or shards_for(rows), seed=seed))
     return got.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.size("draws") * F.col("size")).cast("long").alias("taken"))
 
 

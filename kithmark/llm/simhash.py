@@ -250,6 +250,13 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = 4) -> DataFrame:
-    """The rows of docs that name their component, and of those that repeat an id one; null ids stay."""
-    found = near_groups(docs, words).filter("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs whose doc_id is their component's; of rows that repeat such an id one. Rows without an id stay.
+
+    doc_id names a document: rows that share one are taken to be the same.
+    """
+    found = written(near_groups(docs, words).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("copy"), F.count("*").alias("n")).filter("copy OR n > 1"), "simhash-copies")
+    kept = docs.join(found.filter("copy").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    again = found.filter("NOT copy").select("doc_id")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))

@@ -17,7 +17,7 @@ from kithmark.llm import chat, exact_dedup, langid, line_dedup, mih, mixing, pie
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, shard int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, n_lines int"
 #: Nulls in every column, empty and long texts, ties, repeated rows, and columns whose names operators use inside.
 ODD = [
     (1, "Alpha beta gamma\nsame line\nend", "en", "a", 1, 1, 1), (2, "ALPHA beta gamma\nsame line\nend", "en", "a", 1, 1, 1), (2, "ALPHA beta gamma\nsame line\nend", "en", "a", 1, 1, 1),
@@ -143,7 +143,8 @@ def test_mix_takes_targets_and_agrees_with_its_report(spark, sf):
 def test_mix_of_odd_rows(odd, none):
     got = mixing.mixed_words(odd, shards=4).collect()
     assert len(got) == len(ODD) and all(0 <= r.taken <= 3 * r.size for r in got)
-    assert mixing.mix(odd, shards=4).columns == odd.columns
+    mixed = mixing.mix(odd, shards=4)
+    assert mixed.columns == odd.columns and {tuple(r) for r in mixed.collect()} <= set(ODD)
     assert mixing.mixed_words(none, shards=4).count() == 0 and mixing.mix(none, shards=4).count() == 0
 
 
@@ -272,6 +273,8 @@ def test_near_groups_of_odd_rows(odd, none):
     assert simhash.near_groups(none).count() == 0
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns and simhash.one_of_each(none).count() == 0
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == sorted({r.component_id for r in got}) and ids.count(None) == 2
 
 
 # ---- WARC ----------------------------------------------------------------------------------
