@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .ids import running_sum
 
 
 def live(df: DataFrame) -> DataFrame:
@@ -116,9 +117,8 @@ def best_crops(faces: DataFrame, group: str, n: int = 3) -> DataFrame:
 
 def evict(files: DataFrame, budget: int) -> DataFrame:
     """Files to delete, least recently used first, until the rest fits the budget."""
-    order = Window.orderBy("atime", "id").rowsBetween(Window.unboundedPreceding, -1)
-    total = files.agg(F.sum("bytes").alias("total"))
-    got = files.withColumn("before", F.coalesce(F.sum("bytes").over(order), F.lit(0))).crossJoin(F.broadcast(total))
+    total = files.agg(F.sum("bytes").alias("total"))  # one row
+    got = running_sum(files, ["atime", "id"], "bytes").crossJoin(F.broadcast(total))
     return got.filter(F.col("total") - F.col("before") > budget).select("id", "bytes")
 
 
