@@ -2,7 +2,7 @@
 
 A 64-bit fingerprint is cut into three segments. Two fingerprints within 4 bits agree to within
 one bit on at least one segment, so a vantage-point tree for each segment, searched with radius 1,
-finds every pair. A tree's inner node holds a vantage point v and a radius: points within the
+finds every pair (and every pair within 5 bits, which leave one bit to the closest of three segments as well). A tree's inner node holds a vantage point v and a radius: points within the
 radius of v go left. A search of radius r about q skips the left branch if d(q, v) - r is above the
 radius and the right branch if d(q, v) + r is not, by the triangle inequality; where neither holds the
 query crosses the boundary and visits both. Each leaf is a shard: it has its own fingerprints and those
@@ -128,12 +128,12 @@ def components_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _links(own: np.ndarray, other: np.ndarray, own_at: np.ndarray, other_at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links between own and other points within RADIUS, tile by tile; of a dense tile enough to join the same points."""
+def _links(own: np.ndarray, other: np.ndarray, own_at: np.ndarray, other_at: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between own and other points within the radius, tile by tile; of a dense tile enough to join the same points."""
     for i in range(0, len(own), 512):
         x = own[i : i + 512]
         for j in range(0, len(other), 4096):
-            near = np.bitwise_count(x[:, None] ^ other[None, j : j + 4096]) <= RADIUS
+            near = np.bitwise_count(x[:, None] ^ other[None, j : j + 4096]) <= radius
             if near.sum() <= 8 * sum(near.shape):
                 a, b = np.nonzero(near)
             else:  # least row of each column, least row of each row's columns, until nothing changes
@@ -152,23 +152,30 @@ def _links(own: np.ndarray, other: np.ndarray, own_at: np.ndarray, other_at: np.
             yield own_at[i + a], other_at[j + b]
 
 
-def shard_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Spanning links of one shard block. Columns: shard, block, fp, rep, own."""
-    pdf = pdf.sort_values("rep", kind="stable")
-    fp, rep = pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy()
-    at = np.arange(len(fp))
-    mine = pdf["own"].to_numpy()
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for x, y in _links(fp[mine], fp, at[mine], at):
-        a.append(x)
-        b.append(y)
-    label = components_of(len(fp), np.concatenate(a), np.concatenate(b))
-    moved = label != at
-    return pd.DataFrame({"a": rep[moved], "b": rep[label[moved]]})
+def shard_linker(radius: int):
+    """A function from one shard block (shard, block, fp, rep, own) to its spanning links."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep", kind="stable")
+        fp, rep = pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy()
+        at = np.arange(len(fp))
+        mine = pdf["own"].to_numpy()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, y in _links(fp[mine], fp, at[mine], at, radius):
+            a.append(x)
+            b.append(y)
+        label = components_of(len(fp), np.concatenate(a), np.concatenate(b))
+        moved = label != at
+        return pd.DataFrame({"a": rep[moved], "b": rep[label[moved]]})
 
-def near_links(nodes: DataFrame, leaf_size: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """a, b: links that join the same nodes as all pairs within RADIUS do. nodes: rep (long), fp, each fp once.
+    return run
+
+
+shard_links = shard_linker(RADIUS)
+
+
+def near_links(nodes: DataFrame, leaf_size: int = LEAF, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
+    """a, b: links that join the same nodes as all pairs within the radius do. nodes: rep (long), fp, each fp once.
 
     A leaf should own leaf_size nodes; one that owns more than `block` is compared in blocks.
     """
@@ -178,7 +185,7 @@ def near_links(nodes: DataFrame, leaf_size: int = LEAF, block: int = BLOCK) -> D
     sample = [r.fp for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(SAMPLE, 64 << depth)).collect()]
     sample = np.array(sample, np.int64).view(np.uint64)
     trees = spark.sparkContext.broadcast([Tree(segment(sample, k), depth) for k in range(len(SEGMENTS))])
-    reach = RADIUS // len(SEGMENTS)
+    reach = radius // len(SEGMENTS)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each node's own leaf, and those that its ball meets, in every tree."""
@@ -195,7 +202,7 @@ def near_links(nodes: DataFrame, leaf_size: int = LEAF, block: int = BLOCK) -> D
 
     placed = nodes.select("rep", "fp").mapInArrow(place, "shard long, fp long, rep long, own boolean")
     if n <= block:
-        return placed.withColumn("block", F.lit(0)).groupBy("shard", "block").applyInPandas(shard_links, "a long, b long")
+        return placed.withColumn("block", F.lit(0)).groupBy("shard", "block").applyInPandas(shard_linker(radius), "a long, b long")
     placed = written(placed, "simhash-shards")
     full = placed.filter("own").groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1")
     placed = placed.join(small(written(full, "simhash-full")), "shard", "left")
@@ -203,7 +210,7 @@ def near_links(nodes: DataFrame, leaf_size: int = LEAF, block: int = BLOCK) -> D
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = placed.withColumn("block", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     dealt = dealt.withColumn("own", F.col("own") & (F.col("blocks").isNull() | (F.col("block") == mine)))
-    return dealt.select("shard", "block", "fp", "rep", "own").groupBy("shard", "block").applyInPandas(shard_links, "a long, b long")
+    return dealt.select("shard", "block", "fp", "rep", "own").groupBy("shard", "block").applyInPandas(shard_linker(radius), "a long, b long")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -227,8 +234,8 @@ def connected(links: DataFrame) -> DataFrame:
         before = now
 
 
-def near_groups(docs: DataFrame, words: int = 4, text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, fp, component_id (the smallest doc_id reachable over links of at most 4 bits).
+def near_groups(docs: DataFrame, words: int = 4, text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row per row of docs: doc_id, fp, component_id (the smallest doc_id reachable over links of at most `radius` bits).
 
     Null or empty texts have fingerprint 0 and are linked as any other. A null doc_id takes part:
     where all rows of a fingerprint lack one its component is that of what it reaches, or null.
@@ -238,7 +245,7 @@ def near_groups(docs: DataFrame, words: int = 4, text: str = "text") -> DataFram
     # A node is a fingerprint, named by its least doc_id; one without ids gets a name above all ids.
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     nodes = written(nodes.select("fp", "least", F.coalesce("least", F.shiftrightunsigned("fp", 2) + F.lit(1 << 62)).alias("rep")), "simhash-nodes")
-    roots = connected(near_links(nodes))
+    roots = connected(near_links(nodes, radius=radius))
     named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     named = named.withColumn("component_id", F.when(F.col("component_id") < (1 << 62), F.col("component_id")))
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
@@ -249,12 +256,12 @@ def op5(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFrame:
     """The rows of docs whose doc_id is their component's; of rows that repeat such an id one. Rows without an id stay.
 
     doc_id names a document: rows that share one are taken to be the same.
     """
-    found = written(near_groups(docs, words).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("copy"), F.count("*").alias("n")).filter("copy OR n > 1"), "simhash-copies")
+    found = written(near_groups(docs, words, radius=radius).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("copy"), F.count("*").alias("n")).filter("copy OR n > 1"), "simhash-copies")
     kept = docs.join(found.filter("copy").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     again = found.filter("NOT copy").select("doc_id")
     if again.isEmpty():

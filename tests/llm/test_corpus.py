@@ -217,8 +217,8 @@ def brute_fingerprint(text, words=4):
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
-def brute_components(fps):
-    """doc id -> least id reachable over links of at most 4 bits."""
+def brute_components(fps, radius=4):
+    """doc id -> least id reachable over links of at most `radius` bits."""
     root = {d: d for d in fps}
 
     def find(x):
@@ -229,7 +229,7 @@ def brute_components(fps):
     ids = sorted(fps)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if (fps[a] ^ fps[b]).bit_count() <= 4 and find(a) != find(b):
+            if (fps[a] ^ fps[b]).bit_count() <= radius and find(a) != find(b):
                 root[max(find(a), find(b))] = min(find(a), find(b))
     return {d: find(d) for d in ids}
 
@@ -242,8 +242,8 @@ def test_simhash_matches_brute_force(spark, sf):
     assert got == {d: (f"{fps[d]:016x}", least[d]) for d in fps}
 
 
-@pytest.mark.parametrize(("leaf", "block"), [(16, 4096), (64, 24)])
-def test_trees_find_every_link(spark, leaf, block):
+@pytest.mark.parametrize(("leaf", "block", "radius"), [(16, 4096, 4), (64, 24, 4), (16, 4096, 5)])
+def test_trees_find_every_link(spark, leaf, block, radius):
     rng = np.random.default_rng(5)
     points = {int(x): i for i, x in enumerate(rng.integers(0, 1 << 64, 600, dtype=np.uint64))}
     for x in list(points)[:150]:  # neighbours at 3 to 5 bits, and chains of them
@@ -257,8 +257,8 @@ def test_trees_find_every_link(spark, leaf, block):
             points.setdefault(centre ^ 1 << i ^ 1 << j, len(points))
     fps = {i: x for x, i in points.items()}
     nodes = spark.createDataFrame([(i, int(np.uint64(x).astype(np.int64))) for i, x in fps.items()], "rep long, fp long")
-    roots = {r.node: r.root for r in simhash.connected(simhash.near_links(nodes, leaf, block)).collect()}
-    assert {i: roots.get(i, i) for i in fps} == brute_components(fps)
+    roots = {r.node: r.root for r in simhash.connected(simhash.near_links(nodes, leaf, block, radius)).collect()}
+    assert {i: roots.get(i, i) for i in fps} == brute_components(fps, radius)
 
 
 def test_near_groups_of_odd_rows(odd, none):

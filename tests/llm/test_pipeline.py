@@ -30,7 +30,7 @@ def test_stages_one_by_one(spark, sf):
 
     near = stages["near_dedup"](spark, lines, sf)
     assert columns(near) == columns(docs)
-    roots = brute_components({d: brute_fingerprint(t, 5) for d, t in got})
+    roots = brute_components({d: brute_fingerprint(t, 5) for d, t in got}, 5)
     assert sorted(r.doc_id for r in near.collect()) == sorted(d for d, r in roots.items() if d == r)
 
     mixed = stages["mixing"](spark, near, sf)
