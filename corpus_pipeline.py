@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kithmark.llm import langid, line_dedup, mixing, piece_codec, simhash
+from kithmark.llm import langid, line_dedup, mixing, near_copies, piece_codec
 from kithmark.llm.common import written
 
 
@@ -25,13 +25,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies.
-
-    Fingerprints of five-word shingles link at 5 bits. In a sample of the given documents that took 16 of 18 pairs whose
-    shingle sets were 0.8 alike or more without being equal, and no pair that was less alike than 0.8 but for two
-    pairs with the same fingerprint.
-    """
-    return simhash.one_of_each(docs, words=5, radius=5)
+    """One document of each group of near copies: five-word shingle sets with a Jaccard similarity of 0.8 or more, all of them."""
+    return near_copies.one_of_copies(docs, words=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,22 +35,31 @@ SAMPLE = 1 << 16
 LEAF, BLOCK = 1024, 4096
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """SimHash of the text's word shingles: a bit is set if over half of the shingles' XXH64 have it."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of each of the text's word shingles; of all its words if they are fewer; none of a text without words."""
     got = text.lower().split()  # bytes: lowers A-Z only, splits at \x20 and \x09-\x0D only
     if not got:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(got) - words + 1)
     joined = b" ".join(got)
     ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) + 1) - 1
     starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
     ends = ends[words - 1 :].tolist() if len(got) >= words else [len(joined)]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64, n)
+    return np.fromiter([digest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """SimHash: a bit is set if over half of the hashes have it."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65_536):
+    for at in range(0, len(h), 65_536):
         ones += np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    """SimHash of the text's word shingles."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 4, text: str = "text") -> DataFrame:
@@ -261,7 +270,12 @@ def one_of_each(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFr
 
     doc_id names a document: rows that share one are taken to be the same.
     """
-    found = written(near_groups(docs, words, radius=radius).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("copy"), F.count("*").alias("n")).filter("copy OR n > 1"), "simhash-copies")
+    return first_of(docs, near_groups(docs, words, radius=radius))
+
+
+def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """one_of_each() by groups: doc_id, component_id."""
+    found = written(groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("copy"), F.count("*").alias("n")).filter("copy OR n > 1"), "simhash-copies")
     kept = docs.join(found.filter("copy").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     again = found.filter("NOT copy").select("doc_id")
     if again.isEmpty():
