@@ -51,7 +51,7 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     items and queries have id and code. Rows without an id or a code take no part. Rows that repeat an id
     and code are one item; queries alike. Fewer than k items give fewer results, none give none.
     """
-    first = F.row_number().over(Window.partitionBy("code").orderBy("id"))
+    first = F.dense_rank().over(Window.partitionBy("code").orderBy("id"))  # rows that repeat an id share its place
     items = items.select("id", "code").filter("id IS NOT NULL AND code IS NOT NULL")
     entries = items.withColumn("n", first).filter(F.col("n") <= k + 1).groupBy("code").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     entries = written(entries, "mih-entries")
