@@ -2,7 +2,8 @@
 
 Record ids are derived from what a record is (kind, target, date, digest), so reruns agree. Both
 derivatives name the response they come from (WARC-Refers-To, its target and date), keep its payload digest and
-its HTTP headers, and carry a digest of their own block.
+its HTTP headers, and carry a digest of their own block. A written record has the headers in the field
+WARC-Source-HTTP-Headers, percent-encoded where they are not printable ASCII.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import html as entities
 import re
 from base64 import b32encode
 from collections.abc import Iterator
-from urllib.parse import urljoin
+from urllib.parse import quote, unquote, urljoin
 from uuid import UUID
 
 import pyarrow as pa
@@ -29,6 +30,8 @@ TAG = re.compile(r"<[/!?]?[A-Za-z][^>]*>|<![^>]*>")
 SPACE, LINES = re.compile(r"[ \t\r\f\v\xa0]+"), re.compile(r" ?\n[ \n]*")
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.DOTALL | re.IGNORECASE)
 LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.IGNORECASE)
+#: What a header field of a record takes as it is; inner spaces are encoded, so none is lost at an end.
+PRINTABLE = "!\"#$&'()*+,/:;<=>?@[\\]^`{|}"
 LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 
@@ -107,7 +110,7 @@ def warc_bytes(row: dict) -> bytes:
     head = {
         "WARC-Type": row["record_type"], "WARC-Record-ID": row["record_id"], "WARC-Date": row["warc_date"], "WARC-Target-URI": row["target_uri"], "WARC-Refers-To": row["refers_to"],
         "WARC-Refers-To-Target-URI": row["target_uri"], "WARC-Refers-To-Date": row["warc_date"], "WARC-Source-Payload-Digest": row["source_digest"], "WARC-Block-Digest": row["block_digest"],
-        "Content-Type": row["content_type"], "Content-Length": str(row["content_length"]),
+        "WARC-Source-HTTP-Headers": quote(row["source_headers"], safe=PRINTABLE), "Content-Type": row["content_type"], "Content-Length": str(row["content_length"]),
     }
     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items() if v)
     return gzip.compress(f"WARC/1.1\r\n{lines}\r\n".encode() + row["block"].encode() + b"\r\n\r\n", mtime=0)
@@ -132,6 +135,10 @@ def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
+def source_headers(fields: dict[str, str]) -> str:
+    """The response's HTTP headers from the fields of a derived record."""
+    return unquote(fields.get("WARC-Source-HTTP-Headers", ""))
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
-    found = derive(responses(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")))
-    return found.drop("source_headers")
+    return derive(responses(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")))
