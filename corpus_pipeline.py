@@ -35,8 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and decoded text of each document, as digests."""
-    return piece_codec.encode_documents(docs, piece_codec.default_model())
+    """Ids, decoded text and spans of each document, as digests."""
+    return piece_codec.encode_documents(docs, piece_codec.default_model(), spans=True)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", drop_lines), ("near_dedup", near_dedup), ("mixing", mix_sources), ("sentencepiece", encode)]

@@ -14,9 +14,12 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,15 +108,20 @@ class Codec:
         self.known = re.compile("|".join(map(re.escape, longest))) if longest else None
         self.unit = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.side_by_side = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.decimal = {p: str(i) for p, i in self.ids.items()}
+        self.decimal = [str(i) for i in range(len(self.pieces))]
+        #: What an id decodes to by itself; None for a byte.
+        self.texts = [None if k == BYTE else " ⁇ " if k == UNKNOWN else "" if k == CONTROL else p.replace(MARK, " ") for p, _, k in self.pieces]
         self.plain = self.dummy and self.escape and not self.squeeze and not self.map and len(self.bytes) == 256
-        self.words: dict[str, str] = {}
-        self.older: dict[str, str] = {}
-        self.parts: dict[str, str] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def normalize(self, text: str) -> tuple[str, list[tuple[int, int]]]:
         """The normal form, and for each of its characters the span of original bytes that it stands for."""
         out, spans, at, i = [], [], 0, 0
+        if not self.known:  # each character stands for itself
+            ends = list(accumulate([1] * len(text) if text.isascii() else [len(c.encode("utf-8", "surrogateescape")) for c in text]))
+            out, spans, i = list(text.replace(" ", MARK) if self.escape else text), list(zip([0, *ends], ends, strict=False)), len(text)
         while i < len(text):
             m = self.known.match(text, i) if self.known else None
             old = m[0] if m else text[i]
@@ -225,37 +233,55 @@ class Codec:
 
     def _decode(self, ids: list[int]) -> str:
         """Text of ids, space marks as spaces; runs of byte pieces as UTF-8."""
+        got = list(map(self.texts.__getitem__, ids))
+        if None not in got:
+            return "".join(got)
         out, raw = [], bytearray()
-        for i in [*ids, None]:
-            piece, _, kind = self.pieces[i] if i is not None else ("", 0, NORMAL)
-            if kind == BYTE:
-                raw.append(int(piece[1:-1], 16))
+        for i, text in zip([*ids, None], [*got, ""], strict=True):
+            if text is None:
+                raw.append(int(self.pieces[i][0][1:-1], 16))
                 continue
             if raw:
                 out.append(raw.decode("utf-8", "replace"))
                 raw.clear()
-            out.append(" ⁇ " if kind == UNKNOWN else "" if kind == CONTROL else piece.replace(MARK, " "))
+            out.append(text)
         return "".join(out)
 
     def decode(self, ids: list[int]) -> str:
         text = self._decode(ids)
         return text[1:] if self.dummy and text.startswith(" ") else text
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, the ids joined by commas, the text decoded from them; equal to encode() and decode(), kept by word."""
+    def aligned(self, text: str) -> tuple[list[int], np.ndarray]:
+        """Ids and, for each, the span of original bytes: equal to encode_spans(), kept by word."""
         if self.plain and MARK not in text and "  " not in text and text[:1] not in ("", " ") and text[-1] != " ":
             kept = self.words  # every unit is a word with one mark before it; the first mark is the dummy
-            ids = ",".join([kept.get(w) or self._word(w) for w in text.split(" ")])
-            return ids.count(",") + 1, ids, text  # _part has seen that each word's pieces spell the word
-        ids = self.encode(text)
-        return len(ids), ",".join(map(str, ids)), self.decode(ids)
+            rows = np.frombuffer(b"".join([kept.get(w) or self._word(w) for w in text.split(" ")]), np.int32)
+            ids, size = rows[::2], rows[1::2]
+            ends = np.cumsum(size, dtype=np.int64) - 1  # the dummy stands for no byte
+            starts = np.maximum(ends - size, 0)
+            if not size.all():  # all bytes of a character share its span
+                whole = np.flatnonzero(size)
+                at = whole[np.searchsorted(whole, np.arange(len(size)))]
+                starts, ends = starts[at], ends[at]
+            return ids.tolist(), np.column_stack((starts, ends))
+        pieces = self.encode_spans(text)
+        return [i for i, _, _ in pieces], np.array([x[1:] for x in pieces], np.int64).reshape(-1, 2)
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, the ids joined by commas, the text decoded from them."""
+        return self.digest_spans(text)[:3]
 
-    def _word(self, word: str) -> str:
-        """A word's ids, in decimal. Kept by generation: when the newer one is full it becomes the older."""
+    def digest_spans(self, text: str) -> tuple[int, str, str, bytes]:
+        """digest() and the pieces' spans: start and end of each as little-endian 64-bit numbers."""
+        ids, spans = self.aligned(text)
+        return len(ids), ",".join(map(self.decimal.__getitem__, ids)), self.decode(ids), spans.astype("<i8").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """What _part() gives of a word's parts. Kept by generation: when the newer one is full it becomes the older."""
         got = self.older.get(word)
         if got is None:
             kept = self.parts
-            got = ",".join([kept.get(part) or self._part(part) for part in self.cut(MARK + word)])
+            got = b"".join([kept.get(part) or self._part(part) for part in self.cut(MARK + word)])
         if len(word) <= 64:
             if len(self.words) >= KEPT:
                 self.older = dict(self.words)
@@ -263,14 +289,20 @@ class Codec:
             self.words[word] = got
         return got
 
-    def _part(self, part: str) -> str:
-        symbols, decimal = self._merge(part), self.decimal
-        try:
-            got = ",".join([decimal[s] for s in symbols])
-        except KeyError:  # a character that is no piece: its bytes
-            got = ",".join(map(str, self.unit_ids(part)[0]))
-        if self._decode([int(i) for i in got.split(",")]) != part.replace(MARK, " "):
-            raise AssertionError(f"the pieces of {part!r} spell something else")
+    def _part(self, part: str) -> bytes:
+        """A part's ids, each with the number of original bytes that it ends (0 for all but a character's last byte), as 32-bit numbers."""
+        form, spans = self.normalize(part.replace(MARK, " "))
+        if form[1:] != part:  # after the dummy
+            raise AssertionError(f"{part!r} has another normal form")
+        rows, at = [], 1
+        for s in self._merge(part):
+            n, at = spans[at + len(s) - 1][1] - spans[at][0], at + len(s)
+            if (i := self.ids.get(s)) is not None:
+                rows += i, n
+            else:  # a character that is no piece: its bytes
+                raw = s.encode("utf-8", "surrogateescape")
+                rows += [x for b in raw[:-1] for x in (self.bytes[b], 0)] + [self.bytes[raw[-1]], n]
+        got = array("i", rows).tobytes()
         if len(part) <= 64:
             if len(self.parts) >= KEPT // 2:
                 self.parts.clear()
@@ -285,6 +317,7 @@ def codec_of(data: bytes) -> Codec:
 
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+WITH_SPANS = f"{ENCODED}, spans_sha256 string"
 
 
 def model_of(spark: SparkSession, path: str):
@@ -293,8 +326,8 @@ def model_of(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_documents(docs: DataFrame, model: str) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256.
+def encode_documents(docs: DataFrame, model: str, spans: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256; with `spans`, spans_sha256 (of digest_spans()) as well.
 
     Null text is empty: no ids, digests of the empty string. Whole texts are encoded. A null doc_id and
     repeated rows each get their row; an empty table gives none; other columns are ignored.
@@ -302,15 +335,18 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     data = model_of(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, sha = codec_of(data.value), hashlib.sha256
+        codec, sha = codec_of(data.value), lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            got = [codec.digest(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([x[0] for x in got], pa.int64()), pa.array([sha(x[1].encode()).hexdigest() for x in got], pa.string()),
-                pa.array([sha(x[2].encode("utf-8", "surrogateescape")).hexdigest() for x in got], pa.string()),
-            ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            sizes, ids, decoded, places = [], [], [], []
+            for t in batch.column("text").to_pylist():
+                n, i, d, p = codec.digest_spans(t)
+                sizes.append(n), ids.append(sha(i.encode())), decoded.append(sha(d.encode("utf-8", "surrogateescape"))), places.append(sha(p))
+            columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(sizes, pa.int64())} | {k: pa.array(v, pa.string()) for k, v in (("ids_sha256", ids), ("decoded_sha256", decoded), ("spans_sha256", places))}
+            if not spans:
+                del columns["spans_sha256"]
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, ENCODED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, WITH_SPANS if spans else ENCODED)
 
 
 def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
@@ -334,4 +370,4 @@ def default_model() -> str:
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_model())
+    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_model(), spans=True)
