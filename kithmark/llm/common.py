@@ -29,13 +29,37 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/kithmark/{name}-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder."""
+    return f"{shared_dir(spark)}/kithmark/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    What goes into a `folder` of new_folder() can be deleted by discard() when nothing reads it any more.
+    """
+    path = new_folder(df.sparkSession, name) if folder is None else f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, there = _file_system(spark, path)
+    return fs.exists(there)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate tables; results must have been written elsewhere."""
+    fs, there = _file_system(spark, folder)
+    fs.delete(there, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if df, an already written or aggregated frame, has at most that many rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

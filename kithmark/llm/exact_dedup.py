@@ -1,56 +1,91 @@
 """Exact dedup over an extendible-hash index that lives in the shared folder.
 
-A text's key is the 64-bit hash of its normalised bytes. The index is a directory over key
-prefixes: a bucket with more than ``capacity`` keys splits on the next bit of the prefix, and
-the directory doubles until the deepest split fits (or ``max_depth`` is reached, after which a
-bucket overflows into its chain). Insert order does not matter to where such splits end, so the
-directory is computed from prefix counts at once. Owner tasks then take ranges of (bucket, key):
-they compare the bytes of all texts that share a key and number the chain of different ones.
+A text's key is 64 bits of its normalised bytes' MD5. The index is a directory over key prefixes: it starts at a
+depth that leaves buckets too full, then a bucket with more than ``capacity`` keys splits on the next bit of
+the prefix, round by round, and the directory doubles whenever a bucket as deep as itself splits. Owner
+tasks take ranges of (bucket, key): they compare the bytes of all texts that share a key, number the chain of different
+ones and say who of each stays. Every row then looks up its text's entry.
 
 Only keys and digests of all rows are shuffled; texts move only if their key occurs twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from math import ceil, log2
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, small, written
 
-#: Key prefixes are at most this long, which bounds the directory at 65,536 slots.
-MAX_DEPTH = 16
+#: Keys of a bucket, some 5 MB of index.
+CAPACITY = 50_000
+#: Rounds of splits beyond the depth that even keys need; hashed keys take two or three in all.
+SLACK = 12
+#: Directory slots, and keys that occur twice, up to which they are broadcast.
+SLOTS = TWICE = 2_000_000
+#: No more than this many texts are heavy: each has more than this part of all rows.
+HEAVY = 100_000
 
 
 def keyed(docs: DataFrame, text: str = "text", key_bits: int = 64) -> DataFrame:
     """doc_id, norm, key. Null text is empty. key_bits below 64 force collisions, for tests."""
-    key = F.xxhash64("norm")
+    key = F.conv(F.substring(F.md5("norm"), 1, 16), 16, -10).cast("long")
     key = key if key_bits == 64 else F.shiftleft(F.shiftrightunsigned(key, 64 - key_bits), 64 - key_bits)
     return docs.select("doc_id", ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("norm")).withColumn("key", key)
 
 
-def slot(key: str = "key", depth: int = MAX_DEPTH) -> F.Column:
-    return F.shiftrightunsigned(F.col(key), 64 - depth)
+def slot(depth: int, key: str = "key") -> Column:
+    """The first `depth` bits of a key."""
+    return F.shiftrightunsigned(F.col(key), 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def directory(keys: DataFrame, capacity: int, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """slot, bucket, local_depth: one row for each of the 2**max_depth slots.
+def directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """(slot, bucket, local_depth for each of the directory's 2**depth slots; depth). keys: one row per key.
 
-    keys: one row per distinct key. A bucket is named by its depth and prefix.
+    A bucket is named by its depth and prefix: 2**local_depth + prefix. Rounds end when no bucket is
+    overfull; only the buckets that the last round split are counted again.
+    """
+    spark, n = keys.sparkSession, keys.count()
+    need = ceil(log2(max(1.0, n / capacity)))
+    depth, deepest = max(0, need - 1), min(60, need + SLACK)
+    slots = spark.range(1 << depth).select(F.col("id").alias("slot"), (F.col("id") + (1 << depth)).alias("bucket"), F.lit(depth).alias("local_depth"), F.lit(True).alias("fresh"))
+    while True:
+        slots = written(slots, "dedup-directory")
+        held = keys.select(slot(depth).alias("slot")).join(small(slots.filter("fresh"), SLOTS), "slot")
+        full = held.groupBy("bucket", "local_depth").agg(F.count("*").alias("n")).filter((F.col("n") > capacity) & (F.col("local_depth") < deepest))
+        full = written(full.select("bucket", "local_depth"), "dedup-overfull")
+        top = full.agg(F.max("local_depth")).first()[0]
+        if top is None:
+            return slots.drop("fresh"), depth
+        if top == depth:  # the directory doubles: each slot becomes two
+            slots, depth = slots.withColumn("slot", F.explode(F.array(F.col("slot") * 2, F.col("slot") * 2 + 1))), depth + 1
+        split = slots.join(small(full.select("bucket", F.lit(1).alias("more")), SLOTS), "bucket", "left")
+        split = split.select("slot", (F.col("local_depth") + F.coalesce("more", F.lit(0))).alias("local_depth"), F.col("more").isNotNull().alias("fresh"))
+        slots = split.select("slot", F.expr(f"shiftleft(1L, local_depth) + shiftrightunsigned(slot, {depth} - local_depth)").alias("bucket"), "local_depth", "fresh")
+
+
+def index(rows: DataFrame, keys: DataFrame, capacity: int) -> DataFrame:
+    """bucket, key, chain, sha, keep_id, group_size: one entry per text, written in ranges of (bucket, key).
+
+    rows: doc_id, norm, key; keys: key, n, doc_id, sha (of one of its rows).
     """
-    counts = keys.groupBy(slot(depth=max_depth).alias("slot")).agg(F.count("*").alias("n"))
-    nodes = counts.select(F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"), "slot", "n")
-    nodes = nodes.groupBy("depth", F.expr(f"shiftrightunsigned(slot, {max_depth} - depth)").alias("prefix")).agg(F.sum("n").alias("n"))
-    full = nodes.filter((F.col("n") > capacity) & (F.col("depth") < max_depth)).select("depth", "prefix")
-    slots = keys.sparkSession.range(1 << max_depth).withColumnRenamed("id", "slot")
-    split = slots.select("slot", F.explode(F.sequence(F.lit(0), F.lit(max_depth - 1))).alias("depth"))
-    split = split.withColumn("prefix", F.expr(f"shiftrightunsigned(slot, {max_depth} - depth)")).join(F.broadcast(full), ["depth", "prefix"], "left_semi")
-    deepest = split.groupBy("slot").agg((F.max("depth") + 1).alias("local_depth"))  # a full node's ancestors are full as well
-    found = slots.join(deepest, "slot", "left").withColumn("local_depth", F.coalesce("local_depth", F.lit(0)))
-    prefix = F.expr(f"shiftrightunsigned(slot, {max_depth} - local_depth)")
-    return found.select("slot", "local_depth", (F.expr("shiftleft(1L, local_depth)") + prefix).alias("bucket"))
-
-
-def exact_groups(docs: DataFrame, text: str = "text", capacity: int = 200_000, key_bits: int = 64) -> DataFrame:
+    slots, depth = directory(keys, capacity)
+    in_bucket = lambda df: df.withColumn("slot", slot(depth)).join(small(slots, SLOTS), "slot").drop("slot", "local_depth")
+    # Texts that share a key meet by their bytes; what a map task has twice it sends once, so no hot text moves more than once a task.
+    met = rows.join(small(keys.filter("n > 1").select("key"), TWICE), "key", "left_semi")
+    met = in_bucket(met.groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
+    owned = met.repartitionByRange("bucket", "key")
+    chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("norm")).cast("long")
+    owned = owned.select("bucket", "key", chain.alias("chain"), F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
+    # Rows find their text by digest, so different bytes must not share one.
+    one = F.when(F.count("*").over(Window.partitionBy("bucket", "key", "sha")) > 1, F.raise_error("different texts of one digest")).otherwise(F.col("chain"))
+    alone = in_bucket(keys.filter("n = 1")).select("bucket", "key", F.lit(1).cast("long").alias("chain"), "sha", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"))
+    every = owned.withColumn("chain", one).unionByName(alone)
+    return written(every.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "chain"), "dedup-index")
+
+
+def exact_groups(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, key_bits: int = 64) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain.
 
     Texts are equal if identical after lower-casing A-Z; null is empty; the largest doc_id of a
@@ -59,32 +94,29 @@ def exact_groups(docs: DataFrame, text: str = "text", capacity: int = 200_000, k
     table gives no rows; other columns of docs are ignored, so none can clash.
     """
     rows = keyed(docs, text, key_bits)
-    entries = written(rows.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256")), "dedup-entries")
-    keys = written(entries.groupBy("key").agg(F.count("*").alias("n")), "dedup-keys")
-    slots = written(directory(keys, capacity), "dedup-directory")
-    twice = keys.filter("n > 1").select("key")
-    # Texts that share a key meet by their bytes; map-side aggregation leaves one row per text and task.
-    same = rows.join(small(twice, 2_000_000), "key", "left_semi").groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    same = same.select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size", slot().alias("slot"))
-    same = same.join(F.broadcast(slots), "slot").repartitionByRange("bucket", "key")
-    chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("text_sha256"))
-    chains = written(same.select("bucket", "key", "text_sha256", "keep_id", "group_size", chain.alias("chain")), "dedup-chains")
-    found = entries.join(chains.drop("bucket"), ["key", "text_sha256"], "left")
-    alone = F.col("group_size").isNull()
-    found = found.withColumn("slot", slot()).join(F.broadcast(slots), "slot")
-    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
-    return found.select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"),
-        "text_sha256", "bucket", F.coalesce("chain", F.lit(1)).cast("long").alias("chain"),
-    )
+    entries = written(rows.select("doc_id", "key", F.unhex(F.sha2("norm", 256)).alias("sha")), "dedup-entries")
+    keys = written(entries.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("doc_id"), F.max("sha").alias("sha")), "dedup-keys")
+    found = index(rows, keys, capacity)
+    # Heavy texts are few whatever the table's size, so theirs is a broadcast; no other has enough rows to fill a task.
+    heavy = F.col("group_size") > F.lit(max(1000, entries.count() // HEAVY))
+    many = F.broadcast(found.filter(heavy))
+    hot = entries.join(many, ["key", "sha"])
+    rest = entries.join(many.select("key", "sha"), ["key", "sha"], "left_anti").join(found.filter(~heavy), ["key", "sha"])
+    return hot.unionByName(rest).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "chain")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-OP1_SQL = r"""
+OP1_SQL = f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
-g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)
+g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size, CAST('0x' || substr(md5(norm), 1, 16) AS UBIGINT) AS key FROM t GROUP BY norm),
+k AS (SELECT DISTINCT key FROM g),
+s AS (SELECT greatest(0, CAST(ceil(log2(greatest(1.0, count(*) / {CAPACITY}.0))) AS INT) - 1) AS start FROM k),
+p AS (SELECT key, d, CAST(floor(key / pow(2::DOUBLE, 64 - d)) AS BIGINT) AS prefix FROM k, s, range(0, 30) r(d) WHERE d >= start),
+f AS (SELECT d, prefix FROM p GROUP BY d, prefix HAVING count(*) <= {CAPACITY}),
+b AS (SELECT key, min((1 << d) + prefix) AS bucket FROM p JOIN f USING (d, prefix) GROUP BY key)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256, bucket,
+  dense_rank() OVER (PARTITION BY key ORDER BY norm) AS chain FROM t JOIN g USING (norm) JOIN b USING (key)
 """
