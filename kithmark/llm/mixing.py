@@ -8,8 +8,10 @@ multivariate hypergeometric law, so the shards partition the quotas exactly, as
 had been shuffled together. A shard takes a disjoint run of each source's permuted draws and
 orders its documents by a hash, locally.
 
-All state is one row per source; documents are only mapped, never shuffled, until they are
-written to their shards.
+What a document is taken for is what the shards' runs say about its block: a table with a row for each block and
+its draws (lap and shard), which every document looks up. Documents are only mapped until they are
+written to their shards; their sizes and places are what is counted. All sources stand in one array, so
+they should be some thousands at most.
 """
 
 from __future__ import annotations
@@ -29,8 +31,37 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """docs with size (words of the text; null: 0) and place (the document's place in the permutation)."""
-    return docs.withColumns({"size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "place": unit_hash(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
+    """docs with size (words of the text; null: 0) and base, a digest of the document's id, source and text."""
+    source = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
+    base = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), source, F.md5(F.coalesce("text", F.lit("")))))
+    return docs.withColumns({"size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "base": base})
+
+
+def placed(rows: DataFrame, twins: DataFrame | None) -> DataFrame:
+    """rows (sized) with place and tie: 104 bits that say where the document stands in its source's permutation.
+
+    Rows of one id, source and text (their bases in `twins`, None if there are none) are told apart by a running
+    number: counted in the part of the input that they come from, then over the parts, so no group is in one task.
+    """
+    def stand(df: DataFrame) -> DataFrame:
+        h = F.md5(F.concat_ws(":", "base", F.col("nth").cast("string")))
+        half = lambda at: F.conv(F.substring(h, at, 13), 16, 10).cast("long")
+        return df.withColumns({"place": half(1), "tie": half(14)}).select(*rows.columns, "place", "tie")
+
+    if twins is None:
+        return stand(rows.withColumn("nth", F.lit(0)))
+    cut = rows.withColumn("part", F.spark_partition_id())
+    many = written(cut.join(twins, "base", "left_semi"), "mix-twins")
+    sums = many.groupBy("base", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("base").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    many = many.withColumn("own", F.row_number().over(Window.partitionBy("base", "part").orderBy("base"))).join(small(sums.select("base", "part", before.alias("before"))), ["base", "part"])
+    return stand(rows.join(twins, "base", "left_anti").withColumn("nth", F.lit(0))).unionByName(stand(many.withColumn("nth", F.col("own") - 1 + F.col("before"))))
+
+
+def twins_of(stats: DataFrame) -> DataFrame | None:
+    """The bases that several rows have; None if each row has its own."""
+    found = written(stats.groupBy("base").agg(F.count("*").alias("n")).filter("n > 1").select("base"), "mix-repeated")
+    return None if found.isEmpty() else small(found)
 
 
 def targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_LAPS) -> DataFrame:
@@ -118,54 +149,51 @@ def shards_for(rows: DataFrame) -> int:
     return 1 << max(6, (words // SHARD_WORDS).bit_length())
 
 
-def mix_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_LAPS, shards: int = 64, seed: int = 7, block_words: int = 200_000, block_rows: int = 20_000) -> DataFrame:
-    """One row per source of sized rows: its target, laps, blocks, where the last lap ends, and which shard has which of its draws."""
+def mix_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_LAPS, shards: int = 64, seed: int = 7, block_words: int = 200_000, block_rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """(one row per source: source, at, source_size, target, laps, blocks; one per block: at, block, draws) from placed rows.
+
+    draws: array of (lap, shard, edge, place, tie); on an edge only documents up to (place, tie) are drawn.
+    """
     by = targets(rows, weights, most)
     laps = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     blocks = F.greatest(F.ceil(F.col("source_size") / block_words), F.ceil(F.col("n_rows") / block_rows), F.lit(1)).cast("long")
     by = by.withColumns({"laps": laps, "blocks": blocks}).withColumn("rest", F.col("target") - F.col("laps") * F.col("source_size"))
-    by = written(by, "mix-sources")
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    few = small(by.select("source", "blocks", "rest"))
-    placed = rows.select("doc_id", "source", "size", "place").alias("a").join(few.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("doc_id", "a.source", "size", "place", "blocks", "rest", _block().alias("block"))
-    sums = placed.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by = written(by.withColumnRenamed("source", "by_source"), "mix-sources")
+    dealt = rows.select("source", "size", "place", "tie").join(small(by.select("by_source", "at", "blocks", "rest")), F.col("source").eqNullSafe(F.col("by_source"))).select("at", "size", "place", "tie", "rest", _block().alias("block"))
+    sums = dealt.groupBy("at", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("at").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("before", before)
-    few = small(by.select("source", "rest"))
-    edge = sums.alias("s").join(few.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source"))).filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest"))).select("s.source", "block", "before")
+    edge = sums.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest"))).select("at", "block", "before")
     edge = written(edge, "mix-edges")  # one block of each source that has a last lap
-    inside = placed.alias("p").join(small(edge).alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")) & (F.col("p.block") == F.col("e.block"))).select("p.*", "before")
-    order = Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.join(small(edge), ["at", "block"])
+    order = Window.partitionBy("at").orderBy("place", "tie").rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2
-    cut = inside.withColumn("in", middle <= F.col("rest")).groupBy("source").agg(F.max(F.when(F.col("in"), F.struct("place", "doc_id"))).alias("cut"), F.min("block").alias("last_block"))
-    by = by.alias("b").join(small(written(cut, "mix-cuts")).alias("c"), F.col("b.source").eqNullSafe(F.col("c.source")), "left").select("b.*", "cut", "last_block")
+    cut = inside.withColumn("in", middle <= F.col("rest")).groupBy("at").agg(F.max(F.when(F.col("in"), F.struct("place", "tie"))).alias("cut"), F.min("block").alias("last_block"))
+    by = by.join(small(written(cut, "mix-cuts")), "at", "left")
     draws = F.col("laps") * F.col("blocks") + F.coalesce(F.col("last_block") + 1, F.lit(0))
     by = written(by.withColumn("draws", draws.cast("long")), "mix-quotas")
     root = by.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "draws"))), lambda x: x["draws"]).alias("quotas"))
     leaves = written(split(root, shards, seed), "mix-leaves")
-    ends = leaves.select("shard", F.posexplode("quotas").alias("at", "n"))
+    runs = leaves.select("shard", F.posexplode("quotas").alias("at", "n"))
     end = F.sum("n").over(Window.partitionBy("at").orderBy("shard"))
-    ends = ends.withColumn("end", end).groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"]).alias("ends"))
-    return written(by.join(ends, "at"), "mix-plan")
+    each = runs.withColumn("end", end).filter("n > 0").select("at", "shard", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("draw"))
+    each = each.join(small(by.select("at", "laps", "blocks", "last_block", "cut")), "at").withColumns({"block": F.col("draw") % F.col("blocks"), "lap": F.floor(F.col("draw") / F.col("blocks")).cast("long")})
+    edge = F.coalesce((F.col("lap") == F.col("laps")) & (F.col("block") == F.col("last_block")), F.lit(False))
+    draw = F.struct("lap", "shard", edge.alias("edge"), F.col("cut.place").alias("place"), F.col("cut.tie").alias("tie"))
+    return by, written(each.groupBy("at", "block").agg(F.array_sort(F.collect_list(draw)).alias("draws")), "mix-blocks")
 
 
 def _block() -> Column:
     return F.floor(F.col("place").cast("double") / float(UNIT) * F.col("blocks")).cast("long")
 
 
-def assign(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows (sized) with source_size, target and draws: an array of (lap, shard), one for each time the mix takes the document."""
-    shards = F.size("ends")
-    p = plan.select(F.col("source").alias("plan_source"), "source_size", "target", "laps", "blocks", "cut", "last_block", "ends")
-    # A row has a bound for each shard: broadcast up to 2,000,000 of them.
-    p = small(p, max(1, 2_000_000 // (plan.agg(F.max(shards)).first()[0] or 1)))
-    got = rows.join(p, F.col("source").eqNullSafe(F.col("plan_source")))
-    block = _block()
-    before_cut = F.col("cut").isNotNull() & ((F.col("place") < F.col("cut.place")) | ((F.col("place") == F.col("cut.place")) & (F.coalesce("doc_id", F.lit(-(1 << 62))) <= F.coalesce("cut.doc_id", F.lit(-(1 << 62))))))
-    last = F.when(F.col("last_block").isNull(), False).otherwise((block < F.col("last_block")) | ((block == F.col("last_block")) & before_cut))
-    laps = F.col("laps") + last.cast("long")
-    shard = lambda lap: F.size(F.filter("ends", lambda e: e <= lap * F.col("blocks") + block))  # noqa: E731  the first shard whose run of draws ends after this one
-    draws = F.when(laps > 0, F.transform(F.sequence(F.lit(0).cast("long"), laps - 1), lambda lap: F.struct(lap.alias("lap"), shard(lap).alias("shard")))).otherwise(F.array().cast("array<struct<lap:bigint,shard:int>>"))
+def assign(rows: DataFrame, plan: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """rows (placed) with source_size, target and draws: an array of (lap, shard), one for each time the mix takes the document."""
+    sources, blocks = plan
+    got = rows.join(small(sources.select("by_source", "at", "source_size", "target", "blocks")), F.col("source").eqNullSafe(F.col("by_source"))).withColumn("block", _block())
+    got = got.join(small(blocks.withColumnRenamed("draws", "all_draws")), ["at", "block"], "left")
+    taken = F.filter("all_draws", lambda d: ~d["edge"] | F.coalesce((F.col("place") < d["place"]) | ((F.col("place") == d["place"]) & (F.col("tie") <= d["tie"])), F.lit(False)))
+    draws = F.coalesce(F.transform(taken, lambda d: F.struct(d["lap"].alias("lap"), d["shard"].alias("shard"))), F.array().cast("array<struct<lap:bigint,shard:bigint>>"))
     return got.select(*[rows[c] for c in rows.columns], "source_size", "target", draws.alias("draws"))
 
 
@@ -173,40 +201,45 @@ def mix(docs: DataFrame, shards: int | None = None, seed: int = 7, **options) ->
     """The mix itself: a row of docs as often as it is drawn, dealt into shards and shuffled inside each.
 
     Null or empty texts have size 0: they follow their place, and count no words. Null sources
-    are one source, last. Repeated rows each count. An empty table gives an empty mix. All columns
+    are one source, last. Repeated rows each count and have places of their own, as have rows without an id;
+    of rows alike in id, source and text any may be the ones taken. An empty table gives an empty mix. All columns
     of docs are kept as they are, whatever their names.
     """
     rows = sized(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text"), seed).drop("text")
     stats = written(rows.drop("row"), "mix-sized")
+    twins = twins_of(stats)
     shards = shards or shards_for(stats)
-    drawn = assign(rows, mix_plan(stats, shards=shards, seed=seed, **options)).select("row", "place", F.explode("draws").alias("draw"))
+    plan = mix_plan(placed(stats, twins), shards=shards, seed=seed, **options)
+    drawn = assign(placed(rows, twins), plan).select("row", "place", F.explode("draws").alias("draw"))
     order = unit_hash(F.lit(f"{seed} order"), F.col("place").cast("string"), F.col("draw.lap").cast("string"))
-    drawn = drawn.withColumns({"shard": F.col("draw.shard"), "turn": order}).repartition(shards, "shard").sortWithinPartitions("shard", "turn")
+    drawn = drawn.withColumns({"shard": F.col("draw.shard"), "turn": order}).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("turn")
     return drawn.select("row.*")
 
 
-def mixed_words(docs: DataFrame, shards: int | None = None, seed: int = 7) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken (words, repeats counted)."""
-    rows = written(sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix-sized")
-    got = assign(rows, mix_plan(rows, shards=shards or shards_for(rows), seed=seed))
-    return got.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.size("draws") * F.col("size")).cast("long").alias("taken"))
+def mixed_words(docs: DataFrame, shards: int | None = None, seed: int = 7, **options) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken (words, repeats counted), draws (lap and shard of each time)."""
+    stats = written(sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix-sized")
+    rows = placed(stats, twins_of(stats))
+    got = assign(rows, mix_plan(rows, shards=shards or shards_for(stats), seed=seed, **options))
+    return got.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.size("draws") * F.col("size")).cast("long").alias("taken"), "draws")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    return mixed_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixed_words(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("draws")
 
 
 OP2_SQL = r"""
 WITH t AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-  CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS place FROM documents),
+  md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END || ':' || md5(coalesce(text, ''))) AS base FROM documents),
+p AS (SELECT doc_id, source, size, substr(md5(base || ':' || (row_number() OVER (PARTITION BY base) - 1)), 1, 26) AS place FROM t),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS z, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1 AS pos FROM t GROUP BY source),
 w AS (SELECT *, CASE pos % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
 c AS (SELECT *, sum(z) OVER () - coalesce(sum(3 * z) OVER o, 0) AS l, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS sh FROM w WINDOW o AS (ORDER BY z / w, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, 3 * z * sh <= l * w AS stopped FROM c),
 g AS (SELECT source, z, CASE WHEN stopped THEN CAST(3 * z AS DOUBLE) ELSE CAST(sum(z) OVER () - coalesce(sum(CASE WHEN stopped THEN 3 * z END) OVER (), 0) AS DOUBLE) * w / CAST(sum(CASE WHEN NOT stopped THEN w END) OVER () AS DOUBLE) END AS target FROM f),
-r AS (SELECT t.doc_id, t.size, g.z, g.target, CASE WHEN g.z > 0 THEN CAST(floor(g.target / g.z) AS BIGINT) ELSE 0 END AS laps,
-  coalesce(sum(t.size) OVER (PARTITION BY t.source ORDER BY t.place, t.doc_id, t.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + t.size / 2.0 AS middle
-  FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source)
+r AS (SELECT p.doc_id, p.size, g.z, g.target, CASE WHEN g.z > 0 THEN CAST(floor(g.target / g.z) AS BIGINT) ELSE 0 END AS laps,
+  coalesce(sum(p.size) OVER (PARTITION BY p.source ORDER BY p.place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + p.size / 2.0 AS middle
+  FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, z AS source_size, round(target, 4) AS target,
   CAST(size * (laps + CASE WHEN middle <= target - laps * z THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """
