@@ -1,17 +1,18 @@
 """Secret scans over an incremental ledger of content-addressed blobs.
 
-A blob is a distinct text, addressed by its SHA-256. The ledger is a table in the shared folder
-with one row for each blob and rule version that was scanned, findings or not. A scan takes only
-the pairs that the ledger lacks, appends them, and joins all findings back to every path (row)
-whose content is that blob. Scanning a new version of the rules, or a later state of the table,
-touches nothing that was scanned before under the same version.
+A blob is a distinct text, addressed by its SHA-256. The ledger is two tables in the shared folder: one with a
+row for each blob and rule version that was scanned, findings or not, and one with the history of every path: the blob that it
+held in each scan in which that changed. A scan takes only the pairs of blob and rule version that the ledger lacks, appends them,
+and joins all findings back to every path (row) whose content is that blob. Scanning a new version of the rules, or a
+later state of the table, touches nothing that was scanned before under the same version.
+
+Texts are scanned where they are read; only texts that several rows share are brought together first.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small, written
+from .common import exists, new_folder, small, written
 
 # The kinds in their order, their patterns, and which part needs how many characters.
 RULES = (
@@ -70,50 +71,83 @@ def scan_blobs(blobs: DataFrame, rules: Rules) -> DataFrame:
     return blobs.select("blob", "text").mapInArrow(run, FINDINGS)
 
 
+HISTORY = "path string, blob string, scan long"
+#: Blobs that several rows share, up to which they are broadcast.
+SHARED = 2_000_000
+
+
 class Ledger:
-    """The ledger's table: a folder of Parquet parts, one for each scan."""
+    """The ledger's tables below a folder: `scanned` (FINDINGS) and `history` (HISTORY), to which each scan appends.
+
+    A folder that has none yet starts an empty ledger; without a path it is a new folder. One scan at a time may write.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.parts = spark, path or f"{shared_dir(spark)}/kithmark/ledger-{uuid.uuid4().hex}", 0
-        if path is None:
-            self.read = lambda: spark.createDataFrame([], FINDINGS)
-        else:
-            self.read = lambda: spark.read.schema(FINDINGS).parquet(f"{path}/part-*")
+        self.spark, self.path = spark, path.rstrip("/") if path else new_folder(spark, "ledger")
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        there = f"{self.path}/{name}"
+        return self.spark.read.schema(schema).parquet(there) if exists(self.spark, there) else self.spark.createDataFrame([], schema)
 
     def rows(self) -> DataFrame:
-        return self.read()
+        return self._table("scanned", FINDINGS)
 
-    def scan(self, docs: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    def history(self) -> DataFrame:
+        return self._table("history", HISTORY)
+
+    def findings(self, rules: Rules) -> DataFrame:
+        """path, scan, blob, spans: every version that any path ever had and that holds a finding under these rules."""
+        found = self.rows().filter((F.col("rule_version") == rules.version) & (F.col("n_found") > 0)).select("blob", "spans")
+        return self.history().join(found, "blob").select("path", "scan", "blob", "spans")
+
+    def scan(self, docs: DataFrame, rules: Rules, keep_history: bool = True) -> tuple[DataFrame, DataFrame]:
         """Scans what the ledger lacks and appends it. Returns (row keys with blob, all findings under these rules)."""
-        text = F.coalesce("text", F.lit(""))
-        named = docs.select("doc_id", text.alias("text")).withColumn("blob", F.sha2("text", 256))
-        seen = self.rows().filter(F.col("rule_version") == rules.version).select("blob")
+        named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
         paths = written(named.select("doc_id", "blob"), "ledger-paths")
-        fresh = named.select("blob", "text").distinct()  # by bytes; map-side first, so a task sends each text once
-        if not seen.isEmpty():
-            unseen = written(paths.select("blob").distinct().join(seen, "blob", "left_anti"), "ledger-unseen")
-            fresh = named.select("blob", "text").join(small(unseen), "blob", "left_semi").distinct()
-        part = f"{self.path}/part-{uuid.uuid4().hex}"
-        scan_blobs(fresh, rules).write.parquet(part)
-        self.read = lambda: self.spark.read.schema(FINDINGS).parquet(f"{self.path}/part-*")
+        blobs = paths.groupBy("blob").agg(F.count("*").alias("n"))
+        before = self.rows().filter(F.col("rule_version") == rules.version).select("blob")
+        if before.isEmpty():
+            fresh = named
+        else:
+            unseen = written(blobs.join(before, "blob", "left_anti"), "ledger-unseen")
+            fresh, blobs = named.join(small(unseen.select("blob"), SHARED), "blob", "left_semi"), unseen
+        # What one row has is scanned in place; what several have comes together first, each once from a task.
+        shared = small(written(blobs.filter("n > 1").select("blob"), "ledger-shared"), SHARED)
+        alone = scan_blobs(fresh.join(shared, "blob", "left_anti"), rules)
+        several = scan_blobs(fresh.join(shared, "blob", "left_semi").select("blob", "text").distinct(), rules)
+        alone.unionByName(several).write.mode("append").parquet(f"{self.path}/scanned")
+        if keep_history:
+            self._record(paths)
         return paths, self.rows().filter(F.col("rule_version") == rules.version)
 
+    def _record(self, paths: DataFrame) -> None:
+        """Appends the blobs of paths that they did not have in the scan before."""
+        old = self.history()
+        scan = (old.agg(F.max("scan")).first()[0] or 0) + 1
+        now = paths.select(F.col("doc_id").cast("string").alias("path"), "blob").filter("path IS NOT NULL").distinct()
+        last = old.groupBy("path").agg(F.max_by("blob", "scan").alias("blob"))
+        now.join(last, ["path", "blob"], "left_anti").withColumn("scan", F.lit(scan).cast("long")).select("path", "blob", "scan").write.mode("append").parquet(f"{self.path}/history")
+
 
 def scan_secrets(docs: DataFrame, rules: Rules | None = None, ledger: Ledger | None = None) -> DataFrame:
     """One row per row of docs: doc_id, blob, rule_version and spans.
 
-    Null text is the empty blob; a null doc_id and repeated rows each get their row; no rows from an
-    empty table. Whole texts are scanned, however long. Other columns of docs are ignored.
+    Null text is the empty blob; a null doc_id and repeated rows each get their row (without an id, none in the
+    ledger's history); no rows from an empty table. Whole texts are scanned, however long. Other columns of docs are ignored.
     """
     rules = rules or Rules()
-    paths, findings = (ledger or Ledger(docs.sparkSession)).scan(docs, rules)
+    paths, findings = (ledger or Ledger(docs.sparkSession)).scan(docs, rules, keep_history=ledger is not None)
     hits = findings.filter("n_found > 0").select("blob", "spans")
     return paths.join(hits, "blob", "left").select("doc_id", "blob", F.lit(rules.version).alias("rule_version"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
+#: Setting of the session that names a ledger's folder which calls of the query share; unset: each call scans everything.
+SETTING = "spark.kithmark.ledger"
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
-    rules = Rules()
-    found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), rules)
+    kept = spark.conf.get(SETTING, None)
+    found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), Rules(), Ledger(spark, kept) if kept else None)
     each = F.when(F.col("spans") == "", F.array().cast("array<string>")).otherwise(F.split("spans", ","))
     count = lambda kind: F.size(F.filter(each, lambda s: s.startswith(f"{kind}:"))).cast("long")
     return found.select("doc_id", *(count(kind).alias(f"n_{kind}") for kind, *_ in RULES), F.sha2("spans", 256).alias("base_sha256"), "spans")
