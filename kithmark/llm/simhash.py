@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import BROADCAST_ROWS, small, written
 
 RADIUS = 4
 #: Bits of the segments, from the top. Three of them: 4 // 3 = 1 bit may differ in the closest.
 SEGMENTS = ((43, 21), (22, 21), (0, 22))
-#: At most this many fingerprints fit a tree; it bounds the tree's leaves as well.
-SAMPLE = 1 << 16
+#: At most this many fingerprints fit a tree (8 MB at the driver), and a sixteenth of all at most; it bounds the tree's leaves as well.
+SAMPLE = 1 << 20
 #: Fingerprints a leaf should own, and most that one comparing task owns of a leaf.
 LEAF, BLOCK = 1024, 4096
 
@@ -225,39 +225,50 @@ def near_links(nodes: DataFrame, leaf_size: int = LEAF, block: int = BLOCK, radi
 def connected(links: DataFrame) -> DataFrame:
     """node, root: the smallest node of each linked node's component. links: a, b (longs).
 
-    Large-star and small-star rounds, each written to the shared folder, until a round changes nothing.
+    Large-star and small-star rounds, each written to the shared folder, until a round changes nothing. While links are
+    few the least neighbours are broadcast, so a hub's links stay in their tasks.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    before = None
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    now, before = state(edges), None
     while True:
+        few = F.broadcast if now[0] * 2 <= BROADCAST_ROWS else lambda df: df
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(few(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = large.join(few(least), "u")
         small_star = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = written(small_star.filter("u <> v").distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now, before = state(edges), now
         if now == before:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-        before = now
+
+
+def rooted(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataFrame:
+    """nodes (`node`, a long, and least, the least doc_id or null) with root, which links join, and component_id, the least doc_id of all that share it."""
+    linked = connected(links)
+    # Roots link to themselves; whoever has no link is a component of its own.
+    linked = written(linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()), "roots").withColumnRenamed("node", "linked")
+    member = nodes.select(F.col(node).alias("linked"), "least").join(linked, "linked")
+    best = member.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "of")
+    named = written(linked.join(small(written(best, "components")), F.col("root") == F.col("of")).drop("of"), "roots-named")
+    got = nodes.join(small(named), nodes[node] == named["linked"], "left")
+    alone = F.col("root").isNull()
+    return got.select(*[nodes[c] for c in nodes.columns], F.when(alone, F.col(node)).otherwise(F.col("root")).alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_groups(docs: DataFrame, words: int = 4, text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per row of docs: doc_id, fp, component_id (the smallest doc_id reachable over links of at most `radius` bits).
 
     Null or empty texts have fingerprint 0 and are linked as any other. A null doc_id takes part:
-    where all rows of a fingerprint lack one its component is that of what it reaches, or null.
+    where no row of a component has an id it has none (null). Ids may be any long.
     Repeated rows get their row each; an empty table gives none; other columns are ignored.
     """
     fps = written(fingerprints(docs, words, text), "simhash-fps")
-    # A node is a fingerprint, named by its least doc_id; one without ids gets a name above all ids.
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = written(nodes.select("fp", "least", F.coalesce("least", F.shiftrightunsigned("fp", 2) + F.lit(1 << 62)).alias("rep")), "simhash-nodes")
-    roots = connected(near_links(nodes, radius=radius))
-    named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    named = named.withColumn("component_id", F.when(F.col("component_id") < (1 << 62), F.col("component_id")))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")  # a node is a fingerprint, and its name as well
+    named = rooted(nodes, near_links(nodes.select(F.col("fp").alias("rep"), "fp"), radius=radius), "fp")
+    return fps.join(named.select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
