@@ -3,11 +3,13 @@
 Fingerprints alone can't say: sets of similarity 0.8 lie about 9 bits apart, some 17. So SimHash's
 trees only propose links, which join most large groups of copies cheaply; every link is verified on the sets. Then an exact
 prefix join completes them: with the shingles of all documents in one order, two sets of n and m that are
-similar enough share one of the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1. Documents that
-verified links already join are not compared again. Shingles that a bounded sample shows to be common come
-last in the order, which saves work and changes no result.
+similar enough share one of the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1. Only shingles there that documents
+of different groups have are looked at, and documents that verified links already join are not compared again: of a
+shingle's documents those of its most frequent group only meet the others. Shingles that a bounded sample shows to be
+common come last in the order, which saves work and changes no result.
 
-A set is that of its shingles' XXH64. Documents with the same set are one node.
+A set is that of its shingles' XXH64. Documents with the same set are one node. Intermediate tables are deleted when
+the groups are written.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
-from .simhash import connected, first_of, majority, near_links, shingle_hashes
+from .common import discard, new_folder, small, written
+from .simhash import first_of, majority, linked_roots, near_links, rooted, shingle_hashes
 
 #: Sets are copies if NUM / DEN of their union is shared.
 NUM, DEN = 4, 5
@@ -53,7 +55,7 @@ def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """doc_id, key (128 bits of the set), fp, n, head (the set's first shingles), body (the set, sorted) for each row."""
+    """doc_id, key (128 bits of the set), fp, n, head (the set's first shingles), t (the text's bytes) for each row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     late = common_shingles(texts, words)
     held = docs.sparkSession.sparkContext.broadcast((np.sort(late), np.argsort(late) + 1))
@@ -61,7 +63,7 @@ def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = held.value
         for batch in batches:
-            keys, fps, sizes, heads, bodies = [], [], [], [], []
+            keys, fps, sizes, heads = [], [], [], []
             for t in batch.column("t").to_pylist():
                 h = shingle_hashes(t, words)
                 fps.append(majority(h))
@@ -70,73 +72,97 @@ def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     rank = np.where(known[at] == h, place[at], 0)
-                body = h.tobytes()
-                keys.append(xxhash.xxh3_128_hexdigest(body))
+                keys.append(xxhash.xxh3_128_hexdigest(h.tobytes()))
                 sizes.append(len(h))
                 heads.append(h[np.argsort(rank, kind="stable")[: head_size(len(h))]].view(np.int64) if len(h) else h.view(np.int64))
-                bodies.append(body)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
-                pa.array(heads, pa.list_(pa.int64())), pa.array(bodies, pa.binary()),
-            ], names=["doc_id", "key", "fp", "n", "head", "body"])
+                batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), batch.column("t"),
+            ], names=["doc_id", "key", "fp", "n", "head", "t"])
 
-    return texts.mapInArrow(run, "doc_id long, key string, fp long, n long, head array<long>, body binary")
+    return texts.mapInArrow(run, "doc_id long, key string, fp long, n long, head array<long>, t binary")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes (rep, key) whose sets (key, body) are copies, written."""
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "near-pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    used = written(nodes.select("rep", "key").join(used, "rep", "left_semi"), "near-used")
-    bodies = sets.select("key", "body").join(small(used), "key").groupBy("rep").agg(F.first("body").alias("body"))
-    bodies = written(bodies, "near-bodies")
+def named(nodes: DataFrame) -> tuple[DataFrame, Column]:
+    """(nodes with rep, a long of their own; how it comes from key). Hashes the key anew in the rare case that two nodes share one."""
+    salt = 0
+    while True:
+        name = F.xxhash64(F.lit(salt), "key")
+        if nodes.groupBy(name.alias("rep")).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            return nodes.withColumn("rep", name), name
+        salt += 1
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, folder: str) -> DataFrame:
+    """The pairs (a, b) of nodes (rep, t) whose shingle sets are copies, written. The texts of nodes in pairs move, no others."""
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "near-pairs", folder)
+    used = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "near-used", folder)
+    held = written(texts.join(small(used), "rep", "left_semi").dropDuplicates(["rep"]), "near-texts", folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
         for batch in batches:
-            x, y = (batch.column(c) for c in ("x", "y"))
             keep = []
-            for i in range(len(x)):
-                p, q = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (x, y))
-                keep.append(bool(alike(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q))))
+            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                if a != last:  # rows come in order of a, mostly
+                    last, own = a, np.unique(shingle_hashes(x.as_py(), words))
+                other = np.unique(shingle_hashes(y.as_py(), words))
+                keep.append(bool(alike(len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other))))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(bodies.select(F.col("rep").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("rep").alias("b"), F.col("body").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
-
-
-def rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes (rep, ...) with root, the least rep that links reach."""
-    roots = connected(links)
-    return nodes.join(roots, nodes["rep"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
+    both = pairs.join(held.select(F.col("rep").alias("b"), F.col("t").alias("y")), "b").join(held.select(F.col("rep").alias("a"), F.col("t").alias("x")), "a")
+    return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links", folder)
+
+
+def met_in_heads(heads: DataFrame, folder: str) -> DataFrame:
+    """a, b: nodes of different groups that share enough shingles of their heads to be copies. heads: rep, root, n, head."""
+    each = heads.select("rep", "root", "n", F.explode("head").alias("h"))
+    split = each.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
+    split = written(split, "near-split", folder)
+    each = written(each.join(small(split, 2_000_000), "h", "left_semi"), "near-met", folder)
+    # A shingle's most frequent group doesn't meet itself, so the work grows with the others' nodes times all.
+    sizes = each.groupBy("h", "root").agg(F.count("*").alias("many"))
+    top = sizes.groupBy("h").agg(F.max_by("root", F.struct("many", "root")).alias("top"))
+    few = each.join(small(written(top, "near-top", folder), 2_000_000), "h").withColumn("small", F.col("root") != F.col("top")).drop("top")
+    few = written(few, "near-sides", folder)
+    side = lambda df, x: df.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "root", "n", "small")))
+    met = side(few.filter("small"), "a").join(side(few, "b").hint("merge"), "h").filter("root_a <> root_b AND (NOT small_b OR rep_a < rep_b)")
+    met = met.filter(alike(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b")))
+    met = met.groupBy(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).agg(F.count("*").alias("shared"), F.first("n_a").alias("n"), F.first("n_b").alias("m"))
+    # The head that ends first in the order shares no more than these, so only what follows a head can add to them.
+    tail = lambda n: F.ceil(n * NUM / DEN) - 1
+    return met.filter(alike(F.col("shared") + F.greatest(tail(F.col("n")), tail(F.col("m"))), F.col("n"), F.col("m"))).select("a", "b")
 
 
 def copy_groups(docs: DataFrame, words: int = 5, radius: int = 5, text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, component_id (the smallest doc_id reachable over pairs of copies).
 
     Null or empty texts have an empty set and are copies of one another. A null doc_id takes part: a group without
-    any id has none. Repeated rows get their row each; an empty table gives none; other columns are ignored. radius, that of
-    the fingerprints whose links are tried first, changes no result.
+    any id has none. Ids may be any long. Repeated rows get their row each; an empty table gives none; other columns are
+    ignored. radius, that of the fingerprints whose links are tried first, changes no result.
     """
-    sets = written(shingle_sets(docs, words, text), "near-sets")
-    nodes = sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"))
-    # A node without ids gets a name above all ids.
-    nodes = written(nodes.withColumn("rep", F.coalesce("least", F.shiftrightunsigned(F.xxhash64("key"), 2) + F.lit(1 << 62))), "near-nodes")
-
-    prints = written(nodes.groupBy("fp").agg(F.min("rep").alias("rep")), "near-prints")
+    spark = docs.sparkSession
+    folder = new_folder(spark, "near")
+    sets = written(shingle_sets(docs, words, text), "near-sets", folder)
+    nodes = sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.count("*").alias("rows"))
+    nodes, name = named(written(nodes, "near-nodes", folder))
+    # Of rows that share a set those with its least id bring its text and head, as good as one another.
+    shared = nodes.filter("rows > 1").select(F.col("rep").alias("r"), F.col("least").alias("l"))
+    texts = sets.withColumn("rep", name).join(small(written(shared, "near-shared", folder)), F.col("rep") == F.col("r"), "left")
+    texts = texts.filter(F.col("r").isNull() | F.col("doc_id").eqNullSafe(F.col("l"))).select("rep", "n", "head", "t")
+
+    prints = written(nodes.groupBy("fp").agg(F.min("rep").alias("rep")), "near-prints", folder)
     same = nodes.join(prints.withColumnRenamed("rep", "b"), "fp").select(F.col("rep").alias("a"), "b")
-    first = verified(near_links(prints, radius=radius).unionByName(same), nodes, sets)
-
-    roots = rooted(nodes.select("rep", "key"), first)
-    heads = sets.select("key", "n", "head").join(roots, "key").groupBy("rep").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("head").alias("head"))
-    heads = written(heads, "near-heads").select("rep", "root", "n", F.posexplode("head").alias("pos", "h"))
-    a, b = (heads.select(*(F.col(c).alias(f"{c}_{x}") for c in ("rep", "root", "n", "pos")), "h") for x in "ab")
-    # At the first shingle that two sets share, no more than the rest of the shorter can follow.
-    rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    met = a.join(b.hint("merge"), "h").filter("rep_a < rep_b AND root_a <> root_b").filter(alike(rest, F.col("n_a"), F.col("n_b")))
-    second = verified(met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), nodes, sets)
-
-    named = rooted(nodes.select("rep", "key"), first.unionByName(second)).select("key", F.when(F.col("root") < (1 << 62), F.col("root")).alias("component_id"))
-    return sets.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
+    first = verified(near_links(prints, radius=radius).unionByName(same), texts.select("rep", "t"), words, folder)
+
+    heads = texts.select("rep", "n", "head").join(small(linked_roots(first)), F.col("rep") == F.col("linked"), "left")
+    heads = heads.select("rep", F.coalesce("root", "rep").alias("root"), "n", "head")
+    second = verified(met_in_heads(heads, folder), texts.select("rep", "t"), words, folder)
+
+    groups = rooted(nodes, first.unionByName(second), "rep").select("rep", "component_id")
+    groups = written(groups, "near-named", folder)
+    found = written(sets.select("doc_id", name.alias("rep")).join(groups, "rep").select("doc_id", "component_id"), "near-groups")
+    discard(spark, folder)
+    return found
 
 
 def one_of_copies(docs: DataFrame, words: int = 5) -> DataFrame:

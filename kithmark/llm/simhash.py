@@ -245,17 +245,20 @@ def connected(links: DataFrame) -> DataFrame:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-def rooted(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataFrame:
-    """nodes (`node`, a long, and least, the least doc_id or null) with root, which links join, and component_id, the least doc_id of all that share it."""
+def linked_roots(links: DataFrame) -> DataFrame:
+    """linked, root: connected() with the roots themselves, written. Nodes without links have no row."""
     linked = connected(links)
-    # Roots link to themselves; whoever has no link is a component of its own.
-    linked = written(linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()), "roots").withColumnRenamed("node", "linked")
-    member = nodes.select(F.col(node).alias("linked"), "least").join(linked, "linked")
+    return written(linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "linked"), "roots")
+
+
+def rooted(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataFrame:
+    """nodes (`node`, a long, and least, the least doc_id or null) with component_id, the least doc_id that links reach."""
+    linked = linked_roots(links)
+    member = nodes.select(F.col(node).alias("linked"), "least").join(small(linked), "linked")
     best = member.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "of")
-    named = written(linked.join(small(written(best, "components")), F.col("root") == F.col("of")).drop("of"), "roots-named")
+    named = written(linked.join(small(written(best, "components")), F.col("root") == F.col("of")).drop("of", "root"), "roots-named")
     got = nodes.join(small(named), nodes[node] == named["linked"], "left")
-    alone = F.col("root").isNull()
-    return got.select(*[nodes[c] for c in nodes.columns], F.when(alone, F.col(node)).otherwise(F.col("root")).alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return got.select(*[nodes[c] for c in nodes.columns], F.when(F.col("linked").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_groups(docs: DataFrame, words: int = 4, text: str = "text", radius: int = RADIUS) -> DataFrame:
