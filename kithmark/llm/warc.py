@@ -11,28 +11,35 @@ from __future__ import annotations
 import gzip
 import hashlib
 import html as entities
+import io
 import re
 from base64 import b32encode
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import quote, unquote, urljoin
-from uuid import UUID
+from uuid import UUID, uuid4
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 RESPONSE = "target_uri string, warc_date string, http_headers string, payload string"
 DERIVED = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, source_digest string, source_headers string, block_digest string, content_length long, block string"
 
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)", re.DOTALL | re.IGNORECASE)
-BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|table|tr|td|th|article|section|nav|footer|header|main|aside|blockquote|pre|hr|body|html|title)\b[^>]*>", re.IGNORECASE)
-TAG = re.compile(r"<[/!?]?[A-Za-z][^>]*>|<![^>]*>")
+#: Elements whose content no reader sees, and those that begin and end a line.
+HIDDEN = frozenset(("script", "style", "noscript", "template"))
+BLOCK = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 table tr td th article section nav footer header main aside blockquote pre hr body html title".split())
+OPEN = re.compile(r"<(?:([/!?]?)([A-Za-z][^\s/>]*)|!)")
+CLOSE = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in (*HIDDEN, "title")}
+HEAD_ENDS = re.compile(r"</head\s*>|(?=<body[\s/>])", re.IGNORECASE)
+TITLE, ANY_TAG = re.compile(r"<title[\s/>]", re.IGNORECASE), re.compile(r"<[^<>]*>")
 SPACE, LINES = re.compile(r"[ \t\r\f\v\xa0]+"), re.compile(r" ?\n[ \n]*")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.DOTALL | re.IGNORECASE)
-LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.IGNORECASE)
+LANG = re.compile(r"\slang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.IGNORECASE)
+HREF = re.compile(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 #: What a header field of a record takes as it is; inner spaces are encoded, so none is lost at an end.
 PRINTABLE = "!\"#$&'()*+,/:;<=>?@[\\]^`{|}"
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 
 def digest(block: bytes) -> str:
@@ -43,32 +50,83 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{UUID(bytes=hashlib.sha256('\0'.join(parts).encode()).digest()[:16], version=4)}>"
 
 
-def plain_text(page: str) -> str:
-    """What a reader sees: no scripts, styles, comments or head; a line for each block; entities decoded last."""
-    text = TAG.sub("", BLOCK.sub("\n", HIDDEN.sub(" ", page)))
-    return LINES.sub("\n", SPACE.sub(" ", entities.unescape(text))).strip()
+def tags(page: str) -> Iterator[tuple[str, str, str]]:
+    """(text before it, name with its slash, tag) for each tag that a reader's page has; the rest of the text at last, with an empty tag.
+
+    Comments, hidden elements and the head are one tag each, by the name of "!". One walk over the page: what is found to close
+    nowhere isn't looked for again, so time grows with the page's length whatever it holds.
+    """
+    text, at, end = [], 0, len(page)
+    while (i := page.find("<", at)) >= 0:
+        m = OPEN.match(page, i)
+        if not m:
+            text.append(page[at : i + 1])
+            at = i + 1
+            continue
+        text.append(page[at:i])
+        if page.startswith("<!--", i):
+            j = page.find("-->", i + 4)
+            at, name, tag = end if j < 0 else j + 3, "!", ""
+        elif (j := page.find(">", m.end())) < 0:  # no tag ends from here on
+            at = i
+            break
+        else:
+            name, tag, at = (m[2] or "!").lower(), page[i : j + 1], j + 1
+            if m[1] == "/":
+                name = "/" + name
+            elif name in HIDDEN or name == "head":
+                close = (HEAD_ENDS if name == "head" else CLOSE[name]).search(page, at)
+                at, name = close.end() if close else end, "!"
+        yield "".join(text), name, tag
+        text = []
+    yield "".join(text) + page[at:], "", ""
+
+
+def title_of(page: str) -> str | None:
+    """What the first title element holds; one that isn't closed holds nothing, nor does any after it."""
+    start = TITLE.search(page)
+    at = page.find(">", start.end() - 1) if start else -1
+    close = CLOSE["title"].search(page, at) if at >= 0 else None
+    return one_line(page[at + 1 : close.start()]) if close else None
 
 
 def one_line(text: str) -> str:
-    return " ".join(entities.unescape(TAG.sub("", text)).split())
+    return " ".join(entities.unescape(ANY_TAG.sub("", text)).split())
 
 
-def metadata(page: str, uri: str, content_type: str) -> str:
-    """application/warc-fields about a response: content type, title, language, and each outlink once, absolute."""
+def read_page(page: str, uri: str, content_type: str) -> tuple[str, str]:
+    """(metadata, plain text) of a page.
+
+    Metadata is application/warc-fields: content type, title, language, and each outlink once, absolute. The text is what a
+    reader sees: no scripts, styles, comments or head; a line for each block; entities decoded last.
+    """
+    parts, links, lang = [], {}, None
+    for text, name, tag in tags(page):
+        parts.append(text)
+        if name == "!":
+            parts.append(" ")
+        elif name.removeprefix("/") in BLOCK:
+            parts.append("\n")
+        if name == "html" and lang is None and (m := LANG.search(tag)):
+            lang = m[1]
+        elif name == "a" and (m := HREF.search(tag)):
+            at = entities.unescape(next(x for x in (*m.groups(), "") if x is not None)).strip()
+            try:
+                links[urljoin(uri, at)] = None
+            except ValueError:  # not a URL
+                links[at] = None
     fields = [("sourceContentType", content_type)]
-    if m := TITLE.search(page):
-        fields.append(("title", one_line(m[1])))
-    if m := LANG.search(page):
-        fields.append(("languages-html", m[1]))
-    links = {}
-    for m in LINK.finditer(page):
-        at = entities.unescape(next(x for x in (*m.groups(), "") if x is not None)).strip()
-        try:
-            links[urljoin(uri, at)] = None
-        except ValueError:  # not a URL
-            links[at] = None
+    if (title := title_of(page)) is not None:
+        fields.append(("title", title))
+    if lang:
+        fields.append(("languages-html", lang))
     fields += [("outlink", " ".join(x.split())) for x in links]
-    return "".join(f"{k}: {v}\r\n" for k, v in fields)
+    plain = LINES.sub("\n", SPACE.sub(" ", entities.unescape("".join(parts)))).strip()
+    return "".join(f"{k}: {v}\r\n" for k, v in fields), plain
+
+
+def plain_text(page: str) -> str:
+    return read_page(page, "", "")[1]
 
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -95,7 +153,8 @@ def derive(found: DataFrame) -> DataFrame:
                 source = digest(page.encode())
                 response = record_id("response", uri, date, source)
                 kind = next((x.split(":", 1)[1].strip() for x in head.split("\r\n") if x.lower().startswith("content-type:")), "")
-                for type_, form, block in (("metadata", "application/warc-fields", metadata(page, uri, kind)), ("conversion", "text/plain; charset=utf-8", plain_text(page))):
+                meta, plain = read_page(page, uri, kind)
+                for type_, form, block in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", plain)):
                     data = block.encode()
                     out.append((row["page_id"], type_, record_id(type_, response), response, uri, date, form, source, head, digest(data), len(data), block))
             arrays = [pa.array([x[i] for x in out], pa.int64() if names[i] in ("page_id", "content_length") else pa.string()) for i in range(len(names))]
@@ -116,23 +175,122 @@ def warc_bytes(row: dict) -> bytes:
     return gzip.compress(f"WARC/1.1\r\n{lines}\r\n".encode() + row["block"].encode() + b"\r\n\r\n", mtime=0)
 
 
+def records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Fields and block of each record of a WARC file, plain or of gzip members, one at a time."""
+    if stream.peek(2)[:2] == b"\x1f\x8b":
+        stream = gzip.GzipFile(fileobj=stream)
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            if line.strip():
+                raise ValueError(f"no WARC record begins with {line[:40]!r}")
+            continue
+        fields = {}
+        while line := stream.readline().strip():
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            fields[name] = value.strip()
+        yield fields, stream.read(int(fields["Content-Length"]))
+
+
+def response_row(fields: dict[str, str], block: bytes) -> tuple[str, str, str, str]:
+    """RESPONSE of a response record: its block is the HTTP headers, an empty line and the payload."""
+    head, gap, payload = block.partition(b"\r\n\r\n")
+    return fields.get("WARC-Target-URI", ""), fields.get("WARC-Date", ""), (head + gap).decode("latin-1"), payload.decode("utf-8", "replace")
+
+
+class _Part(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[_Part]:
+        fs, root = FileSystem.from_uri(self.path)
+        found = fs.get_file_info(root)
+        found = fs.get_file_info(FileSelector(root, recursive=True)) if found.type == FileType.Directory else [found]
+        names = sorted(x.path for x in found if x.type == FileType.File and x.path.endswith((".warc", ".warc.gz")) and not x.base_name.startswith(("_", ".")))
+        return [_Part(x) for x in names] or [_Part("")]
+
+    def read(self, part: _Part) -> Iterator[tuple]:
+        if part.path:
+            fs, _ = FileSystem.from_uri(self.path)
+            with fs.open_input_stream(part.path, compression=None) as f:
+                for fields, block in records(io.BufferedReader(f)):
+                    if fields.get("WARC-Type") == "response":
+                        yield response_row(fields, block)
+
+
+class _Done(WriterCommitMessage):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class _Writer(DataSourceWriter):
+    """Each task writes a hidden file; commit gives it its name, so a task that runs twice leaves one file."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, rows: Iterator[Row]) -> _Done:
+        fs, root = FileSystem.from_uri(self.path)
+        fs.create_dir(root, recursive=True)
+        path = f"{root}/.{uuid4().hex}.warc.gz"
+        with fs.open_output_stream(path, compression=None) as f:
+            for row in rows:
+                f.write(warc_bytes(row.asDict()))
+        return _Done(path)
+
+    def commit(self, messages: list[_Done | None]) -> None:
+        fs, _ = FileSystem.from_uri(self.path)
+        for k, done in enumerate(x for x in messages if x):
+            folder, _, name = done.path.rpartition("/")
+            fs.move(done.path, f"{folder}/part-{k:05d}-{name[1:]}")
+
+    def abort(self, messages: list[_Done | None]) -> None:
+        fs, _ = FileSystem.from_uri(self.path)
+        for done in messages:
+            if done:
+                fs.delete_file(done.path)
+
+
+class WarcSource(DataSource):
+    """Format "warc": reads the response records of .warc and .warc.gz files as RESPONSE, a file in a task; appends DERIVED rows as .warc.gz files."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc"
+
+    def schema(self) -> str:
+        return RESPONSE
+
+    def _path(self) -> str:
+        path = self.options["path"]
+        return path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self._path())
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self._path())
+
+
 def write_warc(derived: DataFrame, path: str) -> None:
-    """Files of gzip members, one row of column value for each record (Spark's binary rows, in Parquet), in the order of their tasks."""
+    """.warc.gz files of the derived records, each a gzip member, one file from each task."""
+    derived.sparkSession.dataSource.register(WarcSource)
+    derived.write.format("warc").mode("append").save(path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([r["record_id"] for r in rows], pa.string()), pa.array(map(warc_bytes, rows), pa.binary())], names=["record_id", "value"])
 
-    derived.mapInArrow(run, "record_id string, value binary").write.parquet(path)
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """RESPONSE rows, with a null page_id, of a file or folder of WARC files; derive() takes them."""
+    spark.dataSource.register(WarcSource)
+    return spark.read.format("warc").load(path).withColumn("page_id", F.lit(None).cast("long"))
 
 
 def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of one record, plain or gzip."""
-    data = gzip.decompress(member) if member[:2] == b"\x1f\x8b" else member
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    """Fields and block of one record, plain or gzip."""
+    return next(records(io.BufferedReader(io.BytesIO(member))))
 
 
 def source_headers(fields: dict[str, str]) -> str:
