@@ -15,6 +15,7 @@ QUERIES = {
     "op8_topk_search": mih.op8,
     "op9_sentencepiece": piece_codec.op9,
     "op10_language_id": langid.op10,
+    "site_lines": line_dedup.site_lines,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op3_chat_formatting": chat.OP3_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op8_topk_search": mih.OP8_SQL,
+    "site_lines": line_dedup.SITE_SQL,
 }
