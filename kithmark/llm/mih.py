@@ -58,9 +58,9 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     queries = written(queries.select("id", "code").filter("id IS NOT NULL AND code IS NOT NULL").distinct(), "mih-queries")
     edges = edges_of(entries.count())
     widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]
-    index = written(entries.select("code", _segments("code", edges)), "mih-index")
+    index = written(entries.select("code", F.size("ids").alias("n_ids"), _segments("code", edges)), "mih-index")
     asked = queries.select(F.col("code").alias("q")).distinct()
-    best = None  # q, code, distance: distinct codes met so far, the nearest k + 1 ids' worth
+    best = None  # q, code, n_ids, distance: distinct codes met so far, the nearest k + 1 ids' worth
     done: list[DataFrame] = []
     open_ = written(asked, "mih-open")
     for radius in range(max(widths) + 1):
@@ -70,11 +70,10 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             mask = F.when(F.col("seg").isin(*(k for k, x in enumerate(widths) if x == w)), values).otherwise(mask)
         probes = open_.select("q", _segments("q", edges)).withColumn("mask", F.explode(mask))
         probes = probes.select("q", "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value")).hint("merge")  # its size is not that of open_
-        met = probes.join(index, ["seg", "value"]).select("q", "code").distinct().withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("long"))
+        met = probes.join(index, ["seg", "value"]).select("q", "code", "n_ids").distinct().withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("long"))
         if best is not None:
-            met = met.unionByName(best.join(small(open_), "q", "left_semi").drop("n_ids")).distinct()
+            met = met.unionByName(best.join(small(open_), "q", "left_semi")).distinct()
         # Enough of the nearest codes to have k + 1 ids; all codes of the last distance stay, as ids decide among them.
-        met = met.join(entries.select("code", F.size("ids").alias("n_ids")), "code")
         closer = F.coalesce(F.sum("n_ids").over(Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
         best = written(met.withColumn("closer", closer).filter(F.col("closer") <= k).drop("closer"), "mih-best")
         covered = len(widths) * (radius + 1) - 1
