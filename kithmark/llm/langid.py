@@ -6,13 +6,15 @@ likelihood; the set of languages grows by the one that gains most, as long as th
 likelihood pays the penalty for one more proportion (half of the logarithm of the trigram count, times
 ``penalty``). The language predicted is the one with the largest proportion.
 
-Counting trigrams, learning and predicting run in Spark tasks; the models are one bounded table of
-languages x 65,536 hashed trigrams.
+Counting trigrams, learning and predicting run in Spark tasks. Every language of the learning rows has a model; the
+models are one table of languages x hashed trigrams: 65,536 of them, fewer for more than 128 languages, so that it has
+8,388,608 cells at most up to 2,048 languages.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -20,22 +22,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import UNIT, unit_hash, written
+from .common import UNIT, small, unit_hash, written
 
 BINS = 1 << 16
-#: Documents of each language that fit the models, at most, and languages learned, at most (the most frequent).
-FIT_DOCS, LANGUAGES = 500, 64
-PENALTY, STEPS, TOLERANCE = 4.0, 50, 1e-4
+#: Cells of the models' table, and hashed trigrams that a language has at least.
+CELLS, FEWEST = 1 << 23, 1 << 12
+#: Documents of each language that fit the models, at most.
+FIT_DOCS = 500
+PENALTY, TOLERANCE = 4.0, 1e-4
 UND = "und"
 
-#: 1 for letters of the basic plane.
-_LETTER = np.fromiter((chr(c).isalpha() for c in range(0x10000)), np.bool_, 0x10000)
+
+@cache
+def _letters() -> np.ndarray:
+    """True for the code points that are letters, of all planes."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.bool_, 0x110000)
+
+
+def bins_for(languages: int) -> int:
+    """Hashed trigrams, a power of two."""
+    return max(FEWEST, min(BINS, CELLS >> (max(1, languages) - 1).bit_length()))
 
 
 def trigrams(text: str) -> np.ndarray | None:
     """Hashed trigrams of the text's lower-cased words, each word between two spaces; None if it has no letter."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _LETTER[np.minimum(c, 0xFFFF)] | ((c > 0xFFFF) & (c < 0x323B0) & ((c < 0x1D000) | (c >= 0x20000)))
+    letter = _letters()[c]
     if not letter.any():
         return None
     c = np.concatenate(([32], np.where(letter, c, 32), [32])).astype(np.uint32)
@@ -44,41 +56,38 @@ def trigrams(text: str) -> np.ndarray | None:
     return (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(16)
 
 
-def learn(docs: DataFrame, fit_docs: int = FIT_DOCS, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[list[str], np.ndarray]:
     """(languages, log probability of each trigram in each) from doc_id, text, lang.
 
-    Rows of the held-out fold and rows without doc_id, text or lang teach nothing. Of each language the
-    ``fit_docs`` rows that come first by a hash of their id are counted, whole.
+    Rows of the held-out fold and rows without doc_id, text or lang teach nothing. Every other value of lang is learned. Of
+    each language the ``fit_docs`` rows that come first by a hash of their id are counted, whole.
     """
     known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(~held_out())
-    common = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     # Hashes below a language's bound leave it about four times as many rows as it needs, so few are ranked.
-    place, bound = unit_hash(F.col("doc_id").cast("string")), F.lit(None).cast("double")
-    for lang, n in common.items():
-        bound = F.when(F.col("lang") == lang, 4.0 * fit_docs / n * UNIT).otherwise(bound)
+    place = unit_hash(F.col("doc_id").cast("string"))
+    bounds = written(known.groupBy("lang").agg((F.lit(4.0 * fit_docs * UNIT) / F.count("*")).alias("bound")), "langid-languages")
     order = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
-    few = known.select("doc_id", "lang", place.alias("place"), bound.alias("bound")).filter("place < bound")
+    few = known.select("doc_id", "lang", place.alias("place")).join(small(bounds), "lang").filter("place < bound")
     ids = few.withColumn("n", order).filter(F.col("n") <= fit_docs).select("doc_id").distinct()
     ids = written(ids, "langid-sample")  # at most languages x fit_docs rows
+    bins = bins_for(bounds.count())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
                 if (h := trigrams(text)) is not None:
-                    sums[lang] = sums.get(lang, 0) + np.bincount(h, minlength=BINS)
+                    sums[lang] = sums.get(lang, 0) + np.bincount(h % bins, minlength=bins)
         for lang, n in sums.items():
             at = np.flatnonzero(n)
             yield pd.DataFrame({"lang": lang, "bin": at, "n": n[at]})
 
-    counts = known.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text").mapInPandas(count, "lang string, bin int, n long")
-    got = counts.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
+    counts = known.join(small(ids), "doc_id", "left_semi").select("lang", "text").mapInPandas(count, "lang string, bin int, n long")
+    got = counts.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()  # languages x bins rows at most
     names = sorted(set(got["lang"]))
-    table = np.full((len(names), BINS), 0.1)
-    for k, lang in enumerate(names):
-        own = got[got["lang"] == lang]
-        table[k, own["bin"]] += own["n"]
-    return names, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    table = np.full((len(names), bins), 0.1, np.float32)
+    table[np.searchsorted(names, got["lang"].to_numpy(str)) if names else [], got["bin"]] += got["n"].to_numpy()
+    return names, np.log(table / table.sum(axis=1, keepdims=True, dtype=np.float64)).astype(np.float32)
 
 
 def held_out():
@@ -89,18 +98,17 @@ def held_out():
 def mixture(p: np.ndarray, n: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
     """EM: proportions of the columns of p (probabilities of each trigram) for counts n, and their log likelihood."""
     w, before = start, -np.inf
-    for _ in range(STEPS):
+    while True:  # the likelihood grows with each step and is bounded
         mixed = p @ w
         now = float(n @ np.log(mixed))
         if now - before < TOLERANCE:
-            break
+            return w, now
         w, before = w * ((n / mixed) @ p) / n.sum(), now
-    return w, now
 
 
 def infer(h: np.ndarray, logs: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Proportions of all languages in a document of those trigrams."""
-    bins, n = np.unique(h, return_counts=True)
+    bins, n = np.unique(h % logs.shape[1], return_counts=True)
     l = logs[:, bins]
     total = n.sum()
     p = np.exp(l - l.max(axis=0)).T.astype(np.float64)  # scaled for each trigram, which moves no proportion
@@ -112,14 +120,16 @@ def infer(h: np.ndarray, logs: np.ndarray, penalty: float = PENALTY) -> np.ndarr
         # A language m adds nothing if sum n p_m / mix <= total: the likelihood is concave in the proportions.
         gain = (n / (p[:, chosen] @ w)) @ p
         gain[chosen] = 0
-        rest = [m for m in np.argsort(-gain)[:3] if gain[m] > total]
-        tried = [(*mixture(p[:, [*chosen, m]], n, np.append(w * 0.9, 0.1)), m) for m in rest]
-        if not tried:
-            break
-        w2, now, m = max(tried, key=lambda x: x[1])
-        if now - best <= cost:
+        rest, paid = [m for m in np.argsort(-gain, kind="stable") if gain[m] > total], None
+        for i in range(0, len(rest), 3):  # of the first three that pay the best, else of the next three
+            tried = [(*mixture(p[:, [*chosen, m]], n, np.append(w * 0.9, 0.1)), int(m)) for m in rest[i : i + 3]]
+            w2, now, m = max(tried, key=lambda x: x[1])
+            if now - best > cost:
+                paid = w2, now, m
+                break
+        if paid is None:
             break
-        chosen, w, best = [*chosen, int(m)], w2, now
+        chosen, w, best = [*chosen, paid[2]], paid[0], paid[1]
     out = np.zeros(p.shape[1])
     out[chosen] = w / w.sum()
     return out
