@@ -4,8 +4,8 @@ Fingerprints alone can't say: sets of similarity 0.8 lie about 9 bits apart, som
 trees only propose links, which join most large groups of copies cheaply; every link is verified on the sets. Then an exact
 prefix join completes them: with the shingles of all documents in one order, two sets of n and m that are
 similar enough share one of the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1. Only shingles there that documents
-of different groups have are looked at, and documents that verified links already join are not compared again: of a
-shingle's documents those of its most frequent group only meet the others. Shingles that a bounded sample shows to be
+of different groups have are looked at, of a shingle's documents those of its most frequent group only meet the others, and
+pairs that share too few shingles of their heads are left out. Shingles that a bounded sample shows to be
 common come last in the order, which saves work and changes no result.
 
 A set is that of its shingles' XXH64. Documents with the same set are one node. Intermediate tables are deleted when
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, new_folder, small, written
-from .simhash import first_of, majority, linked_roots, near_links, rooted, shingle_hashes
+from .simhash import first_of, linked_roots, majority, near_links, rooted, shingle_hashes
 
 #: Sets are copies if NUM / DEN of their union is shared.
 NUM, DEN = 4, 5
@@ -96,29 +96,38 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, folder: str) -> Dat
     """The pairs (a, b) of nodes (rep, t) whose shingle sets are copies, written. The texts of nodes in pairs move, no others."""
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "near-pairs", folder)
     used = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "near-used", folder)
-    held = written(texts.join(small(used), "rep", "left_semi").dropDuplicates(["rep"]), "near-texts", folder)
+
+    def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "body"])
+
+    # In the shared folder once for each node; a pair then costs an intersection.
+    held = texts.join(small(used), "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(hash_sets, "rep long, body binary")
+    held = written(held, "near-bodies", folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
         for batch in batches:
+            x, y = (batch.column(c) for c in ("x", "y"))
             keep = []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
-                if a != last:  # rows come in order of a, mostly
-                    last, own = a, np.unique(shingle_hashes(x.as_py(), words))
-                other = np.unique(shingle_hashes(y.as_py(), words))
-                keep.append(bool(alike(len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other))))
+            for i in range(len(x)):
+                p, q = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (x, y))
+                keep.append(bool(alike(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q))))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(held.select(F.col("rep").alias("b"), F.col("t").alias("y")), "b").join(held.select(F.col("rep").alias("a"), F.col("t").alias("x")), "a")
+    both = pairs.join(held.select(F.col("rep").alias("b"), F.col("body").alias("y")), "b").join(held.select(F.col("rep").alias("a"), F.col("body").alias("x")), "a")
     return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links", folder)
 
 
-def met_in_heads(heads: DataFrame, folder: str) -> DataFrame:
-    """a, b: nodes of different groups that share enough shingles of their heads to be copies. heads: rep, root, n, head."""
-    each = heads.select("rep", "root", "n", F.explode("head").alias("h"))
+def split_shingles(each: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """rep, n, h, root: the rows of `each` (rep, n, h) whose shingle nodes of different groups have, groups being what links join; written."""
+    each = each.select("rep", "n", "h").join(small(linked_roots(links)), F.col("rep") == F.col("linked"), "left").select("rep", "n", "h", F.coalesce("root", "rep").alias("root"))
     split = each.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
-    split = written(split, "near-split", folder)
-    each = written(each.join(small(split, 2_000_000), "h", "left_semi"), "near-met", folder)
+    return written(each.join(small(written(split, "near-split", folder), 2_000_000), "h", "left_semi"), "near-met", folder)
+
+
+def met_in_heads(each: DataFrame, folder: str) -> DataFrame:
+    """a, b: all nodes of different groups that share enough shingles of their heads to be copies. each: rep, n, h, root."""
     # A shingle's most frequent group doesn't meet itself, so the work grows with the others' nodes times all.
     sizes = each.groupBy("h", "root").agg(F.count("*").alias("many"))
     top = sizes.groupBy("h").agg(F.max_by("root", F.struct("many", "root")).alias("top"))
@@ -154,9 +163,8 @@ def copy_groups(docs: DataFrame, words: int = 5, radius: int = 5, text: str = "t
     same = nodes.join(prints.withColumnRenamed("rep", "b"), "fp").select(F.col("rep").alias("a"), "b")
     first = verified(near_links(prints, radius=radius).unionByName(same), texts.select("rep", "t"), words, folder)
 
-    heads = texts.select("rep", "n", "head").join(small(linked_roots(first)), F.col("rep") == F.col("linked"), "left")
-    heads = heads.select("rep", F.coalesce("root", "rep").alias("root"), "n", "head")
-    second = verified(met_in_heads(heads, folder), texts.select("rep", "t"), words, folder)
+    each = split_shingles(texts.select("rep", "n", F.explode("head").alias("h")), first, folder)
+    second = verified(met_in_heads(each, folder), texts.select("rep", "t"), words, folder)
 
     groups = rooted(nodes, first.unionByName(second), "rep").select("rep", "component_id")
     groups = written(groups, "near-named", folder)

@@ -3,10 +3,11 @@
 from collections import Counter
 
 from pyspark.sql import functions as F
-from test_corpus import DOCS, ODD, brute_components, brute_fingerprint, brute_lines
+from test_corpus import DOCS, ODD, WORD, brute_lines
+from test_near_copies import brute_groups
 
 import corpus_pipeline
-from kithmark.llm import langid, mixing, piece_codec
+from kithmark.llm import piece_codec
 
 
 def columns(df):
@@ -20,25 +21,38 @@ def test_stages_one_by_one(spark, sf):
 
     kept = stages["language_id"](spark, docs, sf)
     assert columns(kept) == columns(docs)
-    want = [r for r in docs.collect() if langid.trigrams(r.text or "") is not None]
+    want = [r for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
     assert Counter(map(tuple, kept.collect())) == Counter(map(tuple, want))
 
     lines = stages["line_dedup"](spark, kept, sf)
     assert columns(lines) == columns(docs)
     got = sorted(((r.doc_id, r.text) for r in lines.collect()), key=repr)
-    assert got == sorted(((d, t) for d, t, *_ in brute_lines([(r.doc_id, r.text, r.lang, r.source) for r in want], 0.1, 5)), key=repr)
+    assert got == sorted(((d, t) for d, t, *_ in brute_lines([(r.doc_id, r.text, r.lang, r.source) for r in want], 0.1, (5, 0.008))), key=repr)
 
     near = stages["near_dedup"](spark, lines, sf)
     assert columns(near) == columns(docs)
-    roots = brute_components({d: brute_fingerprint(t, 5) for d, t in got}, 5)
+    roots = brute_groups(got)
     assert sorted(r.doc_id for r in near.collect()) == sorted(d for d, r in roots.items() if d == r)
 
     mixed = stages["mixing"](spark, near, sf)
     assert columns(mixed) == columns(docs)
-    taken = {r.doc_id: r.taken for r in mixing.mixed_words(near).collect()}
-    sizes = {r.doc_id: len((r.text or "").split()) for r in near.collect()}
-    times = Counter(r.doc_id for r in mixed.collect())
-    assert all(taken[d] == times[d] * sizes[d] for d in taken)
+    sizes = {r.doc_id: len(WORD.findall(r.text or "")) for r in near.collect()}
+    source, times = {r.doc_id: r.source for r in near.collect()}, Counter(r.doc_id for r in mixed.collect())
+    of, taken = Counter(), Counter()
+    for d, n in sizes.items():
+        of[source[d]] += n
+        taken[source[d]] += times[d] * n
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(of))}
+    stopped = set()
+    while True:  # targets by sharing anew until none is above three times its source
+        left, w = sum(of.values()) - sum(3 * of[s] for s in stopped), sum(weight[s] for s in of if s not in stopped)
+        target = {s: 3 * of[s] if s in stopped else left * weight[s] / w for s in of}
+        over = {s for s in of if s not in stopped and target[s] > 3 * of[s]}
+        if not over:
+            break
+        stopped |= over
+    most = {s: max(n for d, n in sizes.items() if source[d] == s) for s in of}
+    assert all(abs(taken[s] - target[s]) <= most[s] / 2 + 1 for s in of) and max(times.values()) <= 3
 
     import sentencepiece
 
