@@ -89,15 +89,16 @@ def scale_plan(width: Column, height: Column, scales: Column, most: int) -> Colu
 
 
 def human_duration(s: Column) -> Column:
-    """42s, 4m 12s, 1h 07m."""
-    s = s.cast("long")
-    minutes, hours = F.floor(s / 60), F.floor(s / 3600)
-    return F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm %02ds", minutes, s % 60)).otherwise(F.format_string("%dh %02dm", hours, minutes % 60))
+    """Seconds below a minute (rounded, half to even), minutes and seconds below an hour, else hours and minutes; nothing below 0."""
+    s = F.greatest(s.cast("double"), F.lit(0.0))
+    whole = F.floor(s)
+    short = F.format_string("%ds", F.bround(s, 0).cast("long"))
+    return F.when(s < 60, short).when(s < 3600, F.format_string("%dm %02ds", F.floor(whole / 60), whole % 60)).otherwise(F.format_string("%dh %02dm", F.floor(whole / 3600), F.floor(whole % 3600 / 60)))
 
 
 def human_rate(per_second: Column) -> Column:
-    """41.2/s, or 2.4/min below one a second."""
-    return F.when(per_second >= 1, F.format_string("%.1f/s", per_second)).otherwise(F.format_string("%.1f/min", per_second * 60))
+    """One digit after the point, half to even, a minute below one a second; 0/s for nothing or less."""
+    return F.when(per_second >= 1, F.format_string("%.1f/s", F.bround(per_second, 1))).when(per_second > 0, F.format_string("%.1f/min", F.bround(per_second * 60, 1))).otherwise("0/s")
 
 
 def human_bytes(n: Column) -> Column:
@@ -132,10 +133,13 @@ def item_url(base: Column, space: Column, item: Column, fallback: str = "http://
     return F.concat(base, F.lit("/?launchApp=SYNO.Foto.AppInstance#/"), space, F.lit("_space/timeline/item/"), item.cast("string"))
 
 
-def failure_reason(lines: Column, most: int = 500) -> Column:
-    """Last line of an error text that is neither indented nor scaffolding."""
-    said = F.filter(F.split(lines, "\n"), lambda x: (F.trim(x) != "") & ~x.rlike(r"^\s") & ~x.startswith("Traceback (most recent"))
-    return F.substring(F.coalesce(F.try_element_at(said, F.lit(-1)), F.lit("")), 1, most)
+def failure_reason(lines: Column, exit_code: Column | None = None, most: int = 500) -> Column:
+    """The last line of an error text that is neither indented nor scaffolding, else the last that isn't blank, else the exit code."""
+    some = F.filter(F.split(lines, "\n"), lambda x: ~x.rlike(r"^\s*$"))
+    said = F.filter(some, lambda x: ~x.rlike(r"^[ \t]|^\s*(Traceback \(|\^|~)"))
+    last = lambda found: F.regexp_replace(F.try_element_at(found, F.lit(-1)), r"^\s+|\s+$", "")
+    code = F.coalesce(exit_code.cast("string") if exit_code is not None else F.lit(None).cast("string"), F.lit("None"))
+    return F.coalesce(F.substring(F.coalesce(last(said), last(some)), 1, most), F.concat(F.lit("exited with code "), code, F.lit(" and no output")))
 
 
 def token_hash(token: Column) -> Column:

@@ -46,9 +46,12 @@ def hamming_pairs(items: DataFrame, threshold: int, scope: list[str] | None = No
 
 
 def visual_groups(items: DataFrame, threshold: int = 5) -> DataFrame:
-    """id, component of items that are near another, directly or through others."""
-    pairs = hamming_pairs(items, threshold)
-    return components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    """id, component of items that are near another, directly or through others. Equal hashes are one node, so copies cost a link each."""
+    known = items.filter("hash IS NOT NULL").select("id", "hash")
+    nodes = known.groupBy("hash").agg(F.min("id").alias("first"))
+    pairs = hamming_pairs(nodes.select(F.col("first").alias("id"), "hash"), threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    copies = known.join(nodes, "hash").filter("id <> first").select(F.col("first").alias("src"), F.col("id").alias("dst"))
+    return components(pairs.unionByName(copies))
 
 
 def drop_ids(*groups: DataFrame) -> DataFrame:

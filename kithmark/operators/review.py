@@ -81,10 +81,13 @@ def retarget(queue: DataFrame, targets: DataFrame, now: int) -> DataFrame:
 
 
 def suggest_name(queue: DataFrame, names: DataFrame) -> DataFrame:
-    """queue with suggested_name set in the payloads of new persons."""
-    body = F.from_json("payload_json", "face_ids array<bigint>, size bigint")
+    """queue with suggested_name set in the payloads of new persons; their other keys stay as they are."""
     got = queue.join(names, "item_id", "left")
-    new = F.to_json(F.struct(body["face_ids"].alias("face_ids"), body["size"].alias("size"), F.col("name").alias("suggested_name")))
+    old = r'"suggested_name"\s*:\s*(?:"(?:[^"\\]|\\.)*"|null)'
+    bare = F.regexp_replace(F.regexp_replace("payload_json", rf"\s*,\s*{old}", ""), rf"{old}\s*,?\s*", "")
+    body = F.regexp_replace(bare, r"\s*\}\s*$", "")
+    own = F.substring(F.to_json(F.struct(F.col("name").alias("suggested_name"))), 2, 1 << 30)
+    new = F.concat(body, F.when(body.rlike(r"\{\s*$"), "").otherwise(","), own)
     return got.withColumn("payload_json", F.when((F.col("kind") == "new_person") & F.col("name").isNotNull(), new).otherwise(F.col("payload_json"))).select(*queue.columns)
 
 

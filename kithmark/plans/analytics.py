@@ -163,10 +163,11 @@ def fn_anchor_decode(t):
     return at.select("id", (centre - 3).alias("x1"), (centre + 5).alias("x2"))
 
 
-@query("""SELECT id, CASE WHEN s < 60 THEN CAST(s AS VARCHAR) || 's' WHEN s < 3600 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%dh %02dm', s // 3600, s // 60 % 60) END AS duration,
-CASE WHEN s / 50 >= 1 THEN printf('%.1f/s', s / 50) ELSE printf('%.1f/min', s / 50 * 60) END AS rate FROM (SELECT doc_id AS id, n_chars AS s FROM documents)""")
+@query("""SELECT id, CASE WHEN s < 60 THEN CAST(CAST(round_even(greatest(s, 0), 0) AS BIGINT) AS VARCHAR) || 's' WHEN s < 3600 THEN printf('%dm %02ds', w // 60, w % 60) ELSE printf('%dh %02dm', w // 3600, w // 60 % 60) END AS duration,
+CASE WHEN s / 50 >= 1 THEN printf('%.1f/s', s / 50) WHEN s > 0 THEN printf('%.1f/min', s / 50 * 60) ELSE '0/s' END AS rate
+FROM (SELECT *, CAST(floor(s) AS BIGINT) AS w FROM (SELECT doc_id AS id, CASE WHEN doc_id % 9 = 0 THEN -3.0 WHEN doc_id % 9 < 5 THEN doc_id % 240 / 4 ELSE CAST(n_chars AS DOUBLE) END AS s FROM documents))""")
 def fn_duration(t):
-    s = F.col("n_chars")
+    s = F.expr("CASE WHEN doc_id % 9 = 0 THEN -3.0D WHEN doc_id % 9 < 5 THEN doc_id % 240 / 4 ELSE CAST(n_chars AS DOUBLE) END")
     return t.documents.select(F.col("doc_id").alias("id"), S.human_duration(s).alias("duration"), S.human_rate(s / 50).alias("rate"))
 
 
@@ -181,10 +182,14 @@ def fn_console_line(t):
     return t.documents.select(F.col("doc_id").alias("id"), S.console_line(raw).alias("line"))
 
 
-@query("SELECT doc_id AS id, 'ValueError: bad ' || CAST(doc_id AS VARCHAR) AS reason FROM documents")
+@query("SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'ValueError: bad ' || CAST(doc_id AS VARCHAR) WHEN 1 THEN 'SyntaxError: odd' WHEN 2 THEN 'at line ' || CAST(doc_id AS VARCHAR) ELSE 'exited with code 3 and no output' END AS reason FROM documents")
 def fn_failure_reason(t):
-    text = F.concat(F.lit("Traceback (most recent call last):\n  File x\nValueError: bad "), F.col("doc_id").cast("string"), F.lit("\n    more\n"))
-    return t.documents.select(F.col("doc_id").alias("id"), S.failure_reason(text).alias("reason"))
+    number, k = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    text = (
+        F.when(k == 0, F.concat(F.lit("Traceback (most recent call last):\n  File x\nValueError: bad "), number, F.lit("\n    more\n"))).when(k == 1, "SyntaxError: odd  \n^^^^\n~~~ here\n")
+        .when(k == 2, F.concat(F.lit("  in a\n  at line "), number, F.lit(" \n\n"))).otherwise(" \n\n")
+    )
+    return t.documents.select(F.col("doc_id").alias("id"), S.failure_reason(text, F.lit(3)).alias("reason"))
 
 
 @query("SELECT id, lower(trim(name)) AS name, rtrim('http://x//', '/') AS base FROM persons WHERE name LIKE '%00%'")
@@ -593,9 +598,9 @@ def set_new_minus_seen(t):
     return review.fresh(new, review.existing_identities(t.queue), "item_id").select("shape", "key", "item_id")
 
 
-@query("SELECT q.item_id, m.face_id FROM queue q JOIN members m ON m.cluster_id = 'src' || CAST(q.item_id % 40 AS VARCHAR) WHERE q.kind = 'new_person' AND q.item_id < 2000 UNION ALL SELECT item_id, CAST(unnest([item_id * 8 + 1, item_id * 8 + 2]) AS BIGINT) FROM queue q WHERE kind = 'new_person' AND item_id < 2000 AND item_id % 40 >= 20")
+@query("SELECT q.item_id, m.face_id FROM queue q JOIN members m ON m.cluster_id = 'src' || CAST(q.item_id % 40 AS VARCHAR) WHERE q.kind = 'new_person' UNION ALL SELECT item_id, CAST(unnest([item_id * 8 + 1, item_id * 8 + 2]) AS BIGINT) FROM queue q WHERE kind = 'new_person' AND item_id % 40 >= 20")
 def set_cluster_expand(t):
-    q = t.queue.filter("kind = 'new_person' AND item_id < 2000").select("item_id", "status", "payload_json", F.concat(F.lit("src"), (F.col("item_id") % 40).cast("string")).alias("cluster_id"))
+    q = t.queue.filter("kind = 'new_person'").select("item_id", "status", "payload_json", F.concat(F.lit("src"), (F.col("item_id") % 40).cast("string")).alias("cluster_id"))
     full = q.join(t.members.select("cluster_id", "face_id"), "cluster_id").select("item_id", "face_id")
     rest = review.referenced_faces(q.join(t.members.select("cluster_id"), "cluster_id", "left_anti")).select("item_id", "face_id")
     return full.unionByName(rest)

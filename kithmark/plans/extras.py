@@ -33,10 +33,11 @@ def fn_version_hash(t):
     return t.documents.select(F.col("doc_id").alias("id"), S.version_hash(F.col("source"), F.col("lang")).alias("version"))
 
 
-@query("SELECT event_id AS id, CASE WHEN value / 10 >= 1 THEN 'fast' ELSE 'slow' END AS speed FROM events")
+@query("""SELECT event_id AS id, CASE WHEN v >= 1 THEN printf('%.1f/s', v) WHEN v > 0 THEN printf('%.1f/min', v * 60) ELSE '0/s' END AS rate
+FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE event_id % 512 / 128 END AS v FROM events)""")
 def fn_rate(t):
-    said = S.human_rate(F.col("value") / 10)
-    return t.events.select(F.col("event_id").alias("id"), F.when(said.endswith("/s"), "fast").otherwise("slow").alias("speed"))
+    per_second = F.expr("CASE WHEN event_id % 7 = 0 THEN 0.0D ELSE event_id % 512 / 128 END")
+    return t.events.select(F.col("event_id").alias("id"), S.human_rate(per_second).alias("rate"))
 
 
 @query("SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'not a readable image' WHEN 1 THEN 'original is missing' WHEN 2 THEN 'image file is truncated' ELSE 'ValueError: odd ' || event_type END AS reason FROM events")

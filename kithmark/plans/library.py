@@ -187,10 +187,10 @@ def join_lookup_map(t):
     return library.top_pick(t.photos)
 
 
-@query("SELECT f.face_id, p.name FROM faces f LEFT JOIN persons p ON p.id = f.face_id % 97 + 1 WHERE f.face_id % 5 = 0")
+@query("SELECT f.face_id, p.name FROM faces f LEFT JOIN persons p ON p.id = f.face_id % 97 + 1")
 def join_map_lookups(t):
     names = t.persons.select(F.col("id").alias("person"), "name")
-    return t.faces.filter("face_id % 5 = 0").withColumn("person", F.col("face_id") % 97 + 1).join(names, "person", "left").select("face_id", "name")
+    return t.faces.withColumn("person", F.col("face_id") % 97 + 1).join(names, "person", "left").select("face_id", "name")
 
 
 @query("SELECT face_id, space, l AS person_id, photo_id FROM (SELECT face_id, space, photo_id, face_id % 100 + 1 AS l FROM faces) f WHERE NOT EXISTS (SELECT 1 FROM person_photos t WHERE t.space = f.space AND t.person_id = f.l AND t.photo_id = f.photo_id)")

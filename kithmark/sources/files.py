@@ -31,9 +31,9 @@ def write_grid(frames: list[DataFrame], path: str) -> None:
     out.write.mode("overwrite").csv(path, header=True)
 
 
-def snapshot(df: DataFrame, path: str, files: int = 1) -> None:
-    """A compact copy in a new folder; an existing one is an error."""
-    df.coalesce(files).write.mode("errorifexists").parquet(path)
+def snapshot(df: DataFrame, path: str, files: int | None = None) -> None:
+    """A copy in a new folder, in as many files as df has partitions unless `files` says fewer; an existing folder is an error."""
+    (df.coalesce(files) if files else df).write.mode("errorifexists").parquet(path)
 
 
 def append_events(events: DataFrame, path: str) -> None:

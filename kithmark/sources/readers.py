@@ -20,7 +20,7 @@ class Page(InputPartition):
 class PagedSource(DataSource):
     """A service that answers (offset, limit) with JSON rows; each partition reads one range of pages until one is short.
 
-    Options: fetch (module:function of (offset, limit, options) -> list of dicts), total (an upper bound), page_size, pages (of a partition).
+    Options: fetch (module:function of (offset, limit, options) -> list of dicts), total (about how many rows there are: the last partition reads on until a page is short), page_size, pages (of a partition).
     """
 
     @classmethod
@@ -40,7 +40,8 @@ class PagedReader(DataSourceReader):
 
     def partitions(self) -> list[Page]:
         span = int(self.options.get("page_size", 500)) * int(self.options.get("pages", 20))
-        return [Page(at, span) for at in range(0, int(self.options["total"]), span)]
+        starts = range(0, max(1, int(self.options["total"])), span)
+        return [Page(at, span if at != starts[-1] else 1 << 62) for at in starts]
 
     def read(self, partition: Page) -> Iterator[tuple[str]]:
         import importlib

@@ -1,5 +1,6 @@
 """Operators of the library on small frames, against brute force."""
 
+import json
 import random
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
@@ -180,6 +181,33 @@ def test_scalars(spark):
     assert tuple(row) == (64, "1h 07m", "1.5 KB", "b", "", "/crops/x/1.jpg", None, 0.0)
 
 
+@pytest.mark.parametrize(("seconds", "said"), [(59.7, "60s"), (-3.0, "0s"), (0.5, "0s"), (61.9, "1m 01s"), (3600.0, "1h 00m"), (7379.9, "2h 02m")])
+def test_durations(spark, seconds, said):
+    assert spark.range(1).select(S.human_duration(F.lit(seconds))).first()[0] == said
+
+
+@pytest.mark.parametrize(("rate", "said"), [(0.0, "0/s"), (-1.0, "0/s"), (0.25, "15.0/min"), (1.0, "1.0/s")])
+def test_rates(spark, rate, said):
+    assert spark.range(1).select(S.human_rate(F.lit(rate))).first()[0] == said
+
+
+@pytest.mark.parametrize(("text", "reason"), [("Traceback (most recent call last):\n  File\nKeyError: 'x'\n", "KeyError: 'x'"), ("Oops: y \n^^^\n~~\n", "Oops: y"), ("  a\n\tb \n \n", "b"), (" \n", "exited with code 7 and no output"), ("x" * 600, "x" * 500)])
+def test_failure_reasons(spark, text, reason):
+    assert spark.range(1).select(S.failure_reason(F.lit(text), F.lit(7))).first()[0] == reason
+
+
+@pytest.mark.parametrize("payload", ['{"face_ids":[1,2],"size":2}', '{"suggested_name":"old","face_ids":[1],"evidence":{"a":[1,{"b":"}"}]}}', '{"x":null,"suggested_name":null,"y":"a,b"}', '{ }', '{"suggested_name":"q\\"}"}'])
+def test_a_suggested_name_keeps_the_rest(spark, payload):
+    queue = spark.createDataFrame([(1, "new_person", payload), (2, "merge", payload), (3, "new_person", payload)], "item_id long, kind string, payload_json string")
+    got = {r.item_id: r.payload_json for r in review.suggest_name(queue, spark.createDataFrame([(1, 'A "b"'), (2, "no")], "item_id long, name string")).collect()}
+    assert json.loads(got[1]) == json.loads(payload) | {"suggested_name": 'A "b"'} and got[2] == got[3] == payload
+
+
+def test_equal_hashes_cost_a_link_each(spark):
+    items = spark.createDataFrame([(i, "ab" * 8) for i in range(300)] + [(900, "ab" * 7 + "aa"), (901, "00" * 8)], "id long, hash string")
+    assert {r.id: r.component for r in dedupe.visual_groups(items).collect()} == dict.fromkeys([*range(300), 900], 0)
+
+
 def test_floats_are_decoded_in_the_jvm(spark):
     x = np.array([0.0, -1.5, 3.14159, 1e-20, 65504.0, -2.5e8], "<f4")
     got = spark.createDataFrame([(bytearray(x.tobytes()),), (bytearray(),)], "b binary").select(readers.floats(F.col("b")).alias("v")).collect()
@@ -192,9 +220,10 @@ def fake_pages(offset, limit, options):
 
 def test_paged_source_reads_every_page_once(spark):
     spark.dataSource.register(readers.PagedSource)
-    got = spark.read.format("paged").option("fetch", "test_operators:fake_pages").option("total", 3000).option("page_size", 100).option("pages", 4).load()
-    ids = [r.id for r in got.select(F.get_json_object("value", "$.id").cast("long").alias("id")).collect()]
-    assert sorted(ids) == list(range(1234))
+    for total in (3000, 500, 0):  # more and fewer rows than were said
+        got = spark.read.format("paged").option("fetch", "test_operators:fake_pages").option("total", total).option("page_size", 100).option("pages", 4).load()
+        ids = [r.id for r in got.select(F.get_json_object("value", "$.id").cast("long").alias("id")).collect()]
+        assert sorted(ids) == list(range(1234))
 
 
 def test_upsert_and_vanish(spark):
