@@ -37,9 +37,6 @@ def fn_phash(t):
     return hashes(t)
 
 
-HAM = "p AS (SELECT a.id AS a, b.id AS b, hamming(a.bits, b.bits) AS distance FROM h a JOIN h b ON a.id < b.id)"
-
-
 @query(f"WITH {BITS}, {HEX} SELECT a.id AS a, b.id AS b, CAST(hamming(a.bits, b.bits) AS BIGINT) AS distance FROM h a JOIN h b ON b.id = a.id + 1")
 def fn_hamming(t):
     a = hashes(t)
@@ -47,15 +44,34 @@ def fn_hamming(t):
     return a.join(b, "id").select(F.col("id").alias("a"), "b", S.hamming64(F.col("hash"), F.col("other")).alias("distance"))
 
 
-@query(f"WITH {BITS}, {HEX}, {HAM} SELECT a, b, CAST(distance AS BIGINT) AS distance FROM p WHERE distance <= 15")
+def text_sql() -> str:
+    """h (id, hash as a number of 64 bits) of the documents: the bits that more than half of the three-word shingles have."""
+    bit = " + ".join(f"CASE WHEN 2 * sum((m // {1 << i}) % 2) > count(*) THEN {1 << i}::HUGEINT ELSE 0 END" for i in range(64))
+    return f"""w AS (SELECT doc_id AS id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT id, array_to_string(list_slice(w, i, i + 2), ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+m AS (SELECT id, CAST('0x' || substr(md5(s), 1, 16) AS UBIGINT)::HUGEINT AS m FROM s), h AS (SELECT id, ({bit})::UBIGINT AS hash FROM m GROUP BY id)"""
+
+
+FOLDED = f"{text_sql()}, f AS (SELECT min(id) AS id, hash FROM h GROUP BY hash), p AS (SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.hash, b.hash)) AS BIGINT) AS distance FROM f a JOIN f b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 5)"
+
+
+def text_hashes(t: Tables) -> DataFrame:
+    return dedupe.text_hashes(t.documents.select(F.col("doc_id").alias("id"), "text"))
+
+
+@query(f"WITH {FOLDED} SELECT a, b, distance FROM p")
 def join_hamming(t):
-    return dedupe.hamming_pairs(hashes(t), 15)
+    """Pairs of different hashes within 5 bits, each hash by its smallest id."""
+    from .storage import written
+
+    return dedupe.hamming_pairs(written(dedupe.fold_hashes(text_hashes(t)), "hashes"), 5)
 
 
-@query(f"""WITH RECURSIVE {BITS}, {HEX}, {HAM}, e AS (SELECT a AS x, b AS y FROM p WHERE distance <= 18 UNION ALL SELECT b, a FROM p WHERE distance <= 18),
-r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT x AS id, least(min(y), x) AS component FROM r GROUP BY x""")
+@query(f"""WITH RECURSIVE {FOLDED}, e AS (SELECT a AS x, b AS y FROM p UNION ALL SELECT b, a FROM p),
+r(x, y) AS (SELECT id, id FROM f UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), c AS (SELECT x, min(y) AS component, count(*) AS n FROM r GROUP BY x), k AS (SELECT f.hash, min(f.id) AS id, count(*) AS n FROM f JOIN h ON h.hash = f.hash GROUP BY 1)
+SELECT h.id, c.component FROM h JOIN k ON k.hash = h.hash JOIN c ON c.x = k.id WHERE c.n > 1 OR k.n > 1""")
 def op_dedupe_visual(t):
-    return dedupe.visual_groups(hashes(t), 18)
+    return dedupe.visual_groups(text_hashes(t), 5)
 
 
 @query("SELECT vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS d FROM embeddings")

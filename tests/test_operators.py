@@ -1,6 +1,8 @@
 """Operators of the library on small frames, against brute force."""
 
+import hashlib
 import json
+import math
 import random
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
@@ -42,6 +44,37 @@ def test_hamming_pairs_match_brute_force(spark):
     assert got == {(i, j): (items[i] ^ items[j]).bit_count() for i in range(len(items)) for j in range(i + 1, len(items)) if (items[i] ^ items[j]).bit_count() <= 6}
 
 
+@pytest.mark.parametrize("rows", [1, 10_000, 10**6, 10**8])
+def test_hamming_segments_of_all_sizes_find_the_same(spark, rows):
+    rng = random.Random(rows)
+    base = [rng.getrandbits(64) for _ in range(12)] + [0, 2**64 - 1]
+    items = sorted({x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for x in base for _ in range(6)})
+    df = spark.createDataFrame([(i, f"{x:016x}") for i, x in enumerate(items)] + [(900, None)], "id long, hash string")
+    got = [(r.a, r.b, r.distance) for r in dedupe.hamming_pairs(df, 5, rows=rows).collect()]
+    assert sorted(got) == [(i, j, (items[i] ^ items[j]).bit_count()) for i in range(len(items)) for j in range(i + 1, len(items)) if (items[i] ^ items[j]).bit_count() <= 5]
+
+
+def test_hamming_pairs_meet_few_candidates():
+    """Values probed times the chance to meet, over random hashes."""
+    for rows in (10_000, 10**6, 10**8):
+        met = sum(sum(math.comb(w, d) for d in range(r + 1)) / 2**w for _, w, r in dedupe.segments(5, rows))
+        assert met < 0.01 and met * rows < 2000
+
+
+def test_text_hashes_by_hand(spark):
+    texts = {1: "a b c d e", 2: "a b c d e", 3: "", 4: "one", 5: "a  b", 6: None, 7: " ".join(str(i) for i in range(3000))}
+    want = {}
+    for i, text in texts.items():
+        if text is not None:
+            w = text.split(" ")
+            h = [int(hashlib.md5(" ".join(w[j : j + 3]).encode()).hexdigest()[:16], 16) for j in range(len(w))]
+            want[i] = f"{sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)):016x}"
+    got = {r.id: r.hash for r in dedupe.text_hashes(spark.createDataFrame(list(texts.items()), "id long, text string")).collect()}
+    assert got == want
+    folded = {r.hash: (r.id, r.copies) for r in dedupe.fold_hashes(dedupe.text_hashes(spark.createDataFrame(list(texts.items()), "id long, text string"))).collect()}
+    assert folded[want[1]] == (1, 2) and len(folded) == 5
+
+
 def unit(rng, n, dim):
     x = rng.normal(size=(n, dim))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
