@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..plans.storage import written
+from .ids import consecutive
 
 SEEN = ("pending", "approved", "applied", "hidden")
 
@@ -62,8 +64,9 @@ def decide(queue: DataFrame, choices: DataFrame, now: int) -> DataFrame:
 
 
 def undo(queue: DataFrame, ids: DataFrame) -> DataFrame:
-    """Approved, rejected or hidden rows that nobody retargeted go back to pending."""
-    free = F.col("status").isin("approved", "rejected", "hidden") & json_at("original_person_id").isNull() & json_at("retargeted_to").isNull()
+    """Approved, rejected or hidden rows go back to pending, but for those hidden because their faces were given to a person."""
+    moved = F.coalesce(~json_at("retargeted_to").isin("", "{}", "[]", "0", "false"), F.lit(False))
+    free = F.col("status").isin("approved", "rejected") | (F.col("status") == "hidden") & ~moved
     got = queue.join(ids.select("item_id", F.lit(True).alias("asked")), "item_id", "left").withColumn("back", F.col("asked").isNotNull() & free)
     return got.withColumns({"status": F.when(F.col("back"), "pending").otherwise(F.col("status")), "decided_at": F.when(~F.col("back"), F.col("decided_at"))}).select(*queue.columns)
 
@@ -73,21 +76,70 @@ def bulk_approve(queue: DataFrame, kind: str, least: float, now: int) -> DataFra
     return queue.withColumns({"status": F.when(hit, "approved").otherwise(F.col("status")), "decided_at": F.when(hit, F.lit(now).cast("long")).otherwise(F.col("decided_at"))})
 
 
-def retarget(queue: DataFrame, targets: DataFrame, now: int) -> DataFrame:
-    """item_id, person_id, original_person_id, status, confidence after giving face rows another person: approved, no confidence."""
-    got = queue.filter(F.col("kind").isin("assign", "low_confidence")).join(targets, "item_id")
-    first = F.coalesce(json_at("original_person_id", "long"), json_at("person_id", "long"))
-    return got.select("item_id", F.col("target_person").alias("person_id"), first.alias("original_person_id"), F.lit("approved").alias("status"), F.lit(None).cast("double").alias("confidence"))
+def json_text(c: Column) -> Column:
+    """A value as JSON; null as null."""
+    return F.coalesce(F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit("null"))
+
+
+def set_keys(payload: Column, values: dict[str, Column]) -> Column:
+    """A JSON object with plain values under these keys replaced or added at its end (JSON texts); the others stay as they are."""
+    body = payload
+    for key in values:
+        old = rf'"{key}"\s*:\s*(?:"(?:[^"\\]|\\.)*"|[^,{{}}\[\]"\s]+)'
+        body = F.regexp_replace(F.regexp_replace(body, rf"\s*,\s*{old}", ""), rf"{old}\s*,?\s*", "")
+    body = F.regexp_replace(body, r"\s*\}\s*$", "")
+    added = F.concat_ws(",", *(F.concat(F.lit(f'"{key}":'), F.when(v == "", "null").otherwise(v)) for key, v in values.items()))
+    return F.concat(body, F.when(body.rlike(r"\{\s*$"), "").otherwise(","), added, F.lit("}"))
+
+
+def retarget(queue: DataFrame, targets: DataFrame, members: DataFrame, faces: DataFrame, photos: DataFrame, now: int) -> DataFrame:
+    """Rows of the queue that giving items to other persons changes or makes, with all its columns. targets: item_id, space, person_id, name.
+
+    Face rows (assign, low_confidence) get the person, remember the one before, lose their confidence and are approved.
+    A new_person row is hidden, and every face of its cluster becomes an approved assign row with the next free id. The
+    cluster is that of the first exemplar in members (run_id, cluster_id, face_id); without one, the exemplars stand for it.
+    Applied and hidden rows are refused, as are face rows of another space than the person's; faces of another space,
+    of no known photo or of one without a size are left out. A face is once in faces, and in one cluster of a run.
+    """
+    name = F.when(F.col("name") != "", F.col("name"))
+    asked = targets.select("item_id", F.col("space").alias("to_space"), F.col("person_id").alias("to_person"), name.alias("to_name"))
+    open_ = queue.filter("status NOT IN ('applied', 'hidden')").join(asked, "item_id")
+    at = F.lit(now).cast("long")
+    new = {"decided_at": at, "confidence": F.lit(None).cast("double"), "status": F.lit("approved")}
+
+    face = open_.filter(F.col("kind").isin("assign", "low_confidence")).filter(F.coalesce(json_at("space"), F.lit("")).isin("") | (json_at("space") == F.col("to_space")))
+    moved = {"original_person_id": json_text(json_at("person_id", "long")), "person_id": json_text(F.col("to_person")), "person_name": json_text(F.col("to_name")), "manual_target": F.lit("true")}
+    changed = face.withColumns({**new, "payload_json": set_keys(F.col("payload_json"), moved)})
+
+    clusters = written(open_.filter("kind = 'new_person'").withColumn("exemplars", F.from_json(json_at("face_ids"), "array<bigint>")), "clusters")
+    seed = clusters.select("item_id", "run_id", F.get("exemplars", F.lit(0)).alias("face_id")).join(members, ["run_id", "face_id"]).select("item_id", "run_id", "cluster_id").distinct()
+    whole = seed.join(members, ["run_id", "cluster_id"]).select("item_id", "face_id").distinct()
+    alone = clusters.join(seed, "item_id", "left_anti").select("item_id", F.explode("exemplars").alias("face_id"))
+    size = photos.select("space", F.col("id").alias("photo_id"), "width", "height")
+    box = S.normalized_box(*(F.col(c) for c in ("x", "y", "w", "h", "width", "height")))
+    placed = faces.join(size, ["space", "photo_id"]).select("face_id", "space", "photo_id", F.array(*box).alias("bbox_normalized")).filter("bbox_normalized[0] IS NOT NULL")
+    each = whole.unionByName(alone).join(placed, "face_id").join(clusters.select("item_id", "run_id", "to_space", "to_person", "to_name"), "item_id").filter("space = to_space")
+    last = queue.agg(F.coalesce(F.max("item_id"), F.lit(0)).alias("last"))  # one row
+    ranked = written(consecutive(each.withColumnRenamed("item_id", "source_item_id"), ["source_item_id", "face_id"], "n", 1).crossJoin(F.broadcast(last)).withColumn("item_id", F.col("n") + F.col("last")), "made")
+    payload = F.struct("face_id", "photo_id", "space", F.col("to_person").alias("person_id"), F.col("to_name").alias("person_name"), "bbox_normalized", F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("manual_target"), "source_item_id")
+    made = ranked.withColumns({**new, "kind": F.lit("assign"), "payload_json": F.to_json(payload, {"ignoreNullFields": "false"})})
+
+    span = ranked.groupBy(F.col("source_item_id").alias("item_id")).agg(F.min("item_id").alias("lo"), F.max("item_id").alias("hi"))
+    became = F.struct(F.col("to_space").alias("space"), F.col("to_person").alias("person_id"), F.col("to_name").alias("person_name"), F.coalesce(F.sequence("lo", "hi"), F.array().cast("array<bigint>")).alias("item_ids"))
+    note = {"retargeted_to": F.to_json(became, {"ignoreNullFields": "false"})}
+    hidden = clusters.join(span, "item_id", "left").withColumns({"decided_at": at, "status": F.lit("hidden"), "payload_json": set_keys(F.col("payload_json"), note)})
+    return changed.select(*queue.columns).unionByName(hidden.select(*queue.columns)).unionByName(_with_columns(made, queue).select(*queue.columns))
+
+
+def _with_columns(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df with a null for every column of `like` that it lacks."""
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in like.schema.fields if f.name not in df.columns})
 
 
 def suggest_name(queue: DataFrame, names: DataFrame) -> DataFrame:
     """queue with suggested_name set in the payloads of new persons; their other keys stay as they are."""
     got = queue.join(names, "item_id", "left")
-    old = r'"suggested_name"\s*:\s*(?:"(?:[^"\\]|\\.)*"|null)'
-    bare = F.regexp_replace(F.regexp_replace("payload_json", rf"\s*,\s*{old}", ""), rf"{old}\s*,?\s*", "")
-    body = F.regexp_replace(bare, r"\s*\}\s*$", "")
-    own = F.substring(F.to_json(F.struct(F.col("name").alias("suggested_name"))), 2, 1 << 30)
-    new = F.concat(body, F.when(body.rlike(r"\{\s*$"), "").otherwise(","), own)
+    new = set_keys(F.col("payload_json"), {"suggested_name": json_text(F.col("name"))})
     return got.withColumn("payload_json", F.when((F.col("kind") == "new_person") & F.col("name").isNotNull(), new).otherwise(F.col("payload_json"))).select(*queue.columns)
 
 

@@ -688,12 +688,15 @@ def mut_decide(t):
     return review.decide(t.queue, choices, 1_800_000_000).select("item_id", "status", "decided_at")
 
 
-UNDO = "item_id % 2 = 0 AND status IN ('approved', 'rejected', 'hidden') AND (kind NOT IN ('assign', 'low_confidence') OR payload_json NOT LIKE '%original_person_id%')"
+UNDO = "item_id % 2 = 0 AND (status IN ('approved', 'rejected') OR status = 'hidden' AND item_id % 4 <> 0)"
 
 
 @query(f"SELECT item_id, CASE WHEN {UNDO} THEN 'pending' ELSE status END AS status, CASE WHEN {UNDO} THEN NULL ELSE decided_at END AS decided_at FROM queue")
 def mut_undo(t):
-    return review.undo(t.queue, t.queue.filter("item_id % 2 = 0").select("item_id")).select("item_id", "status", "decided_at")
+    """Every fourth row says that its faces were given to a person."""
+    moved = F.when(F.col("item_id") % 4 == 0, '{"size":2,"retargeted_to":{"person_id":7,"item_ids":[1]}}').otherwise(F.col("payload_json"))
+    queue = t.queue.withColumn("payload_json", moved)
+    return review.undo(queue, queue.filter("item_id % 2 = 0").select("item_id")).select("item_id", "status", "decided_at")
 
 
 @query("SELECT item_id, CASE WHEN status = 'pending' AND kind = 'assign' AND confidence >= 0.3 THEN 'approved' ELSE status END AS status FROM queue")
@@ -701,10 +704,21 @@ def mut_bulk(t):
     return review.bulk_approve(t.queue, "assign", 0.3, 1_800_000_000).select("item_id", "status")
 
 
-@query("SELECT item_id, item_id % 50 AS person_id, coalesce(CAST(json_extract_string(payload_json, '$.original_person_id') AS BIGINT), CAST(json_extract_string(payload_json, '$.person_id') AS BIGINT)) AS original_person_id, 'approved' AS status FROM queue WHERE kind IN ('assign', 'low_confidence') AND item_id % 3 = 0")
+@query("""WITH q AS (SELECT * FROM queue WHERE item_id % 3 = 0 AND status NOT IN ('applied', 'hidden')), u AS (SELECT face_id, space, photo_id, min(x) AS x FROM faces GROUP BY 1, 2, 3), m AS (SELECT photo_id % 5 AS run_id, * FROM u),
+s AS (SELECT DISTINCT q.item_id, m.photo_id FROM q JOIN m ON m.face_id = item_id * 8 + 1 AND m.run_id = q.run_id WHERE kind = 'new_person'), c AS (SELECT s.item_id, m.face_id FROM s JOIN m ON m.photo_id = s.photo_id UNION ALL SELECT item_id, unnest([item_id * 8 + 1, item_id * 8 + 2]) FROM q WHERE kind = 'new_person' AND item_id NOT IN (SELECT item_id FROM s)),
+e AS (SELECT c.item_id AS source, f.face_id, round(f.x / d.width, 6) AS x1, (SELECT max(item_id) FROM queue) + row_number() OVER (ORDER BY c.item_id, f.face_id) AS item_id FROM c JOIN u f ON f.face_id = c.face_id JOIN frames d ON d.space = f.space AND d.id = f.photo_id WHERE f.space = 'personal' AND d.width > 0 AND d.height > 0)
+SELECT item_id, kind, 'approved' AS status, item_id * 8 + 1 AS face_id, item_id % 50 AS person_id, CAST(json_extract_string(payload_json, '$.person_id') AS BIGINT) AS original_person_id, NULL AS source_item_id, NULL AS x1, NULL AS made, 'Name' AS person_name FROM q WHERE kind IN ('assign', 'low_confidence')
+UNION ALL SELECT item_id, 'new_person', 'hidden', NULL, item_id % 50, NULL, NULL, NULL, (SELECT count(*) FROM e WHERE e.source = q.item_id), 'Name' FROM q WHERE kind = 'new_person' UNION ALL SELECT item_id, 'assign', 'approved', face_id, source % 50, NULL, source, x1, NULL, 'Name' FROM e""")
 def mut_retarget(t):
-    targets = t.queue.filter("item_id % 3 = 0").select("item_id", (F.col("item_id") % 50).alias("target_person"))
-    return review.retarget(t.queue, targets, 1_800_000_000).drop("confidence")
+    """Every third item goes to a person: face rows change, clusters of new persons become a row for each face."""
+    targets = t.queue.filter("item_id % 3 = 0").select("item_id", F.lit("personal").alias("space"), (F.col("item_id") % 50).alias("person_id"), F.lit("Name").alias("name"))
+    faces = t.faces.groupBy("face_id", "space", "photo_id").agg(*(F.min(c).alias(c) for c in "xywh"))  # the stand-in repeats ids
+    members = faces.select((F.col("photo_id") % 5).alias("run_id"), F.col("photo_id").alias("cluster_id"), "face_id")
+    got = review.retarget(t.queue, targets, members, faces, t.frames, 1_800_000_000)
+    at = review.json_at
+    person = F.coalesce(at("person_id", "long"), at("retargeted_to.person_id", "long")).alias("person_id")
+    made = F.size(F.from_json(at("retargeted_to.item_ids"), "array<bigint>"))
+    return got.select("item_id", "kind", "status", at("face_id", "long").alias("face_id"), person, at("original_person_id", "long").alias("original_person_id"), at("source_item_id", "long").alias("source_item_id"), F.round(at("bbox_normalized[0]", "double"), 6).alias("x1"), F.when(made >= 0, made).cast("long").alias("made"), F.coalesce(at("person_name"), at("retargeted_to.person_name")).alias("person_name"))
 
 
 @query("SELECT id, CASE WHEN review_item_id % 2 = 0 THEN NULL ELSE review_item_id END AS review_item_id FROM audit_log")

@@ -295,3 +295,35 @@ def test_tick_takes_places_in_order(spark):
     s = spark.createDataFrame(rows, "id long, job string, enabled long, next_run_at long")
     got = {r.id: r.status for r in events.tick(s, spark.createDataFrame([("job1",), ("x",), ("y",)], "job string"), 500).collect()}
     assert got == {0: "submitted", 1: "skipped", 2: "submitted", 3: "skipped", **{i: "skipped" for i in range(4, 8)}}
+
+
+QUEUE = "item_id long, run_id long, kind string, status string, confidence double, decided_at long, payload_json string"
+
+
+def test_retarget_rewrites_expands_and_refuses(spark):
+    face = '{"face_id":1,"space":"personal","person_id":4,"original_person_id":2,"note":"a, b","bbox_normalized":[0.1,0.2]}'
+    new = '{"face_ids":[10,11],"size":3}'
+    rows = [(1, 1, "assign", "pending", 0.9, None, face), (2, 1, "assign", "applied", 0.9, None, face), (3, 1, "assign", "hidden", 0.9, None, face), (4, 1, "assign", "rejected", 0.9, None, face.replace("personal", "shared")),
+            (5, 1, "new_person", "pending", None, None, new), (6, None, "new_person", "failed", None, None, new), (7, 1, "merge", "pending", 0.5, None, "{}"), (8, 1, "new_person", "hidden", None, None, new), (9, 1, "low_confidence", "pending", 0.1, None, "{}")]
+    queue = spark.createDataFrame(rows, QUEUE)
+    targets = spark.createDataFrame([(i, "personal", 77, 'A "b"' if i != 9 else "") for i in range(1, 10)] + [(99, "personal", 1, "x")], "item_id long, space string, person_id long, name string")
+    members = spark.createDataFrame([(1, 3, f) for f in (10, 11, 12, 13, 14)] + [(2, 3, 15)], "run_id long, cluster_id long, face_id long")
+    faces = spark.createDataFrame([(10, "personal", 1, 10.0, 20.0, 30.0, 40.0), (11, "shared", 1, 1.0, 1.0, 1.0, 1.0), (12, "personal", 2, 1.0, 1.0, 1.0, 1.0), (13, "personal", 1, 50.0, 0.0, 50.0, 50.0)], "face_id long, space string, photo_id long, x double, y double, w double, h double")
+    photos = spark.createDataFrame([("personal", 1, 100, 100), ("shared", 1, 100, 100), ("personal", 2, 0, 100)], "space string, id long, width long, height long")
+    got = {r.item_id: r for r in review.retarget(queue, targets, members, faces, photos, 5).collect()}
+    assert {i: (r.kind, r.status, r.confidence, r.decided_at) for i, r in got.items()} == {1: ("assign", "approved", None, 5), 9: ("low_confidence", "approved", None, 5), 5: ("new_person", "hidden", None, 5), 6: ("new_person", "hidden", None, 5)} | {i: ("assign", "approved", None, 5) for i in (10, 11, 12)}
+    assert json.loads(got[1].payload_json) == {"face_id": 1, "space": "personal", "note": "a, b", "bbox_normalized": [0.1, 0.2], "original_person_id": 4, "person_id": 77, "person_name": 'A "b"', "manual_target": True}
+    assert json.loads(got[9].payload_json) == {"original_person_id": None, "person_id": 77, "person_name": None, "manual_target": True}
+    assert json.loads(got[5].payload_json) == {"face_ids": [10, 11], "size": 3, "retargeted_to": {"space": "personal", "person_id": 77, "person_name": 'A "b"', "item_ids": [10, 11]}}
+    assert json.loads(got[6].payload_json)["retargeted_to"]["item_ids"] == [12]
+    made = {i: json.loads(got[i].payload_json) for i in (10, 11, 12)}
+    assert [(made[i]["source_item_id"], made[i]["face_id"]) for i in (10, 11, 12)] == [(5, 10), (5, 13), (6, 10)]
+    assert made[10] == {"face_id": 10, "photo_id": 1, "space": "personal", "person_id": 77, "person_name": 'A "b"', "bbox_normalized": [0.1, 0.2, 0.4, 0.6], "confidence": None, "manual_target": True, "source_item_id": 5}
+
+
+def test_undo_refuses_what_became_rows(spark):
+    moved = '{"retargeted_to":{"person_id":1}}'
+    rows = [(1, "approved", moved), (2, "rejected", '{"original_person_id":3}'), (3, "hidden", moved), (4, "hidden", "not json"), (5, "applied", "{}"), (6, "pending", "{}"), (7, "hidden", '{"retargeted_to":null}'), (8, "approved", None)]
+    queue = spark.createDataFrame([(i, 1, "assign", st, 0.5, 9, p) for i, st, p in rows], QUEUE)
+    got = {r.item_id: (r.status, r.decided_at) for r in review.undo(queue, queue.filter("item_id < 8").select("item_id")).collect()}
+    assert got == {1: ("pending", None), 2: ("pending", None), 3: ("hidden", 9), 4: ("pending", None), 5: ("applied", 9), 6: ("pending", 9), 7: ("pending", None), 8: ("approved", 9)}
