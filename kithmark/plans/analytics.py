@@ -463,12 +463,26 @@ def op_nms(t):
     return crossref.nms(t.faces.select("photo_id", "face_id", "x", "y", "w", "h", "det_score"), ["photo_id"])
 
 
-@query()
+def union_sql(least: int) -> str:
+    """d: fused detections. The secondary boxes of a photo are walked by falling score; each takes the first primary on its list that is free."""
+    box = "x, y, w, h"
+    inter = "greatest(least(p.x + p.w, n.x + n.w) - greatest(p.x, n.x), 0) * greatest(least(p.y + p.h, n.y + n.h) - greatest(p.y, n.y), 0)"
+    return f"""n AS (SELECT space, photo_id, face_id, {box}, det_score, row_number() OVER (PARTITION BY space, photo_id ORDER BY det_score DESC, face_id, {box}) AS r FROM faces WHERE detector = 'yolo'),
+o AS (SELECT n.space, n.photo_id, n.r, p.face_id AS p, max({inter} / (p.w * p.h + n.w * n.h - {inter})) AS iou FROM n JOIN faces p ON p.space = n.space AND p.photo_id = n.photo_id AND p.detector = 'scrfd' GROUP BY 1, 2, 3, 4),
+c AS (SELECT space, photo_id, r, list(p ORDER BY iou DESC, p) AS c FROM o WHERE iou >= 0.5 GROUP BY 1, 2, 3), l AS (SELECT n.*, coalesce(c.c, []::BIGINT[]) AS c FROM n LEFT JOIN c ON c.space = n.space AND c.photo_id = n.photo_id AND c.r = n.r),
+g AS (SELECT space, photo_id, 0::BIGINT AS r, []::BIGINT[] AS taken, NULL::BIGINT AS pick FROM n GROUP BY 1, 2 UNION ALL SELECT space, photo_id, r, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, pick
+FROM (SELECT l.space, l.photo_id, l.r, g.taken, list_filter(l.c, lambda x: NOT list_contains(g.taken, x))[1] AS pick FROM g JOIN l ON l.space = g.space AND l.photo_id = g.photo_id AND l.r = g.r + 1)),
+k AS (SELECT n.*, g.pick FROM n JOIN g ON g.space = n.space AND g.photo_id = n.photo_id AND g.r = n.r),
+d AS (SELECT p.space, p.photo_id, p.face_id, CASE WHEN k.pick IS NULL THEN 'scrfd' ELSE 'merged' END AS detector, p.det_score, k.det_score AS det_score_secondary FROM faces p LEFT JOIN k ON k.space = p.space AND k.photo_id = p.photo_id AND k.pick = p.face_id WHERE p.detector = 'scrfd' AND least(p.w, p.h) >= {least}
+UNION ALL SELECT space, photo_id, face_id, 'yolo', det_score, NULL FROM k WHERE pick IS NULL AND least(w, h) >= {least})"""
+
+
+@query(f"WITH RECURSIVE {union_sql(100)} SELECT * FROM d")
 def op_detect_union(t):
     return crossref.detect_union(t.faces.select("space", "photo_id", "face_id", "detector", "x", "y", "w", "h", "det_score"), ["space", "photo_id"], min_face_px=100)
 
 
-@query()
+@query(f"WITH RECURSIVE {union_sql(20)} SELECT * FROM d WHERE detector = 'merged'")
 def join_union_detect(t):
     return crossref.detect_union(t.faces.select("space", "photo_id", "face_id", "detector", "x", "y", "w", "h", "det_score"), ["space", "photo_id"]).filter("detector = 'merged'")
 

@@ -132,7 +132,9 @@ def evt_sessions(t):
     return got.select("user_id", F.unix_timestamp("w.start").alias("started"), "n")
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT job_id, phase, ts, done, total, row_number() OVER (PARTITION BY job_id, phase ORDER BY ts, done) AS r FROM job_events WHERE event = 'progress'),
+g AS (SELECT job_id, phase, ts, done, total, r, ts AS last, true AS shown FROM n WHERE r = 1 UNION ALL SELECT n.job_id, n.phase, n.ts, n.done, n.total, n.r, CASE WHEN n.ts - g.last >= 21600 OR n.done >= n.total THEN n.ts ELSE g.last END, n.ts - g.last >= 21600 OR n.done >= n.total FROM g JOIN n ON n.job_id = g.job_id AND n.phase = g.phase AND n.r = g.r + 1)
+SELECT job_id, phase, ts, done, total FROM g WHERE shown""")
 def win_throttle(t):
     """Progress at least six hours after the last one shown for its job and phase, and every final one."""
     return jobs.throttled(t.job_events.filter("event = 'progress'").select("job_id", "phase", "ts", "done", "total"), 6 * 3600)

@@ -39,17 +39,27 @@ def throttle(events: DataFrame, gap_seconds: float) -> DataFrame:
 
 
 def throttled(events: DataFrame, gap_seconds: float) -> DataFrame:
-    """The same over a finished table."""
+    """The same over a finished table.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, keep = None, []
-        for i, at, done, total in zip(pdf.sort_values(["ts", "done"]).index, pdf.sort_values(["ts", "done"])["ts"], pdf.sort_values(["ts", "done"])["done"], pdf.sort_values(["ts", "done"])["total"], strict=True):
-            if last is None or at - last >= gap_seconds or done >= total:
-                keep.append(i)
-                last = at
-        return pdf.loc[keep]
+    Partitions hold whole keys in order, so a task walks them with the last emitted time as its only state: a long job is
+    sorted by Spark, which can spill, and passes in batches.
+    """
 
-    return events.groupBy("job_id", "phase").applyInPandas(run, events.schema)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, None
+        for pdf in frames:
+            keep = []
+            for job, phase, at, done, total in pdf[["job_id", "phase", "ts", "done", "total"]].itertuples(index=False, name=None):
+                own = (None if job != job else job, phase)  # a missing number is one key, too
+                if own != key:
+                    key, last = own, None
+                show = last is None or at - last >= gap_seconds or done >= total
+                keep.append(show)
+                last = at if show else last
+            yield pdf[keep]
+
+    ordered = events.repartition("job_id", "phase").sortWithinPartitions("job_id", "phase", "ts", "done")
+    return ordered.mapInPandas(run, events.schema)
 
 
 def windowed_counts(events: DataFrame, size: str, late: str, by: str = "phase") -> DataFrame:
