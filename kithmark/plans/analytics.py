@@ -566,7 +566,16 @@ def op_holdout(t):
     return holdout(t).withColumn("min_labeled", F.lit(3))
 
 
-@query()
+def grid_sql(edges: tuple[float, ...], majorities: tuple[float, ...]) -> str:
+    """Counts of each setting: components by reach for each threshold, and the clusters whose winner has the majority."""
+    body = ", ".join(f"""u{i} AS (SELECT src AS x, dst AS y FROM k WHERE similarity >= {edge} AND src <> dst UNION SELECT dst, src FROM k WHERE similarity >= {edge} AND src <> dst),
+r{i}(x, y) AS (SELECT x, y FROM u{i} UNION SELECT r{i}.x, u{i}.y FROM r{i} JOIN u{i} ON r{i}.y = u{i}.x), c{i} AS (SELECT x AS face_id, least(min(y), x) AS cluster FROM r{i} GROUP BY x),
+v{i} AS (SELECT cluster, max(n) AS top, sum(n) AS labeled FROM (SELECT cluster, space, person_id, count(*) AS n FROM c{i} JOIN (SELECT * FROM known WHERE labeled) USING (face_id) GROUP BY 1, 2, 3) GROUP BY 1)""" for i, edge in enumerate(edges))
+    rows = " UNION ALL ".join(f"SELECT {edge}::DOUBLE AS edge, {m}::DOUBLE AS majority, count(*) FILTER (labeled >= 2 AND top / labeled >= {m}) AS mapped, count(*) AS voted FROM v{i}" for i, edge in enumerate(edges) for m in majorities)
+    return f"WITH RECURSIVE {KNN}, {body} {rows}"
+
+
+@query(grid_sql((0.3, 0.35), (0.3, 0.6)))
 def op_grid(t):
     """Hold-out counts for each edge threshold and majority; neighbours are computed once."""
     from .storage import written
