@@ -14,7 +14,7 @@ from ..operators import crossref, extract, graph
 from ..operators.ids import consecutive
 from ..sources import files, readers
 from .analytics import DIM, ids, mapping, models, near, tags, truth, vectors
-from .registry import query
+from .registry import SQL, query
 from .standins import Tables
 from .storage import shared_dir
 
@@ -184,7 +184,8 @@ def fn_fromblob(t):
     return back.select(F.col("vec_id").alias("face_id"), F.when(F.col("back") == F.col("embedding"), F.size("back")).otherwise(-1).cast("long").alias("dim"))
 
 
-@query()
+@query(f"""SELECT row_number() OVER (ORDER BY part, key) AS item_id, kind, key, confidence FROM (SELECT 1 AS part, face_id AS key, kind, confidence FROM ({SQL["op_assign"]}) UNION ALL SELECT 2, face_id, 'reassign', confidence FROM ({SQL["op_reassign"]})
+UNION ALL SELECT DISTINCT 3, cluster, 'new_person', NULL::DOUBLE FROM ({SQL["op_new_person"]}) UNION ALL SELECT 4, a * 1000 + b, 'merge', NULL FROM ({SQL["op_merge_intra"]}))""")
 def op_persist_run(t):
     """Queue rows of a run with consecutive ids: assigns by face, reassigns by face, new persons, merges."""
     m, v = t.cluster_of, vectors(t)
