@@ -5,7 +5,9 @@ trees only propose links, which join most large groups of copies cheaply; every
 prefix join completes them: with the shingles of all documents in one order, two sets of n and m that are
 similar enough share one of the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1. Only shingles there that documents
 of different groups have are looked at, of a shingle's documents those of its most frequent group only meet the others, and
-pairs that share too few shingles of their heads are left out. Shingles that a bounded sample shows to be
+pairs that share too few shingles of their heads are left out. So are pairs whose parity sketches differ too much, where they
+would meet: a sketch has a bit for each of 256 classes of shingles, set if an odd number of the set's are in the class. Each shingle
+that only one of two sets has flips one bit, so sketches of copies differ in no more bits than (n + m) / 9, which is all that copies may differ by. Shingles that a bounded sample shows to be
 common come last in the order, which saves work and changes no result.
 
 A set is that of its shingles' XXH64. Documents with the same set are one node. Intermediate tables are deleted when
@@ -29,6 +31,8 @@ from .simhash import first_of, linked_roots, majority, near_links, rooted, shing
 NUM, DEN = 4, 5
 #: Documents that show which shingles are common, and such shingles at most.
 SAMPLE, COMMON = 8192, 200_000
+#: Longs of a parity sketch.
+SKETCH = 4
 
 
 def head_size(n):
@@ -40,6 +44,18 @@ def alike(shared, n, m):
     return shared * (NUM + DEN) >= (n + m) * NUM
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """The parity sketch of distinct hashes: SKETCH longs."""
+    odd = np.bincount((h >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_be_alike(x: Column, y: Column, n: Column, m: Column) -> Column:
+    """False only for sets of n and m with sketches x and y that can't be copies."""
+    differ = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SKETCH)), F.lit(0))
+    return differ * (NUM + DEN) <= (n + m) * (DEN - NUM)
+
+
 def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
     """Hashes of shingles in three or more of about SAMPLE texts, from rare to common."""
     share = min(1.0, SAMPLE / max(1, texts.count()))
@@ -55,7 +71,7 @@ def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """doc_id, key (128 bits of the set), fp, n, head (the set's first shingles), t (the text's bytes) for each row."""
+    """doc_id, key (128 bits of the set), fp, n, bits (its parity sketch), head (the set's first shingles), t (the text's bytes) for each row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     late = common_shingles(texts, words)
     held = docs.sparkSession.sparkContext.broadcast((np.sort(late), np.argsort(late) + 1))
@@ -63,7 +79,7 @@ def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = held.value
         for batch in batches:
-            keys, fps, sizes, heads = [], [], [], []
+            keys, fps, sizes, sketches, heads = [], [], [], [], []
             for t in batch.column("t").to_pylist():
                 h = shingle_hashes(t, words)
                 fps.append(majority(h))
@@ -74,12 +90,13 @@ def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
                     rank = np.where(known[at] == h, place[at], 0)
                 keys.append(xxhash.xxh3_128_hexdigest(h.tobytes()))
                 sizes.append(len(h))
+                sketches.append(parity(h))
                 heads.append(h[np.argsort(rank, kind="stable")[: head_size(len(h))]].view(np.int64) if len(h) else h.view(np.int64))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), batch.column("t"),
-            ], names=["doc_id", "key", "fp", "n", "head", "t"])
+                batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())), batch.column("t"),
+            ], names=["doc_id", "key", "fp", "n", "bits", "head", "t"])
 
-    return texts.mapInArrow(run, "doc_id long, key string, fp long, n long, head array<long>, t binary")
+    return texts.mapInArrow(run, "doc_id long, key string, fp long, n long, bits array<long>, head array<long>, t binary")
 
 
 def named(nodes: DataFrame) -> tuple[DataFrame, Column]:
@@ -126,16 +143,19 @@ def split_shingles(each: DataFrame, links: DataFrame, folder: str) -> DataFrame:
     return written(each.join(small(written(split, "near-split", folder), 2_000_000), "h", "left_semi"), "near-met", folder)
 
 
-def met_in_heads(each: DataFrame, folder: str) -> DataFrame:
-    """a, b: all nodes of different groups that share enough shingles of their heads to be copies. each: rep, n, h, root."""
+def met_in_heads(each: DataFrame, sketches: DataFrame, folder: str) -> DataFrame:
+    """a, b: all nodes of different groups that share enough shingles of their heads to be copies. each: rep, n, h, root; sketches: rep, bits."""
     # A shingle's most frequent group doesn't meet itself, so the work grows with the others' nodes times all.
     sizes = each.groupBy("h", "root").agg(F.count("*").alias("many"))
     top = sizes.groupBy("h").agg(F.max_by("root", F.struct("many", "root")).alias("top"))
-    few = each.join(small(written(top, "near-top", folder), 2_000_000), "h").withColumn("small", F.col("root") != F.col("top")).drop("top")
-    few = written(few, "near-sides", folder)
-    side = lambda df, x: df.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "root", "n", "small")))
+    used = written(each.select("rep").distinct(), "near-meeting", folder)
+    sketches = written(sketches.join(small(used), "rep", "left_semi").dropDuplicates(["rep"]), "near-sketches", folder)
+    few = each.join(small(sketches), "rep").join(small(written(top, "near-top", folder), 2_000_000), "h")
+    few = few.withColumn("small", F.col("root") != F.col("top")).drop("top")
+    side = lambda df, x: df.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "root", "n", "small", "bits")))
     met = side(few.filter("small"), "a").join(side(few, "b").hint("merge"), "h").filter("root_a <> root_b AND (NOT small_b OR rep_a < rep_b)")
     met = met.filter(alike(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b")))
+    met = met.filter(may_be_alike(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b")))
     met = met.groupBy(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).agg(F.count("*").alias("shared"), F.first("n_a").alias("n"), F.first("n_b").alias("m"))
     # The head that ends first in the order shares no more than these, so only what follows a head can add to them.
     tail = lambda n: F.ceil(n * NUM / DEN) - 1
@@ -157,14 +177,14 @@ def copy_groups(docs: DataFrame, words: int = 5, radius: int = 5, text: str = "t
     # Of rows that share a set those with its least id bring its text and head, as good as one another.
     shared = nodes.filter("rows > 1").select(F.col("rep").alias("r"), F.col("least").alias("l"))
     texts = sets.withColumn("rep", name).join(small(written(shared, "near-shared", folder)), F.col("rep") == F.col("r"), "left")
-    texts = texts.filter(F.col("r").isNull() | F.col("doc_id").eqNullSafe(F.col("l"))).select("rep", "n", "head", "t")
+    texts = texts.filter(F.col("r").isNull() | F.col("doc_id").eqNullSafe(F.col("l"))).select("rep", "n", "bits", "head", "t")
 
     prints = written(nodes.groupBy("fp").agg(F.min("rep").alias("rep")), "near-prints", folder)
     same = nodes.join(prints.withColumnRenamed("rep", "b"), "fp").select(F.col("rep").alias("a"), "b")
     first = verified(near_links(prints, radius=radius).unionByName(same), texts.select("rep", "t"), words, folder)
 
     each = split_shingles(texts.select("rep", "n", F.explode("head").alias("h")), first, folder)
-    second = verified(met_in_heads(each, folder), texts.select("rep", "t"), words, folder)
+    second = verified(met_in_heads(each, texts.select("rep", "bits"), folder), texts.select("rep", "t"), words, folder)
 
     groups = rooted(nodes, first.unionByName(second), "rep").select("rep", "component_id")
     groups = written(groups, "near-named", folder)

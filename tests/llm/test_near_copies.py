@@ -72,3 +72,16 @@ def test_odd_rows(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == odd.columns and ids.count(None) == 2 and sorted(i for i in ids if i is not None) == sorted({r for r in want.values()})
     assert near_copies.one_of_copies(odd.limit(0)).count() == 0
+
+
+def test_sketches_rule_out_no_copies(spark):
+    rng, rows, want = np.random.default_rng(5), [], []
+    for n in (1, 2, 9, 10, 90, 400, 3000):
+        for cut in (0, n // 10, n // 9, n // 5, n // 3):
+            x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            y = np.unique(np.concatenate((x[cut:], rng.integers(0, 1 << 63, cut, dtype=np.uint64))))
+            rows.append((near_copies.parity(x).tolist(), near_copies.parity(y).tolist(), len(x), len(y)))
+            want.append(bool(near_copies.alike(len(np.intersect1d(x, y)), len(x), len(y))))
+    got = spark.createDataFrame(rows, "x array<long>, y array<long>, n long, m long").select(near_copies.may_be_alike(*(near_copies.F.col(c) for c in "xynm")).alias("may"))
+    got = [r.may for r in got.collect()]
+    assert all(g for g, w in zip(got, want, strict=True) if w) and not all(got)
