@@ -79,10 +79,31 @@ def letterbox(width: Column, height: Column, side: int) -> list[Column]:
     return [ratio, *((F.lit(side) - F.bround(c * ratio)) / 2 for c in (width, height))]
 
 
+def units(x: Column, digits: int) -> Column:
+    """x >= 0 in units of that many digits after the point, as a long: the double's exact value, ties to even.
+
+    Built-in rounding takes the shortest decimal that reads as the double, so 1.05, which lies above the tie, would tie. Parts below 2**-58 are cut off.
+    """
+    x = x.cast("double")
+    whole, one = F.floor(x), F.lit(1 << 58).cast("decimal(19,0)")
+    twice = ((x - whole) * float(1 << 58)).cast("long").cast("decimal(19,0)") * F.lit(2 * 10**digits).cast("decimal(12,0)")
+    halves, over = F.call_function("div", twice, one), (twice % one) > 0
+    low = F.floor(halves / 2).cast("long")
+    odd = low + whole.cast("long") * 10**digits
+    up = (halves % 2 == 1) & (over | (odd % 2 == 1))
+    return odd + up.cast("long")
+
+
+def one_digit(x: Column) -> Column:
+    """x >= 0 with one digit after the point, as text."""
+    tenths = units(x, 1)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def scale_plan(width: Column, height: Column, scales: Column, most: int) -> Column:
     """Scales with none that takes the long side past `most`, in four digits, positive, each once, in order."""
     cap = F.lit(float(most)) / F.greatest(width, height)
-    return F.array_distinct(F.filter(F.transform(scales, lambda s: F.bround(F.least(s, cap), 4)), lambda s: s > 0))
+    return F.array_distinct(F.filter(F.transform(scales, lambda s: units(F.least(s, cap), 4) / 10_000), lambda s: s > 0))
 
 
 # ---- texts ---------------------------------------------------------------------------------
@@ -98,15 +119,15 @@ def human_duration(s: Column) -> Column:
 
 def human_rate(per_second: Column) -> Column:
     """One digit after the point, half to even, a minute below one a second; 0/s for nothing or less."""
-    return F.when(per_second >= 1, F.format_string("%.1f/s", F.bround(per_second, 1))).when(per_second > 0, F.format_string("%.1f/min", F.bround(per_second * 60, 1))).otherwise("0/s")
+    return F.when(per_second >= 1, F.concat(one_digit(per_second), F.lit("/s"))).when(per_second > 0, F.concat(one_digit(per_second * 60), F.lit("/min"))).otherwise("0/s")
 
 
 def human_bytes(n: Column) -> Column:
     """Up to 1023 whole bytes, then one digit after the point, half to even."""
     n = n.cast("double")
-    out = F.format_string("%.1f TB", F.bround(n / 1024**4, 1))
+    out = F.concat(one_digit(n / 1024**4), F.lit(" TB"))
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", F.bround(n / 1024**power, 1))).otherwise(out)
+        out = F.when(n < 1024 ** (power + 1), F.concat(one_digit(n / 1024**power), F.lit(f" {unit}"))).otherwise(out)
     return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).otherwise(out)
 
 

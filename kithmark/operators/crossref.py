@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .cells import close_pairs
 
 
 def mean_vector(dim: int, vec: str = "vec") -> Column:
@@ -85,18 +86,19 @@ def merges_within(counted: DataFrame, fraction: float = 0.3) -> DataFrame:
     return pairs.groupBy(F.col("a.p.person_id").alias("a"), F.col("b.p.person_id").alias("b")).agg(F.min("a.cluster").alias("cluster"))
 
 
-def merges_between(mapping: DataFrame, centers: DataFrame, within: DataFrame, above: float = 0.6) -> DataFrame:
-    """a, b, similarity: persons of two mapped clusters with close centroids, unless one cluster already showed the pair.
+def close_clusters(mapped: DataFrame, centers: DataFrame, above: float = 0.6) -> DataFrame:
+    """a, b (persons, a < b), ca, cb (clusters, ca < cb), similarity: mapped clusters of two persons whose centroids' cosine is more than `above`."""
+    persons = mapped.select("cluster", "person_id")
+    found = close_pairs(persons.join(centers, "cluster").select(F.col("cluster").alias("id"), F.col("centroid").alias("vec")), above)
+    pairs = found.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "similarity")
+    for s in "ab":
+        pairs = pairs.join(persons.select(F.col("cluster").alias(f"c{s}"), F.col("person_id").alias(f"p{s}")), f"c{s}")
+    return pairs.filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "ca", "cb", "similarity")
 
-    Mapped clusters are few, one for each known person or so; the pairs are joined on the lesser of two hash blocks,
-    so no single task has all of them.
-    """
-    mapped = mapping.filter("mapped").join(centers, "cluster").select("cluster", "person_id", "centroid", F.pmod(F.xxhash64("cluster"), F.lit(16)).alias("block"))
-    left = mapped.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.struct(F.least("block", j.cast("long")).alias("i"), F.greatest("block", j.cast("long")).alias("j")))).alias("at"), "cluster", "person_id", "centroid")
-    a, b = left.alias("a"), left.alias("b")
-    pairs = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.cluster") < F.col("b.cluster")) & (F.col("a.person_id") != F.col("b.person_id")))
-    pairs = pairs.select(F.least("a.person_id", "b.person_id").alias("a"), F.greatest("a.person_id", "b.person_id").alias("b"), F.col("a.cluster").alias("ca"), F.col("b.cluster").alias("cb"), S.dot(F.col("a.centroid"), F.col("b.centroid")).alias("similarity"))
-    first = pairs.filter(F.col("similarity") > above).groupBy("a", "b").agg(F.min(F.struct("ca", "cb", "similarity")).alias("f"))
+
+def merges_between(mapping: DataFrame, centers: DataFrame, within: DataFrame, above: float = 0.6) -> DataFrame:
+    """a, b, similarity: persons of two mapped clusters with close centroids, unless one cluster already showed the pair; a pair's first clusters."""
+    first = close_clusters(mapping.filter("mapped"), centers, above).groupBy("a", "b").agg(F.min(F.struct("ca", "cb", "similarity")).alias("f"))
     return first.join(within, ["a", "b"], "left_anti").select("a", "b", F.col("f.similarity").alias("similarity"))
 
 

@@ -1,13 +1,8 @@
-"""Graphs of vectors: exact nearest neighbours, thresholded edges, components, label propagation."""
+"""Graphs of vectors: fused vectors, thresholded and mutual edges, components, synchronous label propagation."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -26,35 +21,6 @@ def fuse(vectors: DataFrame, weights: dict[str, float] | None = None) -> DataFra
     return parts.select("face_id", S.l2_normalize(F.flatten(F.transform("parts", lambda p: p["vec"]))).alias("vec"))
 
 
-def knn(vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """src, dst, rank, similarity: exact k largest inner products for each id, ties by id, itself left out. vectors: id, vec.
-
-    Ids are dealt into blocks by hash; each pair of blocks is one matrix product in one task, which keeps
-    its k best for each row, and the best of those are taken over all blocks.
-    """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    dealt = vectors.filter("id IS NOT NULL AND vec IS NOT NULL").select("id", S.doubles(F.col("vec")).alias("vec"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = dealt.select(F.col("b").alias("l"), F.explode(every).alias("r"), "id", "vec", F.lit(True).alias("query"))
-    right = dealt.select(F.explode(every).alias("l"), F.col("b").alias("r"), "id", "vec", F.lit(False).alias("query"))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, x = pdf[pdf["query"]], pdf[~pdf["query"]].sort_values("id")
-        if q.empty or x.empty:
-            return pd.DataFrame({"src": [], "dst": [], "similarity": []}).astype({"src": "int64", "dst": "int64"})
-        ids = x["id"].to_numpy()
-        sims = np.stack(q["vec"].to_numpy()) @ np.stack(x["vec"].to_numpy()).T
-        sims[q["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"src": np.repeat(q["id"].to_numpy(), top.shape[1]), "dst": ids[top].ravel(), "similarity": np.take_along_axis(sims, top, 1).ravel()})
-        return out[np.isfinite(out["similarity"])]
-
-    near = left.unionByName(right).groupBy("l", "r").applyInPandas(best, "src long, dst long, similarity double")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "dst"))
-    return near.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
-
-
 def threshold_edges(near: DataFrame, least: float) -> DataFrame:
     """Undirected edges src < dst of weight at least `least`, from either direction, the larger weight."""
     kept = near.filter((F.col("similarity") >= least) & (F.col("src") != F.col("dst")))
@@ -102,132 +68,9 @@ def spread_labels(ids: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     return labels
 
 
-def chinese_whispers(ids: DataFrame, edges: DataFrame, iterations: int = 30, seed: int = 42) -> DataFrame:
-    """id, label: asynchronous label propagation in a seeded random order, one component at a time.
-
-    Labels never cross components, so each runs alone, in the order that the whole graph's visit has for it: a
-    node's place in sweep i is a hash of (seed, i, id). Ties within 1e-12 go to the smallest label; no early stop.
-    """
-    parts = components(edges)
-    rows = edges.join(parts, edges["src"] == parts["id"]).select("component", "src", "dst", "w")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["src", "dst"])
-        nodes = np.unique(np.concatenate((pdf["src"], pdf["dst"])))
-        a, b, w = np.searchsorted(nodes, pdf["src"]), np.searchsorted(nodes, pdf["dst"]), pdf["w"].to_numpy()
-        near: list[list[tuple[int, float]]] = [[] for _ in nodes]
-        for x, y, z in zip(a, b, w, strict=True):
-            near[x].append((y, z))
-            near[y].append((x, z))
-        label = nodes.copy()
-        for i in range(iterations):
-            key = pd.util.hash_array(nodes.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(seed * 1009 + i))
-            for x in np.lexsort((nodes, key)):
-                votes: dict[int, float] = {}
-                for y, z in near[x]:
-                    votes[label[y]] = votes.get(label[y], 0.0) + z
-                top = max(votes.values())
-                label[x] = min(k for k, v in votes.items() if v >= top - 1e-12)
-        return pd.DataFrame({"id": nodes, "label": label})
-
-    got = rows.groupBy("component").applyInPandas(run, "id long, label long")
-    return ids.select("id").join(got, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-
-
 def relabel(labels: DataFrame) -> DataFrame:
     """id, cluster: 0.. in the order of each label's smallest id; a null label (noise) is a cluster of its own."""
     own = F.coalesce(F.col("label").cast("string"), F.concat(F.lit("noise "), F.col("id").cast("string")))
     first = labels.withColumn("g", own).groupBy("g").agg(F.min("id").alias("first"))
     ranked = consecutive(first, ["first"], "cluster")
     return labels.withColumn("g", own).join(ranked, "g").select("id", "cluster")
-
-
-def hdbscan(ids: DataFrame, near: DataFrame, min_cluster_size: int = 2, min_samples: int | None = None) -> DataFrame:
-    """id, label (null: noise): density clusters of the mutual neighbour graph, one component in a task.
-
-    In a component: mutual reachability, its spanning tree, the condensed tree, and the most stable clusters. The whole
-    component is never a cluster of itself: one that doesn't split, or is too small, is noise.
-    """
-    edges = mutual_edges(near)
-    parts = components(edges)
-    rows = edges.join(parts, edges["src"] == parts["id"]).select("component", "src", "dst", "distance")
-    mcs = max(2, min_cluster_size)
-    samples = min_samples or mcs
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.unique(np.concatenate((pdf["src"], pdf["dst"])))
-        n = len(nodes)
-        if n < mcs:
-            return pd.DataFrame({"id": nodes, "label": pd.array([None] * n, "Int64")})
-        a, b, d = np.searchsorted(nodes, pdf["src"]), np.searchsorted(nodes, pdf["dst"]), pdf["distance"].to_numpy()
-        core = np.full(n, np.inf)
-        for x in range(n):
-            own = np.sort(d[(a == x) | (b == x)])
-            core[x] = own[min(samples, len(own)) - 1]
-        reach = np.maximum(d, np.maximum(core[a], core[b]))
-        parent, size = list(range(2 * n)), [1] * n + [0] * n
-        kids: dict[int, tuple[int, int, float]] = {}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        top = n
-        for e in np.lexsort((b, a, reach)):
-            x, y = root(a[e]), root(b[e])
-            if x != y:
-                kids[top] = x, y, float(reach[e])
-                size[top] = size[x] + size[y]
-                parent[x] = parent[y] = top
-                top += 1
-        label = np.full(n, -1)
-
-        def points(x: int) -> list[int]:
-            out, todo = [], [x]
-            while todo:
-                x = todo.pop()
-                if x < n:
-                    out.append(x)
-                else:
-                    todo += kids[x][:2]
-            return out
-
-        # Walk from the root: a split of two large parts makes two clusters, a small part falls out of its cluster.
-        clusters: list[dict] = [{"birth": 0.0, "stability": 0.0, "kids": [], "node": top - 1}]
-        todo = [(top - 1, 0)]
-        while todo:
-            x, c = todo.pop()
-            if x < n:
-                continue
-            l, r, dist = kids[x]
-            lam = 1 / max(dist, 1e-12)
-            big = [y for y in (l, r) if size[y] >= mcs]
-            if len(big) == 2:
-                clusters[c]["stability"] += (lam - clusters[c]["birth"]) * size[x]
-                for y in big:
-                    clusters.append({"birth": lam, "stability": 0.0, "kids": [], "node": y})
-                    clusters[c]["kids"].append(len(clusters) - 1)
-                    todo.append((y, len(clusters) - 1))
-            else:
-                gone = size[x] - sum(size[y] for y in big)
-                clusters[c]["stability"] += (lam - clusters[c]["birth"]) * gone
-                todo += [(y, c) for y in big]
-        best = [c["stability"] for c in clusters]
-        pick = [True] * len(clusters)
-        for c in range(len(clusters) - 1, -1, -1):
-            below = sum(best[k] for k in clusters[c]["kids"])
-            if c == 0 or clusters[c]["kids"] and below > best[c]:
-                pick[c], best[c] = False, below
-        todo = [0]
-        while todo:
-            c = todo.pop()
-            if pick[c]:
-                label[points(clusters[c]["node"])] = nodes[min(points(clusters[c]["node"]))]
-            else:
-                todo += clusters[c]["kids"]
-        return pd.DataFrame({"id": nodes, "label": pd.array([None if x < 0 else int(x) for x in label], "Int64")})
-
-    got = rows.groupBy("component").applyInPandas(run, "id long, label long")
-    return ids.select("id").join(got, "id", "left").select("id", "label")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cron
 from ..functions import scalar as S
-from ..operators import crossref, dedupe, graph, library, review
+from ..operators import cells, crossref, dedupe, density, graph, library, review, whispers
 from ..operators.ids import consecutive
 from .library import STATE
 from .registry import query
@@ -252,7 +252,7 @@ EDGES = "e AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(sim
 
 
 def near(t: Tables) -> DataFrame:
-    return graph.knn(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), K)
+    return cells.neighbours(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), K)
 
 
 def edges(t: Tables) -> DataFrame:
@@ -301,14 +301,25 @@ def op_cw_sync(t):
     return graph.spread_labels(ids(t), edges(t), 3)
 
 
-@query()
+# One visit after another, each a step of a recursion; it ends when two sweeps' worth of visits have changed nothing.
+WHISPERS = f"""{KNN}, {EDGES}, u AS MATERIALIZED (SELECT src AS x, dst AS y, w FROM e UNION ALL SELECT dst, src, w FROM e), n AS (SELECT DISTINCT x AS id FROM u),
+visit AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY sweep, md5('42:' || sweep || ':' || id), id) AS pos FROM n, range(0, 30) s(sweep)),
+r(id, label, pos, changed) USING KEY (id) AS (SELECT id, id, 0::BIGINT, 0::BIGINT FROM n UNION
+  (WITH s AS (SELECT max(pos) + 1 AS pos, max(changed) AS changed FROM r),
+  b AS (SELECT v.id, l.label, s.pos, s.changed, sum(u.w) AS w FROM s JOIN visit v ON v.pos = s.pos JOIN u ON u.x = v.id JOIN recurring.r l ON l.id = u.y WHERE s.pos <= s.changed + 2 * (SELECT count(*) FROM n) GROUP BY ALL),
+  c AS (SELECT id, min(label) AS label, pos, changed FROM (SELECT * FROM b QUALIFY w >= max(w) OVER () - 1e-12) GROUP BY ALL)
+  SELECT c.id, c.label, c.pos, CASE WHEN c.label <> o.label THEN c.pos ELSE c.changed END FROM c JOIN recurring.r o ON o.id = c.id)),
+l AS (SELECT vec_id AS id, coalesce(r.label, vec_id) AS label FROM embeddings LEFT JOIN r ON r.id = vec_id), f AS (SELECT label, row_number() OVER (ORDER BY min(id)) - 1 AS cluster FROM l GROUP BY label)"""
+
+
+@query(f"WITH RECURSIVE {WHISPERS} SELECT id, cluster FROM l JOIN f USING (label)")
 def op_chinese_whispers(t):
-    return graph.relabel(graph.chinese_whispers(ids(t), edges(t)))
+    return graph.relabel(whispers.chinese_whispers(ids(t), edges(t)))
 
 
 @query()
 def op_hdbscan(t):
-    return graph.hdbscan(ids(t), near(t))
+    return density.hdbscan(ids(t), near(t))
 
 
 @query("WITH l AS (SELECT vec_id AS id, CASE WHEN vec_id % 10 = 0 THEN 'n' || CAST(vec_id AS VARCHAR) ELSE CAST(vec_id * 7 % 23 AS VARCHAR) END AS g FROM embeddings), f AS (SELECT g, min(id) AS first FROM l GROUP BY g), r AS (SELECT g, row_number() OVER (ORDER BY first) - 1 AS cluster FROM f) SELECT id, cluster FROM l JOIN r USING (g)")
@@ -417,11 +428,7 @@ def op_merge_inter(t):
 @query(INTER.replace("SELECT a, b, round(sim, 6) AS similarity FROM w QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY ca, cb) = 1", "SELECT a, b, count(*) AS n FROM w GROUP BY 1, 2"))
 def join_cluster_pairs(t):
     m, c = mapping(t).filter("mapped").select("cluster", "person_id"), crossref.centroids(t.cluster_of, vectors(t), DIM)
-    rows = m.join(c, "cluster")
-    a, b = rows.alias("a"), rows.alias("b")
-    close = S.dot(F.col("a.centroid"), F.col("b.centroid")) > 0.02
-    pairs = a.join(b, (F.col("a.cluster") < F.col("b.cluster")) & (F.col("a.person_id") != F.col("b.person_id"))).filter(close)
-    return pairs.groupBy(F.least("a.person_id", "b.person_id").alias("a"), F.greatest("a.person_id", "b.person_id").alias("b")).agg(F.count("*").alias("n"))
+    return crossref.close_clusters(m, c, 0.02).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 IOU = """p AS (SELECT f.space, f.photo_id, f.face_id, s.syno_face_id, s.person_id, s.line AS position, f.x / d.width AS a1, f.y / d.height AS b1, (f.x + f.w) / d.width AS a2, (f.y + f.h) / d.height AS b2, s.x1, s.y1, s.x2, s.y2 FROM faces f JOIN frames d ON d.space = f.space AND d.id = f.photo_id AND d.width > 0 AND d.height > 0 JOIN syno_faces s ON s.space = f.space AND s.photo_id = f.photo_id),
@@ -487,12 +494,24 @@ def join_union_detect(t):
     return crossref.detect_union(t.faces.select("space", "photo_id", "face_id", "detector", "x", "y", "w", "h", "det_score"), ["space", "photo_id"]).filter("detector = 'merged'")
 
 
-@query()
+def _body(sql: str, before: str) -> str:
+    """The table expressions of sql up to that point, over the clusters found."""
+    return sql[sql.index("WITH ") + 5 : sql.index(before)].replace("cluster_of", "found").replace("labeled >= 3 AND n / labeled >= 0.6", "labeled >= 2 AND n / labeled >= 0.3")
+
+
+CROSSREF = f"""WITH found AS (WITH RECURSIVE {WHISPERS} SELECT id AS face_id, cluster FROM l JOIN f USING (label)), {_body(ASSIGN, chr(10) + "SELECT face_id, face_space")}, {_body("WITH " + REASSIGN[REASSIGN.index("d AS (SELECT k.face_id") :], chr(10) + "SELECT d.face_id").replace("m.labeled - 1 >= 3", "m.labeled - 1 >= 1")}
+SELECT CASE WHEN conf >= 0.1 THEN 'assign' ELSE 'low_confidence' END AS kind, count(*) AS n FROM s GROUP BY 1
+UNION ALL SELECT 'reassign', count(*) FROM d JOIN c2 USING (face_id) WHERE conf >= 0.1
+UNION ALL SELECT 'new_person', count(*) FROM (SELECT cluster FROM found LEFT JOIN k ON k.face_id = found.face_id GROUP BY 1 HAVING count(k.face_id) = 0 AND count(*) >= 2)
+UNION ALL SELECT 'merge', count(*) FROM (SELECT DISTINCT a.person_id, b.person_id FROM c a JOIN c b ON a.cluster = b.cluster AND a.person_id < b.person_id WHERE a.n / a.labeled >= 0.3 AND b.n / b.labeled >= 0.3)"""
+
+
+@query(CROSSREF)
 def op_cluster_crossref(t):
     """The whole chain: neighbours, graph, label propagation, votes, mapping, and the proposals of each kind."""
     from .storage import written
 
-    members = written(graph.relabel(graph.chinese_whispers(ids(t), edges(t))).select(F.col("id").alias("face_id"), "cluster"), "members")
+    members = written(graph.relabel(whispers.chinese_whispers(ids(t), edges(t))).select(F.col("id").alias("face_id"), "cluster"), "members")
     counted = written(crossref.votes(members, truth(t)), "votes")
     mapped = crossref.map_clusters(counted, 2, 0.3)
     parts = {

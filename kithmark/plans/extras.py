@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import crossref, extract, graph
+from ..operators import cells, crossref, extract, graph
 from ..operators.ids import consecutive
 from ..sources import files, readers
 from .analytics import DIM, ids, mapping, models, near, tags, truth, vectors
@@ -34,9 +34,9 @@ def fn_version_hash(t):
 
 
 @query("""SELECT event_id AS id, CASE WHEN v >= 1 THEN printf('%.1f/s', v) WHEN v > 0 THEN printf('%.1f/min', v * 60) ELSE '0/s' END AS rate
-FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE event_id % 512 / 128 END AS v FROM events)""")
+FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE event_id % 977 / 20 END AS v FROM events)""")
 def fn_rate(t):
-    per_second = F.expr("CASE WHEN event_id % 7 = 0 THEN 0.0D ELSE event_id % 512 / 128 END")
+    per_second = F.expr("CASE WHEN event_id % 7 = 0 THEN 0.0D ELSE event_id % 977 / 20 END")
     return t.events.select(F.col("event_id").alias("id"), S.human_rate(per_second).alias("rate"))
 
 
@@ -111,7 +111,7 @@ def snk_csv_grid(t):
 def snk_npz_cache(t):
     """Neighbours by way of the cache, asked for twice; the second time nothing is built."""
     to, x = folder(t, "cache"), t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    files.cached_graph(x, to, 5, {}, lambda: graph.knn(x, 5))
+    files.cached_graph(x, to, 5, {}, lambda: cells.neighbours(x, 5))
     again = files.cached_graph(x, to, 5, {}, lambda: t.spark.createDataFrame([], "src long"))
     return again.groupBy((F.col("src") % 10).alias("g")).agg(F.count("*").alias("n"))
 

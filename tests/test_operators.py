@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kithmark.functions import cron
 from kithmark.functions import scalar as S
-from kithmark.operators import crossref, dedupe, events, graph, library, review
+from kithmark.operators import cells, crossref, dedupe, density, events, graph, library, review, whispers
 from kithmark.sources import readers
 from kithmark.streaming import jobs
 
@@ -83,7 +83,7 @@ def unit(rng, n, dim):
 @pytest.mark.parametrize(("n", "k", "block"), [(40, 5, 2048), (25, 4, 7), (3, 10, 2)])
 def test_knn_matches_brute_force(spark, n, k, block):
     x = unit(np.random.default_rng(3), n, 8)
-    got = {(r.src, r.rank): (r.dst, r.similarity) for r in graph.knn(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>"), k, block).collect()}
+    got = {(r.src, r.rank): (r.dst, r.similarity) for r in cells.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>"), k, block).collect()}
     sims = x @ x.T
     np.fill_diagonal(sims, -np.inf)
     assert len(got) == n * min(k, n - 1)
@@ -100,9 +100,9 @@ def blobs(spark):
 
 def test_clusters_of_three_blobs(spark):
     x = blobs(spark)
-    near = graph.knn(x, 10)
+    near = cells.neighbours(x, 10)
     for least, n in ((0.5, 3), (0.9999, 45)):
-        labels = graph.relabel(graph.chinese_whispers(x, graph.threshold_edges(near, least)))
+        labels = graph.relabel(whispers.chinese_whispers(x, graph.threshold_edges(near, least)))
         got = {r.id: r.cluster for r in labels.collect()}
         assert len(set(got.values())) == n
     sync = graph.spread_labels(x, graph.threshold_edges(near, 0.5), 10).collect()
@@ -113,7 +113,7 @@ def test_dense_groups_of_one_component(spark):
     """Three cliques in a chain are three clusters; a clique by itself doesn't split, so it is noise, as are ids without edges."""
     near = [(i, j, 0.9 - abs(i - j) / 1000) for base in (0, 6, 12, 30) for i in range(base, base + 6) for j in range(base, base + 6) if i != j]
     near += [(a, b, 0.2) for x, y in ((5, 6), (11, 12)) for a, b in ((x, y), (y, x))] + [(50, 0, 0.9)]
-    got = graph.hdbscan(spark.createDataFrame([(i,) for i in [*range(18), *range(30, 36), 50]], "id long"), spark.createDataFrame(near, "src long, dst long, similarity double"), 3)
+    got = density.hdbscan(spark.createDataFrame([(i,) for i in [*range(18), *range(30, 36), 50]], "id long"), spark.createDataFrame(near, "src long, dst long, similarity double"), 3)
     assert {r.id: r.label for r in got.collect()} == {i: i // 6 * 6 for i in range(18)} | dict.fromkeys([*range(30, 36), 50])
 
 
