@@ -2,12 +2,12 @@
 
 A text is cut by a pattern into pre-tokens. Within one, the pair of neighbours whose joined bytes have the least
 rank merges first, the leftmost of equals. The queue of pairs is a hierarchical bitmap: a bit for each merge rank that has
-pairs, a bit above for each word of 64 bits that isn't zero, and so on to a single word. A rank's bucket holds
+pairs, and a bit above for each word of 64 bits that isn't zero. A rank's bucket holds
 the positions of its pairs in a linked list of the pre-token's parts; finding the first set bit from the top down
 gives the least rank in as many steps as there are levels, and positions whose pair has changed since are stale and
-skipped. So a pre-token of n bytes takes time in proportion to n (a sort of each bucket apart), however long it is.
+skipped. Pre-tokens don't touch each other, so one queue serves all new ones of some megabytes of text, and a bucket's merges are made at once. So a pre-token of n bytes takes time in proportion to n (a sort of each bucket apart), however long it is.
 
-What a short pre-token gives is kept in the worker and found again by its text.
+Where a merge opens a pair of lesser rank, which the merges made at once could pass over, that pre-token is done again by itself, merge by merge. What a short pre-token gives is kept in the worker and found again by its text.
 """
 
 from __future__ import annotations
@@ -15,17 +15,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pre-tokens that a worker keeps at most, and their longest.
-KEPT, LONGEST = 250_000, 64
+#: Pre-tokens that a worker keeps at most in each of two generations, and their longest.
+KEPT, LONGEST = 200_000, 64
+#: Characters of text whose pre-tokens are looked at together; a longer text is alone.
+TOGETHER = 4_000_000
 
 #: Letters and numbers of the regex module's Unicode tables that the tokenizer library's older tables (Unicode 16) don't have.
 NEWER = (
@@ -37,52 +39,55 @@ NEWER = (
 )
 
 
+_BITS = [1 << k for k in range(64)]
+
+
 class RankQueue:
-    """Positions by rank, least rank first: buckets under a bitmap of bitmaps."""
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.levels: list[list[int]] = []
-        while not self.levels or len(self.levels[-1]) > 1:
-            ranks = -(-max(1, ranks) // 64)
-            self.levels.append([0] * ranks)
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(position)
+    """Positions by rank, least rank first: a bucket for each rank, a bit for each bucket in words of 64, and a bit for each word that isn't zero.
+
+    The upper bits are one integer of as many bits as there are words; its own digits are a further level.
+    """
+
+    __slots__ = ("buckets", "top", "words")
+
+    def __init__(self):
+        self.buckets: dict[int, list] = {}
+        self.words: dict[int, int] = {}
+        self.top = 0
+
+    def push(self, rank: int, position) -> None:
+        buckets = self.buckets
+        if rank in buckets:
+            buckets[rank].append(position)
             return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            was, bit = level[rank >> 6], 1 << (rank & 63)
-            level[rank >> 6] = was | bit
-            if was:
-                return
-            rank >>= 6
-
-    def pop(self) -> tuple[int, list[int]] | None:
-        """(least rank, its positions from left to right), taken out; None if empty."""
-        if not self.buckets:
-            return None
-        rank = 0
-        for level in reversed(self.levels):
-            word = level[rank]
-            rank = rank << 6 | (word & -word).bit_length() - 1
-        at = rank
-        for level in self.levels:
-            level[at >> 6] &= ~(1 << (at & 63))
-            if level[at >> 6]:
-                break
-            at >>= 6
-        bucket = self.buckets.pop(rank)
-        bucket.sort()
-        return rank, bucket
+        buckets[rank] = [position]
+        at, words = rank >> 6, self.words
+        if at in words:
+            words[at] |= _BITS[rank & 63]
+        else:
+            words[at] = _BITS[rank & 63]
+            self.top |= 1 << at
+
+    def pop(self) -> tuple[int, list]:
+        """(least rank, what was pushed for it), taken out. Only while `top` isn't zero."""
+        top = self.top
+        first = top & -top
+        at = first.bit_length() - 1
+        word = self.words[at]
+        bit = word & -word
+        if word == bit:
+            del self.words[at]
+            self.top = top ^ first
+        else:
+            self.words[at] = word ^ bit
+        rank = at << 6 | bit.bit_length() - 1
+        return rank, self.buckets.pop(rank)
 
 
 def cutter(pattern: str) -> Callable[[str], list[str]]:
     """text -> its pre-tokens. The pattern may use \\p{L}, \\p{N} and [^\\s\\p{L}\\p{N}]; other classes mean what the regex module says."""
     whole = regex.compile(pattern)
-    newer = re.compile(f"[{NEWER}]")
+    newer, late = re.compile(f"[{NEWER}]"), re.compile(f"[{NEWER[0]}-\U0010ffff]")  # the latter is one range, so it is quick to rule out
     other = r"[^\s\p{L}\p{N}]"
     narrow = pattern.replace(other, "\0").replace(r"\p{L}", rf"(?:(?![{NEWER}])\p{{L}})").replace(r"\p{N}", rf"(?:(?![{NEWER}])\p{{N}})").replace("\0", rf"(?:{other}|[{NEWER}])")
     narrow = regex.compile(narrow)
@@ -92,7 +97,7 @@ def cutter(pattern: str) -> Callable[[str], list[str]]:
     def cut(text: str) -> list[str]:
         if text.isascii():
             return plain(text)
-        return (narrow if newer.search(text) else whole).findall(text)
+        return (narrow if late.search(text) and newer.search(text) else whole).findall(text)
 
     return cut
 
@@ -104,46 +109,54 @@ class ByteBpe:
             raise ValueError(f"the rank file lacks bytes {missing}")
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.cut = cutter(pattern)
-        self.queue = RankQueue(max(self.tokens) + 1)
+        self.pairs = {token[0] << 8 | token[1]: rank for token, rank in self.ranks.items() if len(token) == 2}
+        # All pairs of tokens whose bytes are a token, by (left, right).
+        joins = [(self.ranks[token[:k]] << 32 | self.ranks[token[k:]], rank) for token, rank in self.ranks.items() for k in range(1, len(token)) if token[:k] in self.ranks and token[k:] in self.ranks]
+        self.join_keys, self.join_ranks = np.array(sorted(joins) or [(-1, -1)], np.int64).T.copy()
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.kept: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def merge(self, raw: bytes) -> list[int]:
         """Ids of a pre-token's bytes."""
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
-        n, queue, rank_of = len(raw), self.queue, self.ranks.get
-        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
-        rank_at = array("q", [-1]) * n  # of the pair that begins there; -1 if none does
-
-        def pair(i: int) -> None:
-            j = after[i]
-            rank = rank_of(raw[i : after[j]]) if j < n else None
-            if rank is None:
-                rank_at[i] = -1
-            elif rank_at[i] != rank:
-                rank_at[i] = rank
-                queue.push(rank, i)
-
-        for i in range(n - 1):
-            pair(i)
-        while (least := queue.pop()) is not None:
-            rank, bucket = least
+        n, rank_of, queue = len(raw), self.ranks.get, RankQueue()
+        push, bytes_of = queue.push, self.pairs
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank_at = [bytes_of.get(raw[i] << 8 | raw[i + 1], -1) for i in range(n - 1)]  # of the pair that begins there; -1 if none does
+        rank_at.append(-1)
+        for i, rank in enumerate(rank_at):
+            if rank >= 0:
+                push(rank, i)
+        while queue.top:
+            rank, bucket = queue.pop()
+            bucket.sort()
             for k, i in enumerate(bucket):
                 if rank_at[i] != rank:  # stale: merged, or its neighbour is another by now
                     continue
                 j = after[i]
-                end = after[j]
-                after[i], rank_at[j], rank_at[i] = end, -1, -1
+                end = after[i] = after[j]
+                rank_at[j] = -1
                 if end < n:
                     before[end] = i
-                pair(i)
-                if (b := before[i]) >= 0:
-                    pair(b)
-                if 0 <= rank_at[i] < rank or b >= 0 and 0 <= rank_at[b] < rank:
+                    new = rank_at[i] = rank_of(raw[i : after[end]], -1)
+                    if new >= 0:
+                        push(new, i)
+                else:
+                    new = rank_at[i] = -1
+                b, other = before[i], -1
+                if b >= 0:
+                    other = rank_of(raw[b:end], -1)
+                    if other != rank_at[b]:
+                        rank_at[b] = other
+                        if other >= 0:
+                            push(other, b)
+                if 0 <= new < rank or 0 <= other < rank:
                     for rest in bucket[k + 1 :]:  # a lesser rank comes first, in vocabularies that allow it
                         if rank_at[rest] == rank:
-                            queue.push(rank, rest)
+                            push(rank, rest)
                     break
         ids, i = [], 0
         while i < n:
@@ -151,28 +164,117 @@ class ByteBpe:
             i = after[i]
         return ids
 
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of the joined bytes of two tokens each, -1 where they are none."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.join_keys, key), len(self.join_keys) - 1)
+        return np.where(self.join_keys[at] == key, self.join_ranks[at], -1)
+
+    def merge_all(self, raws: list[bytes]) -> list[list[int]]:
+        """Ids of each pre-token's bytes, all by one queue of arrays of positions in the joined bytes."""
+        sizes = np.array([len(raw) for raw in raws], np.int64)
+        ends = np.cumsum(sizes)
+        n = int(ends[-1]) if len(raws) else 0
+        token = self.of_byte[np.frombuffer(b"".join(raws), np.uint8)]
+        start, end = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
+        after, before = np.arange(1, n + 1), np.arange(-1, n)
+        rank_at = np.full(n + 1, -1)  # of the pair that begins there; -1 if none does
+        inner = np.flatnonzero(after < end)
+        rank_at[inner] = self._ranks_of(token[inner], token[inner + 1])
+        queue, again = RankQueue(), []
+
+        def push(at: np.ndarray) -> None:
+            at = at[rank_at[at] >= 0]
+            at = at[np.argsort(rank_at[at], kind="stable")]
+            ranks = rank_at[at]
+            cut = np.flatnonzero(np.diff(ranks)) + 1
+            for rank, some in zip(ranks[np.append(0, cut)].tolist() if len(at) else [], np.split(at, cut), strict=False):
+                queue.push(rank, some)
+
+        push(inner)
+        while queue.top:
+            rank, bucket = queue.pop()
+            at = np.unique(np.concatenate(bucket)) if len(bucket) > 1 else bucket[0]
+            at = at[rank_at[at] == rank]  # others are stale: merged, or their neighbour is another by now
+            if not len(at):
+                continue
+            over = rank_at[after[at]] == rank  # its right part begins a pair of the same rank: the left one takes it
+            if over.any():
+                keep, taken = np.ones(len(at), bool), -1
+                for k in np.flatnonzero(over | np.append(False, over[:-1])).tolist():
+                    if at[k] == taken:
+                        keep[k] = False
+                    else:
+                        taken = after[at[k]]
+                at = at[keep]
+            right = after[at]
+            follows = after[right]
+            if len(at) > 1:  # pairs that are there only until the next of these merges
+                near = np.flatnonzero((follows[:-1] == at[1:]) & (follows[:-1] < end[at[:-1]]))
+                between = self._ranks_of(np.full(len(near), rank), token[at[near + 1]])
+                again.append(start[at[near]][(between >= 0) & (between < rank)])
+            after[at] = follows
+            before[follows] = at
+            token[at], token[right], rank_at[right] = rank, -1, -1
+            prior = before[at]
+            prior = prior[prior >= start[at]]
+            rank_at[at] = -1
+            new = np.concatenate((at[follows < end[at]], prior))
+            rank_at[new] = opened = self._ranks_of(token[new], token[after[new]])
+            again.append(start[new][(opened >= 0) & (opened < rank)])
+            push(new)
+        left = np.flatnonzero(token >= 0)
+        bounds = np.searchsorted(left, ends).tolist()
+        ids = token[left].tolist()
+        out = [ids[a:b] for a, b in zip([0, *bounds], bounds, strict=False)]
+        for k in np.searchsorted(ends, np.unique(np.concatenate(again)), "right").tolist() if again else []:
+            out[k] = self.merge(raws[k])
+        return out
+
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.cut(text) for i in self.merge(piece.encode("utf-8", "surrogatepass"))]
+        return [i for ids in self._ids([piece.encode("utf-8", "surrogatepass") for piece in self.cut(text)]) for i in ids]
+
+    def _ids(self, raws: list[bytes]) -> list[list[int]]:
+        """Ids of each pre-token's bytes: its own rank if it is a token, else what merges leave."""
+        whole = [self.ranks.get(raw) for raw in raws]
+        merged = iter(self.merge_all([raw for raw, rank in zip(raws, whole, strict=True) if rank is None]))
+        return [next(merged) if rank is None else [rank] for rank in whole]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def _piece(self, piece: str) -> tuple[str, bytes]:
-        """A pre-token's ids joined by commas, and the bytes that they decode to."""
-        ids = self.merge(piece.encode("utf-8", "surrogatepass"))
-        got = ",".join(map(str, ids)), self.decode(ids)
-        if len(piece) <= LONGEST:
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
-            self.kept[piece] = got
+    def _keep(self, pieces: list[str]) -> dict[str, tuple[str, bytes]]:
+        """New pre-tokens' ids joined by commas, and the bytes that they decode to. Short ones are kept by generation: when the newer one is full it becomes the older."""
+        got = {}
+        for piece, ids in zip(pieces, self._ids([piece.encode("utf-8", "surrogatepass") for piece in pieces]), strict=True):
+            got[piece] = ",".join(map(str, ids)), self.decode(ids)
+        if len(self.kept) + len(got) > KEPT:
+            self.older, self.kept = self.kept, {}
+        self.kept.update((piece, x) for piece, x in got.items() if len(piece) <= LONGEST)
         return got
 
-    def digest(self, text: str) -> tuple[int, str, bytes]:
-        """Number of ids, the ids joined by commas, the bytes decoded from them."""
-        kept = self.kept.get
-        parts = [kept(piece) or self._piece(piece) for piece in self.cut(text)]
-        ids = ",".join([p[0] for p in parts])
-        return ids.count(",") + 1 if parts else 0, ids, b"".join([p[1] for p in parts])
+    def digests(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
+        """For each text the number of ids, the ids joined by commas, the bytes decoded from them."""
+        out, some, size = [], [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                out += self._digests(some)
+                some, size = [], 0
+        return out + self._digests(some)
+
+    def _digests(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
+        cuts = [self.cut(text) for text in texts]
+        every = set().union(*cuts)
+        known = {piece: x for piece in every if (x := self.kept.get(piece) or self.older.get(piece)) is not None}
+        known |= self._keep([piece for piece in every if piece not in known])
+        out = []
+        for cut in cuts:
+            parts = [known[piece] for piece in cut]
+            ids = ",".join([p[0] for p in parts])
+            out.append((ids.count(",") + 1 if parts else 0, ids, b"".join([p[1] for p in parts])))
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -207,8 +309,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
         codec, sha = codec_of(*data.value), lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             sizes, ids, decoded = [], [], []
-            for text in batch.column("text"):
-                n, joined, raw = codec.digest(text.as_py())
+            for n, joined, raw in codec.digests(batch.column("text").to_pylist()):
                 sizes.append(n), ids.append(sha(joined.encode())), decoded.append(sha(raw))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

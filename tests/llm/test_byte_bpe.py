@@ -37,7 +37,7 @@ def digest(library, text):
 
 def same(codec, library, text):
     ids = library.encode_ordinary(text)
-    n, joined, raw = codec.digest(text)
+    ((n, joined, raw),) = codec.digests([text])
     return codec.encode(text) == ids and joined == ",".join(map(str, ids)) and n == len(ids) and raw == codec.decode(ids) == text.encode()
 
 
@@ -66,8 +66,8 @@ def test_long_pre_tokens(codec, library):
         assert ids == library.encode_ordinary(text) and took < 20
 
 
-def test_queue_gives_least_rank_and_sorted_positions():
-    rng, queue, held = np.random.default_rng(2), byte_bpe.RankQueue(300_000), {}
+def test_queue_gives_the_least_rank():
+    rng, queue, held = np.random.default_rng(2), byte_bpe.RankQueue(), {}
     for _ in range(4000):
         if rng.random() < 0.7:
             r, p = int(rng.choice([0, 63, 64, 4095, 4096, 262_143, 262_144, int(rng.integers(300_000))])), int(rng.integers(1000))
@@ -75,11 +75,11 @@ def test_queue_gives_least_rank_and_sorted_positions():
             held.setdefault(r, []).append(p)
         elif held:
             r = min(held)
-            assert queue.pop() == (r, sorted(held.pop(r)))
+            assert queue.pop() == (r, held.pop(r))
     while held:
         r = min(held)
-        assert queue.pop() == (r, sorted(held.pop(r)))
-    assert queue.pop() is None and not any(map(any, queue.levels))
+        assert queue.pop() == (r, held.pop(r))
+    assert not queue.top and not queue.words and not queue.buckets
 
 
 def test_ranks_in_any_order():
@@ -103,7 +103,22 @@ def test_ranks_in_any_order():
 
     for _ in range(500):
         raw = bytes(rng.choice([97, 98, 99], int(rng.integers(1, 60))))
-        assert codec.merge(raw) == plain(raw)
+        assert codec.merge(raw) == plain(raw) and codec._ids([raw]) == [plain(raw)]
+
+
+def test_pieces_together_and_one_by_one(codec):
+    rng = np.random.default_rng(8)
+    raws = [bytes(rng.choice([32, 97, 98, 101, 116, 104, 0xC3, 0xA9, 61], int(rng.integers(1, 40)))) for _ in range(2000)] + [b"a" * k for k in range(1, 60)] + [b""]
+    assert codec._ids([r for r in raws if r]) == [codec.merge(r) for r in raws if r]
+
+
+def test_what_is_kept_changes_nothing(codec, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(50)) for _ in range(40)]
+    want = codec.digests(texts * 2)
+    monkeypatch.setattr(byte_bpe, "KEPT", 100)
+    monkeypatch.setattr(byte_bpe, "TOGETHER", 500)
+    assert codec.digests(texts * 2) == want
 
 
 def test_query_equals_the_library(spark, sf, library):
