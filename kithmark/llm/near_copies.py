@@ -1,12 +1,13 @@
 """Documents whose word-shingle sets have a Jaccard similarity of 0.8 or more, all of them.
 
 Fingerprints alone can't say: sets of similarity 0.8 lie about 9 bits apart, some 17. So SimHash's
-trees only propose links, which join most large groups of copies cheaply; every link is verified on the sets. Then an exact
-prefix join completes them: with the shingles of all documents in one order, two sets of n and m that are
+trees only propose links, which join most large groups of copies cheaply; every link is verified on the sets. What the trees leave
+apart is tried in rounds by min-hash bands: nodes of one band meet one of them, and those that this leaves apart a few others in the next rounds, so
+pairs grow with the nodes, however large a family of near copies is. Then an exact prefix join completes the links: with the shingles of all documents in one order, two sets of n and m that are
 similar enough share one of the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1. Only shingles there that documents
 of different groups have are looked at, of a shingle's documents those of its most frequent group only meet the others, and
 pairs that share too few shingles of their heads are left out. So are pairs whose parity sketches differ too much, where they
-would meet: a sketch has a bit for each of 256 classes of shingles, set if an odd number of the set's are in the class. Each shingle
+would meet: a sketch has a bit for each of 256 classes of shingles, set if an odd number of the set's are in the class. Where a shared shingle stands in the two heads bounds what the sets can share as well. Each shingle
 that only one of two sets has flips one bit, so sketches of copies differ in no more bits than (n + m) / 9, which is all that copies may differ by. Shingles that a bounded sample shows to be
 common come last in the order, which saves work and changes no result.
 
@@ -33,6 +34,9 @@ NUM, DEN = 4, 5
 SAMPLE, COMMON = 8192, 200_000
 #: Longs of a parity sketch.
 SKETCH = 4
+#: Bands, and min-hashes of a band: sets of similarity 0.8 share a band in 0.9998 of all cases. And how many of a band its nodes meet in each round.
+BANDS, ROWS, MET = 16, 4, (1, 4, 16)
+_FACTORS = np.random.default_rng(45).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def head_size(n):
@@ -50,6 +54,15 @@ def parity(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def bands(h: np.ndarray) -> list[int]:
+    """Hashes of the min-hash bands of distinct hashes; none of an empty set."""
+    if not len(h):
+        return []
+    least = np.array([(h * a).min() for a in _FACTORS], np.uint64)  # an odd factor permutes all hashes
+    keys = [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
 def may_be_alike(x: Column, y: Column, n: Column, m: Column) -> Column:
     """False only for sets of n and m with sketches x and y that can't be copies."""
     differ = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SKETCH)), F.lit(0))
@@ -71,7 +84,7 @@ def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """doc_id, key (128 bits of the set), fp, n, bits (its parity sketch), head (the set's first shingles), t (the text's bytes) for each row."""
+    """doc_id, key (128 bits of the set), fp, n, bits (its parity sketch), bands, head (the set's first shingles), t (the text's bytes) for each row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     late = common_shingles(texts, words)
     held = docs.sparkSession.sparkContext.broadcast((np.sort(late), np.argsort(late) + 1))
@@ -79,7 +92,7 @@ def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = held.value
         for batch in batches:
-            keys, fps, sizes, sketches, heads = [], [], [], [], []
+            keys, fps, sizes, sketches, banded, heads = [], [], [], [], [], []
             for t in batch.column("t").to_pylist():
                 h = shingle_hashes(t, words)
                 fps.append(majority(h))
@@ -91,12 +104,13 @@ def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
                 keys.append(xxhash.xxh3_128_hexdigest(h.tobytes()))
                 sizes.append(len(h))
                 sketches.append(parity(h))
+                banded.append(bands(h))
                 heads.append(h[np.argsort(rank, kind="stable")[: head_size(len(h))]].view(np.int64) if len(h) else h.view(np.int64))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())), batch.column("t"),
-            ], names=["doc_id", "key", "fp", "n", "bits", "head", "t"])
+                batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(banded, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())), batch.column("t"),
+            ], names=["doc_id", "key", "fp", "n", "bits", "bands", "head", "t"])
 
-    return texts.mapInArrow(run, "doc_id long, key string, fp long, n long, bits array<long>, head array<long>, t binary")
+    return texts.mapInArrow(run, "doc_id long, key string, fp long, n long, bits array<long>, bands array<long>, head array<long>, t binary")
 
 
 def named(nodes: DataFrame) -> tuple[DataFrame, Column]:
@@ -136,15 +150,33 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, folder: str) -> Dat
     return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links", folder)
 
 
+def met_in_bands(texts: DataFrame, links: DataFrame, words: int, folder: str) -> DataFrame:
+    """links and what rounds over the bands add to them. texts: rep, bands, t.
+
+    In each round a node meets those of each of its bands that hashes of the round put first, if links don't join them yet.
+    """
+    each = written(texts.select("rep", F.explode("bands").alias("band")).distinct(), "near-bands", folder)
+    for many in MET:
+        now = each.join(small(linked_roots(links, folder)), F.col("rep") == F.col("linked"), "left").select("rep", "band", F.coalesce("root", "rep").alias("root"))
+        met = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array(*(F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(many + k))) for k in range(many))).alias("tops"))
+        met = met.filter("low <> high").select("band", F.explode(F.array_distinct("tops")).alias("top"))
+        met = written(met.select("band", F.col("top.rep").alias("b"), F.col("top.root").alias("b_root")), "near-tops", folder)
+        found = verified(now.join(small(met, 1_000_000), "band").filter("root <> b_root").select(F.col("rep").alias("a"), "b"), texts.select("rep", "t"), words, folder)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+    return links
+
+
 def split_shingles(each: DataFrame, links: DataFrame, folder: str) -> DataFrame:
-    """rep, n, h, root: the rows of `each` (rep, n, h) whose shingle nodes of different groups have, groups being what links join; written."""
-    each = each.select("rep", "n", "h").join(small(linked_roots(links)), F.col("rep") == F.col("linked"), "left").select("rep", "n", "h", F.coalesce("root", "rep").alias("root"))
+    """rep, n, pos, h, root: the rows of `each` (rep, n, pos, h) whose shingle nodes of different groups have, groups being what links join; written."""
+    each = each.select("rep", "n", "pos", "h").join(small(linked_roots(links, folder)), F.col("rep") == F.col("linked"), "left").select("rep", "n", "pos", "h", F.coalesce("root", "rep").alias("root"))
     split = each.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
     return written(each.join(small(written(split, "near-split", folder), 2_000_000), "h", "left_semi"), "near-met", folder)
 
 
 def met_in_heads(each: DataFrame, sketches: DataFrame, folder: str) -> DataFrame:
-    """a, b: all nodes of different groups that share enough shingles of their heads to be copies. each: rep, n, h, root; sketches: rep, bits."""
+    """a, b: all nodes of different groups that share enough shingles of their heads to be copies. each: rep, n, pos, h, root; sketches: rep, bits."""
     # A shingle's most frequent group doesn't meet itself, so the work grows with the others' nodes times all.
     sizes = each.groupBy("h", "root").agg(F.count("*").alias("many"))
     top = sizes.groupBy("h").agg(F.max_by("root", F.struct("many", "root")).alias("top"))
@@ -152,9 +184,12 @@ def met_in_heads(each: DataFrame, sketches: DataFrame, folder: str) -> DataFrame
     sketches = written(sketches.join(small(used), "rep", "left_semi").dropDuplicates(["rep"]), "near-sketches", folder)
     few = each.join(small(sketches), "rep").join(small(written(top, "near-top", folder), 2_000_000), "h")
     few = few.withColumn("small", F.col("root") != F.col("top")).drop("top")
-    side = lambda df, x: df.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "root", "n", "small", "bits")))
+    side = lambda df, x: df.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "root", "n", "pos", "small", "bits")))
     met = side(few.filter("small"), "a").join(side(few, "b").hint("merge"), "h").filter("root_a <> root_b AND (NOT small_b OR rep_a < rep_b)")
     met = met.filter(alike(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b")))
+    # What comes before the shingle in a head is shared by as many at most, what follows by the shorter rest.
+    upto = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    met = met.filter(alike(upto, F.col("n_a"), F.col("n_b")))
     met = met.filter(may_be_alike(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b")))
     met = met.groupBy(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).agg(F.count("*").alias("shared"), F.first("n_a").alias("n"), F.first("n_b").alias("m"))
     # The head that ends first in the order shares no more than these, so only what follows a head can add to them.
@@ -177,16 +212,17 @@ def copy_groups(docs: DataFrame, words: int = 5, radius: int = 5, text: str = "t
     # Of rows that share a set those with its least id bring its text and head, as good as one another.
     shared = nodes.filter("rows > 1").select(F.col("rep").alias("r"), F.col("least").alias("l"))
     texts = sets.withColumn("rep", name).join(small(written(shared, "near-shared", folder)), F.col("rep") == F.col("r"), "left")
-    texts = texts.filter(F.col("r").isNull() | F.col("doc_id").eqNullSafe(F.col("l"))).select("rep", "n", "bits", "head", "t")
+    texts = texts.filter(F.col("r").isNull() | F.col("doc_id").eqNullSafe(F.col("l"))).select("rep", "n", "bits", "bands", "head", "t")
 
     prints = written(nodes.groupBy("fp").agg(F.min("rep").alias("rep")), "near-prints", folder)
     same = nodes.join(prints.withColumnRenamed("rep", "b"), "fp").select(F.col("rep").alias("a"), "b")
-    first = verified(near_links(prints, radius=radius).unionByName(same), texts.select("rep", "t"), words, folder)
+    first = verified(near_links(prints, radius=radius, folder=folder).unionByName(same), texts.select("rep", "t"), words, folder)
+    first = met_in_bands(texts.select("rep", "bands", "t"), first, words, folder)
 
-    each = split_shingles(texts.select("rep", "n", F.explode("head").alias("h")), first, folder)
+    each = split_shingles(texts.select("rep", "n", F.posexplode("head").alias("pos", "h")), first, folder)
     second = verified(met_in_heads(each, texts.select("rep", "bits"), folder), texts.select("rep", "t"), words, folder)
 
-    groups = rooted(nodes, first.unionByName(second), "rep").select("rep", "component_id")
+    groups = rooted(nodes, first.unionByName(second), "rep", folder).select("rep", "component_id")
     groups = written(groups, "near-named", folder)
     found = written(sets.select("doc_id", name.alias("rep")).join(groups, "rep").select("doc_id", "component_id"), "near-groups")
     discard(spark, folder)

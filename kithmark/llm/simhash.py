@@ -183,7 +183,7 @@ def shard_linker(radius: int):
 shard_links = shard_linker(RADIUS)
 
 
-def near_links(nodes: DataFrame, leaf_size: int = LEAF, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
+def near_links(nodes: DataFrame, leaf_size: int = LEAF, block: int = BLOCK, radius: int = RADIUS, folder: str | None = None) -> DataFrame:
     """a, b: links that join the same nodes as all pairs within the radius do. nodes: rep (long), fp, each fp once.
 
     A leaf should own leaf_size nodes; one that owns more than `block` is compared in blocks.
@@ -212,9 +212,9 @@ def near_links(nodes: DataFrame, leaf_size: int = LEAF, block: int = BLOCK, radi
     placed = nodes.select("rep", "fp").mapInArrow(place, "shard long, fp long, rep long, own boolean")
     if n <= block:
         return placed.withColumn("block", F.lit(0)).groupBy("shard", "block").applyInPandas(shard_linker(radius), "a long, b long")
-    placed = written(placed, "simhash-shards")
+    placed = written(placed, "simhash-shards", folder)
     full = placed.filter("own").groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1")
-    placed = placed.join(small(written(full, "simhash-full")), "shard", "left")
+    placed = placed.join(small(written(full, "simhash-full", folder)), "shard", "left")
     # What a crowded leaf owns is dealt into blocks; whoever is in the leaf meets every block.
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = placed.withColumn("block", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
@@ -222,13 +222,13 @@ def near_links(nodes: DataFrame, leaf_size: int = LEAF, block: int = BLOCK, radi
     return dealt.select("shard", "block", "fp", "rep", "own").groupBy("shard", "block").applyInPandas(shard_linker(radius), "a long, b long")
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, folder: str | None = None) -> DataFrame:
     """node, root: the smallest node of each linked node's component. links: a, b (longs).
 
     Large-star and small-star rounds, each written to the shared folder, until a round changes nothing. While links are
     few the least neighbours are broadcast, so a hub's links stay in their tasks.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links", folder)
     state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now, before = state(edges), None
     while True:
@@ -239,24 +239,24 @@ def connected(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(few(least), "u")
         small_star = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = written(small_star.filter("u <> v").distinct(), "links")
+        edges = written(small_star.filter("u <> v").distinct(), "links", folder)
         now, before = state(edges), now
         if now == before:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-def linked_roots(links: DataFrame) -> DataFrame:
+def linked_roots(links: DataFrame, folder: str | None = None) -> DataFrame:
     """linked, root: connected() with the roots themselves, written. Nodes without links have no row."""
-    linked = connected(links)
-    return written(linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "linked"), "roots")
+    linked = connected(links, folder)
+    return written(linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "linked"), "roots", folder)
 
 
-def rooted(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataFrame:
+def rooted(nodes: DataFrame, links: DataFrame, node: str = "node", folder: str | None = None) -> DataFrame:
     """nodes (`node`, a long, and least, the least doc_id or null) with component_id, the least doc_id that links reach."""
-    linked = linked_roots(links)
+    linked = linked_roots(links, folder)
     member = nodes.select(F.col(node).alias("linked"), "least").join(small(linked), "linked")
     best = member.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "of")
-    named = written(linked.join(small(written(best, "components")), F.col("root") == F.col("of")).drop("of", "root"), "roots-named")
+    named = written(linked.join(small(written(best, "components", folder)), F.col("root") == F.col("of")).drop("of", "root"), "roots-named", folder)
     got = nodes.join(small(named), nodes[node] == named["linked"], "left")
     return got.select(*[nodes[c] for c in nodes.columns], F.when(F.col("linked").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
 
