@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import cron
+from ..functions import cron, pictures
 from ..functions import scalar as S
 from ..operators import cells, crossref, dedupe, density, graph, library, review, whispers
 from ..operators.ids import consecutive
@@ -25,10 +25,15 @@ def fn_sha256(t: Tables) -> DataFrame:
 
 
 def hashes(t: Tables) -> DataFrame:
-    return t.embeddings.select(F.col("vec_id").alias("id"), S.median_bits(S.doubles(F.col("embedding"))).alias("hash"))
+    """Hashes of gray pictures of 32 x 32, whose pixels are made from the vectors' values."""
+    value = lambda i: F.get("e", (i % 64).cast("int")) * 1_000_000.0 * (1 + F.floor(i / 64))
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: (F.floor(F.abs(value(i))) % 256).cast("double"))
+    return t.embeddings.select(F.col("vec_id").alias("id"), S.doubles(F.col("embedding")).alias("e")).select("id", pictures.picture_hash(pixels).alias("hash"))
 
 
-BITS = "s AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, list_sort(CAST(embedding AS DOUBLE[])) AS o FROM embeddings), b AS (SELECT id, list_transform(e, lambda x: CASE WHEN x > (o[32] + o[33]) / 2 THEN 1 ELSE 0 END) AS v FROM s)"
+BITS = """x AS (SELECT vec_id AS id, unnest(range(0, 1024)) AS i, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), px AS (SELECT id, i // 32 AS row, i % 32 AS col, CAST(floor(abs(e[i % 64 + 1] * 1000000.0 * (1 + i // 64))) AS BIGINT) % 256 AS p FROM x),
+d1 AS (SELECT id, u, col, sum(p * cos(pi() * u * (2 * row + 1) / 64)) AS s FROM px, range(0, 8) a(u) GROUP BY ALL), d2 AS (SELECT id, u, w, sum(s * cos(pi() * w * (2 * col + 1) / 64)) AS s FROM d1, range(0, 8) b(w) GROUP BY ALL),
+s AS (SELECT id, list(s ORDER BY u, w) AS e, list(s ORDER BY s) AS o FROM d2 GROUP BY id), b AS (SELECT id, list_transform(e, lambda x: CASE WHEN x > (o[32] + o[33]) / 2 THEN 1 ELSE 0 END) AS v FROM s)"""
 HEX = "h AS (SELECT id, array_to_string(list_transform(range(0, 16), lambda i: substr('0123456789abcdef', v[i * 4 + 1] * 8 + v[i * 4 + 2] * 4 + v[i * 4 + 3] * 2 + v[i * 4 + 4] + 1, 1)), '') AS hash, array_to_string(v, '') AS bits FROM b)"
 
 
@@ -239,6 +244,15 @@ def fn_cron_next(t):
     return cron.next_fire(when, "at", "30 6,18 1,15 * mon", horizon=60).select("id", "next_fire")
 
 
+@query("""WITH p AS (SELECT p_partkey AS id, p_partkey % 24 * 3600 + p_partkey % 60 * 60 AS clock, 1704067200 + p_partkey * 997 AS start FROM part)
+SELECT id, CAST(start // 86400 * 86400 + clock + (k + CASE WHEN start % 86400 // 60 * 60 >= clock THEN 1 ELSE 0 END) * 86400 AS BIGINT) AS fire FROM p, range(0, 3) r(k)""")
+def cron_fires(t):
+    """Each schedule's own expression, by a table function in a lateral join."""
+    text = F.concat_ws(" ", (F.col("p_partkey") % 60).cast("string"), (F.col("p_partkey") % 24).cast("string"), F.lit("* * *"))
+    plans = t.part.select(F.col("p_partkey").alias("id"), text.alias("expression"), F.lit("UTC").alias("zone"), (1704067200 + F.col("p_partkey") * 997).alias("start"))
+    return cron.fires(plans, "expression", "zone", "start", 3).select("id", "fire")
+
+
 @query("SELECT event_id AS id, (month(ts) = 1 AND (day(ts) IN (1, 15) OR dayofweek(ts) = 1)) AS fires FROM events")
 def fn_cron_match(t):
     return t.events.select(F.col("event_id").alias("id"), cron.matches_day(F.to_date("ts"), cron.parse("30 6 1,15 jan mon")).alias("fires"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..operators import events
 from ..streaming import jobs
 from .registry import query
 from .standins import Tables
+from .storage import shared_dir
 
 
 @query("SELECT line_no, CASE WHEN line_no % 11 = 0 THEN 'log' ELSE event END AS event, CASE WHEN line_no % 11 = 0 THEN NULL ELSE phase END AS phase, CASE WHEN line_no % 11 = 0 THEN NULL ELSE done END AS done, CASE WHEN line_no % 11 = 0 THEN 'malformed: oops' END AS message FROM job_events")
@@ -17,6 +20,16 @@ def evt_parse(t: Tables) -> DataFrame:
     return events.parse(lines).select("line_no", "event", "phase", "done", "message")
 
 
+@query("SELECT event, phase, done, count(*) AS n FROM job_events GROUP BY ALL")
+def evt_tail(t):
+    """Lines of files by way of the stream that follows them, parsed."""
+    folder = f"{shared_dir(t.spark)}/kithmark/tail-{uuid4().hex}"
+    t.job_events.select(F.to_json(F.struct("event", "phase", "space", "done", "total"))).write.text(f"{folder}/in")
+    parsed = events.parse(jobs.follow(t.spark, f"{folder}/in", ".txt"))
+    parsed.writeStream.format("parquet").option("checkpointLocation", f"{folder}/cursor").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return t.spark.read.schema(parsed.schema).parquet(f"{folder}/out").groupBy("event", "phase", "done").agg(F.count("*").alias("n"))
+
+
 SEQ = "s AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY CASE event WHEN 'error' THEN 1 WHEN 'result' THEN 2 ELSE 0 END, line_no) AS seq FROM job_events)"
 
 
@@ -107,10 +120,28 @@ def evt_manual(t):
     return t.schedules.join(runs.select(F.col("schedule_id").alias("id")).distinct(), "id", "left_semi").select("id", "next_run_at")
 
 
-@query("SELECT phase, count(*) AS n, CAST(sum(done) AS BIGINT) AS done, CAST(min(ts) AS BIGINT) AS first, CAST(max(ts) AS BIGINT) AS last FROM job_events WHERE event = 'progress' GROUP BY 1")
+def duration_sql(s: str) -> str:
+    return f"(CASE WHEN {s} < 60 THEN CAST(CAST(round_even({s}, 0) AS BIGINT) AS VARCHAR) || 's' WHEN {s} < 3600 THEN printf('%dm %02ds', CAST(floor({s}) AS BIGINT) // 60, CAST(floor({s}) AS BIGINT) % 60) ELSE printf('%dh %02dm', CAST(floor({s}) AS BIGINT) // 3600, CAST(floor({s}) AS BIGINT) // 60 % 60) END)"
+
+
+def rate_sql(v: str) -> str:
+    return f"(CASE WHEN {v} >= 1 THEN printf('%.1f/s', {v}) WHEN {v} > 0 THEN printf('%.1f/min', {v} * 60) ELSE '0/s' END)"
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT job_id, phase, space, CAST(ts AS DOUBLE) AS ts, event, done, total, row_number() OVER (PARTITION BY job_id, phase ORDER BY ts, line_no) AS r FROM job_events WHERE event IN ('phase', 'progress')),
+g AS (SELECT job_id, phase, space, ts, event, done, total, r, ts AS started, CASE WHEN event = 'progress' THEN ts END AS t0, CASE WHEN event = 'progress' THEN done END AS d0, ts AS beat, false AS shown FROM n WHERE r = 1
+UNION ALL SELECT n.job_id, n.phase, n.space, n.ts, n.event, n.done, n.total, n.r, CASE WHEN n.event = 'phase' THEN n.ts ELSE g.started END,
+  CASE WHEN n.event = 'phase' THEN NULL ELSE coalesce(g.t0, n.ts) END, CASE WHEN n.event = 'phase' THEN NULL ELSE coalesce(g.d0, n.done) END,
+  CASE WHEN n.event = 'phase' THEN n.ts WHEN g.t0 IS NOT NULL AND (n.done >= n.total OR n.ts - g.beat >= 21600) THEN n.ts ELSE g.beat END,
+  n.event = 'progress' AND g.t0 IS NOT NULL AND (n.done >= n.total AND n.ts - g.started >= 1 OR n.done < n.total AND n.ts - g.beat >= 21600)
+  FROM g JOIN n ON n.job_id = g.job_id AND n.phase = g.phase AND n.r = g.r + 1),
+m AS (SELECT *, ts - started AS elapsed, CASE WHEN done >= total THEN done / (ts - started) WHEN ts > t0 THEN (done - d0) / (ts - t0) ELSE 0 END AS rate FROM g WHERE shown),
+e AS (SELECT *, CASE WHEN rate > 0 AND total > done THEN (total - done) / rate ELSE 0 END AS eta FROM m)
+SELECT job_id, phase, ts, '[' || space || '] ' || phase || ': ' || done || CASE WHEN done >= total THEN ' done in ' || {duration_sql("elapsed")} || CASE WHEN rate > 0 THEN ' (' || {rate_sql("rate")} || ')' ELSE '' END
+  ELSE '/' || total || ' (' || (done * 100 // total) || '%)' || CASE WHEN rate > 0 THEN ' · ' || {rate_sql("rate")} ELSE '' END || CASE WHEN eta >= 1 THEN ' · ETA ' || {duration_sql("eta")} ELSE '' END END AS message FROM e""")
 def win_heartbeat(t):
-    """What the closing line of each phase says: count, sum and span."""
-    return t.job_events.filter("event = 'progress'").groupBy("phase").agg(F.count("*").alias("n"), F.sum("done").alias("done"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    """What a long phase says: a line every six hours here, with rate and time left, and a closing one."""
+    return jobs.heartbeats(t.job_events, 6 * 3600)
 
 
 @query("SELECT event_type AS stage, n, round(seconds, 6) AS seconds, round(seconds * 1000 / n, 6) AS ms_each, round(seconds * 100 / sum(seconds) OVER (), 6) AS percent FROM (SELECT event_type, count(*) AS n, sum(value) AS seconds FROM events WHERE event_id >= 50 GROUP BY 1)")
