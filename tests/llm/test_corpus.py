@@ -115,6 +115,21 @@ def test_chains_tell_colliding_texts_apart(spark):
     assert len({r.bucket for r in got}) == 8
 
 
+def test_results_come_by_way_of_the_directory(spark, odd, monkeypatch):
+    one = lambda keys, capacity: (keys.sparkSession.createDataFrame([(0, 1, 0)], "slot long, bucket long, local_depth int"), 0)
+    real = exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", one)
+    with pytest.raises(ValueError, match="overfull"):
+        exact_dedup.exact_groups(odd, capacity=2)
+
+    def without_first_half(keys, capacity):
+        slots, depth = real(keys, capacity)
+        return slots.filter(F.col("slot") >= 1 << (depth - 1)), depth
+
+    monkeypatch.setattr(exact_dedup, "directory", without_first_half)
+    assert 0 < exact_dedup.exact_groups(odd, capacity=2).count() < len(ODD)
+
+
 # ---- mixing --------------------------------------------------------------------------------
 
 
@@ -513,7 +528,7 @@ def test_responses_are_read_from_files(spark, tmp_path):
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + payload.encode()
                 f.write(pack(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Target-URI: http://a/{name}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"))
     found = warc.read_responses(spark, f"{tmp_path}/in")
-    assert sorted((r.target_uri, r.payload) for r in found.collect()) == sorted((f"http://a/{n}", p) for n in ("a.warc.gz", "b.warc") for p in ("<p>é</p>", ""))
+    assert sorted((r.target_uri, bytes(r.payload).decode()) for r in found.collect()) == sorted((f"http://a/{n}", p) for n in ("a.warc.gz", "b.warc") for p in ("<p>é</p>", ""))
     assert sorted(r.block for r in warc.derive(found).collect() if r.record_type == "conversion") == ["", "", "é", "é"]
 
 
