@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cron
+from .ids import running_sum
+
 
 def parse(lines: DataFrame) -> DataFrame:
     """JSON lines (value) as events; what isn't an object becomes a log event that says so."""
@@ -88,8 +91,27 @@ def tick(schedules: DataFrame, running: DataFrame, now: int, most: int = 5) -> D
     rows = due(schedules, now).select("id", "job", "next_run_at").join(running.select("job", F.lit(True).alias("busy")).distinct(), "job", "left")
     nth = F.row_number().over(Window.partitionBy("job").orderBy("next_run_at", "id"))
     rows = rows.withColumn("free", F.col("busy").isNull() & (nth == 1))
-    place = F.sum(F.col("free").cast("int")).over(Window.orderBy("next_run_at", "id").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("place", place).crossJoin(F.broadcast(running.agg(F.count("*").alias("used")))).select("id", F.when(F.col("free") & (F.col("place") + F.col("used") <= most), "submitted").otherwise("skipped").alias("status"))
+    rows = running_sum(rows.withColumn("one", F.col("free").cast("int")), ["next_run_at", "id"], "one", "before")
+    used = running.count()
+    return rows.select("id", F.when(F.col("free") & (F.col("before") + used < most), "submitted").otherwise("skipped").alias("status"))
+
+
+def fire(schedules: DataFrame, asked: DataFrame, running: DataFrame, now: int, most: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(runs: id, fired_at, manual, status; schedules: id, next_run_at) after a tick at `now`.
+
+    What is due fires by tick() and moves on to its expression's first time after now, whether it was submitted or skipped. asked: ids to run by hand (id);
+    each takes a place behind the due ones, if its job is free, and leaves its schedule where it was. schedules: id, job, enabled, next_run_at, expression, zone.
+    """
+    went = tick(schedules, running, now, most)
+    busy = running.select("job").unionByName(schedules.join(went.filter("status = 'submitted'"), "id", "left_semi").select("job")).distinct()
+    used = running.count() + went.filter("status = 'submitted'").count()
+    by_hand = schedules.join(asked.select("id").distinct(), "id", "left_semi").select("id", "job").join(busy.withColumn("busy", F.lit(True)), "job", "left")
+    nth = F.row_number().over(Window.partitionBy("job").orderBy("id"))
+    by_hand = running_sum(by_hand.withColumn("one", (F.col("busy").isNull() & (nth == 1)).cast("int")), ["id"], "one", "before")
+    by_hand = by_hand.select("id", F.lit(now).cast("long").alias("fired_at"), F.lit(True).alias("manual"), F.when((F.col("one") == 1) & (F.col("before") + used < most), "submitted").otherwise("skipped").alias("status"))
+    runs = went.select("id", F.lit(now).cast("long").alias("fired_at"), F.lit(False).alias("manual"), "status").unionByName(by_hand)
+    moved = cron.fires(due(schedules, now).select("id", "expression", "zone", F.lit(now).cast("long").alias("now")), "expression", "zone", "now", 1).select("id", "fire")
+    return runs, schedules.join(moved, "id", "left").select("id", F.coalesce("fire", "next_run_at").alias("next_run_at"))
 
 
 def keep_newest(runs: DataFrame, group: str, n: int = 20) -> DataFrame:

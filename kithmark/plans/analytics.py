@@ -170,11 +170,11 @@ def fn_letterbox(t):
     return t.photos.filter("width > 0 AND height > 0").select("id", F.round(ratio, 6).alias("ratio"), left.alias("left_"), top.alias("top_"))
 
 
-@query("SELECT id, array_to_string(list_transform([least(1.0, 600 / greatest(width, height)), least(2.0, 600 / greatest(width, height))], lambda x: printf('%.4f', x)), ',') AS plan FROM photos WHERE width > 0 AND height > 0 AND greatest(width, height) > 300 AND greatest(width, height) < 600")
+@query("SELECT id, CASE WHEN a = b THEN a ELSE a || ',' || b END AS plan FROM (SELECT id, printf('%.4f', least(1.0, 450 / greatest(width, height))) AS a, printf('%.4f', least(2.0, 450 / greatest(width, height))) AS b FROM photos WHERE width > 0 AND height > 0)")
 def fn_scale_plan(t):
-    plan = S.scale_plan(F.col("width"), F.col("height"), F.array(F.lit(1.0), F.lit(2.0)), 600)
-    big = F.greatest("width", "height")
-    return t.photos.filter((F.col("width") > 0) & (F.col("height") > 0) & (big > 300) & (big < 600)).select("id", F.array_join(F.transform(plan, lambda x: F.format_string("%.4f", x)), ",").alias("plan"))
+    """Two scales of every known size: both free, one capped, and both capped to the same."""
+    plan = S.scale_plan(F.col("width"), F.col("height"), F.array(F.lit(1.0), F.lit(2.0)), 450)
+    return t.photos.filter((F.col("width") > 0) & (F.col("height") > 0)).select("id", F.array_join(F.transform(plan, lambda x: F.format_string("%.4f", x)), ",").alias("plan"))
 
 
 @query("SELECT id, CAST(a.i * 8 + 4 - 3 AS DOUBLE) AS x1, CAST(a.i * 8 + 4 + 5 AS DOUBLE) AS x2 FROM photos, (SELECT unnest(range(0, 4)) AS i) a")

@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import cells, crossref, extract, graph
-from ..operators.ids import consecutive
+from ..operators import cells, crossref, extract, graph, review, runs
 from ..sources import files, readers
-from .analytics import DIM, ids, mapping, models, near, tags, truth, vectors
+from .analytics import CORE, DIM, mapping, models, near, tags, truth, vectors
 from .registry import SQL, query
 from .standins import Tables
 from .storage import shared_dir
@@ -48,17 +47,27 @@ def fn_skip_reason(t):
     return t.events.select(F.col("event_id").alias("id"), extract.skip_reason(kind, text).alias("reason"))
 
 
-@query("""SELECT item_id, '{"person_id":' || CAST(item_id % 50 AS VARCHAR) || ',"manual_target":true}' AS payload FROM queue WHERE kind = 'assign'""")
+@query("""SELECT item_id, '{"face_id":' || (item_id * 8 + 1) || ',"photo_id":' || item_id || ',"space":"personal"' || CASE WHEN contains(payload_json, 'original_person_id') THEN ',"original_person_id":7' ELSE '' END
+  || ',"person_id":' || (item_id % 50) || ',"manual_target":true}' AS payload FROM queue WHERE kind = 'assign'""")
 def fn_json_set(t):
-    return t.queue.filter("kind = 'assign'").select("item_id", F.to_json(F.struct((F.col("item_id") % 50).alias("person_id"), F.lit(True).alias("manual_target"))).alias("payload"))
+    """Keys of the queue's own payloads: one that is there is replaced, one that isn't is added."""
+    values = {"person_id": (F.col("item_id") % 50).cast("string"), "manual_target": F.lit("true")}
+    return t.queue.filter("kind = 'assign'").select("item_id", review.set_keys(F.col("payload_json"), values).alias("payload"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT vec_id) AS n_ids FROM embeddings")
+SIGNATURE = """substr(sha1(count(*) || ':' || coalesce(sum(CAST('0x' || substr(md5(vec_id || ':' || array_to_string(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000000.0) AS BIGINT)), ',')), 1, 13) AS BIGINT)), 0) || ':{k}:[(''a'', 1.0)]'), 1, 16)"""
+
+
+def embedded(t: Tables) -> DataFrame:
+    return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+@query(f"SELECT 'whole' AS part, {SIGNATURE.format(k=10)} AS signature FROM embeddings UNION ALL SELECT 'other k', {SIGNATURE.format(k=11)} FROM embeddings UNION ALL SELECT 'odd', {SIGNATURE.format(k=10)} FROM embeddings WHERE vec_id % 2 = 1")
 def fn_graph_sig(t):
-    """Two orders of the same ids have one signature."""
-    a = readers.graph_signature(ids(t), 10, {"a": 1.0})
-    b = readers.graph_signature(ids(t).orderBy(F.desc("id")), 10, {"a": 1.0})
-    return t.embeddings.agg((F.count("*") if a == b else F.lit(-1).cast("long")).alias("n"), F.count_distinct("vec_id").alias("n_ids"))
+    """Signatures of the vectors, whatever their order, for two numbers of neighbours, and of a part of them."""
+    x, w = embedded(t), {"a": 1.0}
+    found = {"whole": readers.graph_signature(x.orderBy(F.desc("id")), 10, w), "other k": readers.graph_signature(x, 11, w), "odd": readers.graph_signature(x.filter("id % 2 = 1"), 10, w)}
+    return t.spark.createDataFrame(list(found.items()), "part string, signature string")
 
 
 @query("SELECT c_custkey AS id, c_name AS name, c_custkey % 3 = 0 AS hidden FROM customer")
@@ -77,12 +86,21 @@ def src_faces(t):
     return lines.select(x.alias("x")).select("x.syno_face_id", "x.photo_id", F.round("x.box.top_left.x", 6).alias("x1"), F.round("x.box.bottom_right.y", 6).alias("y2"))
 
 
-@query("SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'orders', count(*) FROM orders")
+GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, true AS same FROM {n}" for n in GIVEN))
 def src_table_copy(t):
-    to, names = folder(t, "copy"), ["nation", "customer", "orders"]
-    readers.copy_tables(t.spark, t.sf_dir, to, names)
-    parts = [t.spark.read.parquet(f"{to}/{n}.parquet").agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in names]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """All given tables copied: rows of each copy, and whether its contents are the table's."""
+    to = folder(t, "copy")
+    readers.copy_tables(t.spark, t.sf_dir, to, GIVEN)
+    out = None
+    for name in GIVEN:
+        given, copy = getattr(t, name), t.spark.read.parquet(f"{to}/{name}.parquet")
+        row = copy.agg(F.count("*").alias("n"), readers.table_digest(copy).alias("d")).join(given.agg(readers.table_digest(given).alias("e")), F.lit(True))
+        row = row.select(F.lit(name).alias("name"), "n", (F.col("d") == F.col("e")).alias("same"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1")
@@ -107,13 +125,16 @@ def snk_csv_grid(t):
     return t.spark.read.schema("user_id string, a string, b string").csv(to, header=True)
 
 
-@query("SELECT vec_id % 10 AS g, count(*) * 5 AS n FROM embeddings GROUP BY 1")
+@query("SELECT vec_id % 10 AS g, count(*) * 5 AS n, count(*) * 3 AS changed FROM embeddings GROUP BY 1")
 def snk_npz_cache(t):
-    """Neighbours by way of the cache, asked for twice; the second time nothing is built."""
-    to, x = folder(t, "cache"), t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    """Neighbours by way of the cache, asked for twice; the second time nothing is built. Where the vectors change the old neighbours aren't given."""
+    to, x = folder(t, "cache"), embedded(t)
     files.cached_graph(x, to, 5, {}, lambda: cells.neighbours(x, 5))
     again = files.cached_graph(x, to, 5, {}, lambda: t.spark.createDataFrame([], "src long"))
-    return again.groupBy((F.col("src") % 10).alias("g")).agg(F.count("*").alias("n"))
+    other = x.withColumn("vec", F.transform("vec", lambda v: -v))
+    changed = files.cached_graph(other, to, 5, {}, lambda: cells.neighbours(other, 3))
+    by = lambda df, name: df.groupBy((F.col("src") % 10).alias("g")).agg(F.count("*").alias(name))
+    return by(again, "n").join(by(changed, "changed"), "g")
 
 
 @query()
@@ -184,18 +205,31 @@ def fn_fromblob(t):
     return back.select(F.col("vec_id").alias("face_id"), F.when(F.col("back") == F.col("embedding"), F.size("back")).otherwise(-1).cast("long").alias("dim"))
 
 
-@query(f"""SELECT row_number() OVER (ORDER BY part, key) AS item_id, kind, key, confidence FROM (SELECT 1 AS part, face_id AS key, kind, confidence FROM ({SQL["op_assign"]}) UNION ALL SELECT 2, face_id, 'reassign', confidence FROM ({SQL["op_reassign"]})
-UNION ALL SELECT DISTINCT 3, cluster, 'new_person', NULL::DOUBLE FROM ({SQL["op_new_person"]}) UNION ALL SELECT 4, a * 1000 + b, 'merge', NULL FROM ({SQL["op_merge_intra"]}))""")
+NAMED = "nm AS (SELECT id AS person_id, min(name) AS name FROM persons WHERE trim(name) <> '' GROUP BY 1)"
+
+
+@query(f"""WITH {NAMED}, a AS (SELECT 1 AS part, face_id AS k1, person_id AS k2, kind, 'assign' AS family, face_id || ':' || person_id AS identity, confidence FROM ({SQL["op_assign"]}) UNION ALL
+SELECT 2, face_id, person_id, 'reassign', 'reassign', face_id || ':' || person_id, confidence FROM ({SQL["op_reassign"]}) UNION ALL
+SELECT 3, cluster, 0, 'new_person', 'new_person', string_agg(face_id, ',' ORDER BY face_id), NULL FROM ({SQL["op_new_person"]}) GROUP BY cluster UNION ALL
+SELECT 4, a, b, CASE WHEN x.name IS NOT NULL AND y.name IS NOT NULL THEN 'merge_named' ELSE 'merge' END, 'merge', a || ':' || b, NULL FROM (SELECT a, b FROM ({SQL["op_merge_intra"]}) UNION SELECT a, b FROM ({SQL["op_merge_inter"]})) LEFT JOIN nm x ON x.person_id = a LEFT JOIN nm y ON y.person_id = b),
+o AS (SELECT 'assign' AS family, face_id || ':' || person_id AS identity FROM known WHERE face_id % 7 = 0)
+SELECT row_number() OVER (ORDER BY part, k1, k2) AS item_id, kind, identity, confidence FROM a WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.family = a.family AND o.identity = a.identity)""")
 def op_persist_run(t):
-    """Queue rows of a run with consecutive ids: assigns by face, reassigns by face, new persons, merges."""
-    m, v = t.cluster_of, vectors(t)
-    mapped = mapping(t)
-    a = crossref.assigns(m, truth(t), mapped, v, t.face_meta, tags(t), DIM, 0.01).select(F.lit(1).alias("part"), F.col("face_id").alias("key"), "kind", F.round("confidence", 6).alias("confidence"))
-    r = crossref.reassigns(m, truth(t), mapped, v, t.face_meta, DIM, 3, -0.01).select(F.lit(2).alias("part"), F.col("face_id").alias("key"), F.lit("reassign").alias("kind"), F.round("confidence", 6).alias("confidence"))
-    none = F.lit(None).cast("double").alias("confidence")
-    n = crossref.new_persons(m, truth(t)).filter("rank = 1").select(F.lit(3).alias("part"), F.col("cluster").alias("key"), F.lit("new_person").alias("kind"), none)
-    g = crossref.merges_within(crossref.votes(m, truth(t)), 0.15).select(F.lit(4).alias("part"), (F.col("a") * 1000 + F.col("b")).alias("key"), F.lit("merge").alias("kind"), none)
-    return consecutive(a.unionByName(r).unionByName(n).unionByName(g), ["part", "key"], "item_id", 1).select("item_id", "kind", "key", "confidence")
+    """Review items of a run with consecutive ids, without those that an earlier run proposed: assigns, reassigns, new persons, and merges by name."""
+    m, v, mapped = t.cluster_of, vectors(t), mapping(t)
+    a = crossref.assigns(m, truth(t), mapped, v, t.face_meta, tags(t), DIM, 0.01).withColumn("confidence", F.round("confidence", 6))
+    r = crossref.reassigns(m, truth(t), mapped, v, t.face_meta, DIM, 3, -0.01).withColumn("confidence", F.round("confidence", 6))
+    within = crossref.merges_within(crossref.votes(m, truth(t)), 0.15)
+    between = crossref.merges_between(mapped, crossref.centroids(m, v, DIM), within.select("a", "b"), 0.02)
+    names = t.persons.select(F.col("id").alias("person_id"), "name")
+    before = t.known.filter("face_id % 7 = 0").select(F.lit("assign").alias("kind"), F.concat_ws(":", F.col("face_id").cast("string"), F.col("person_id").cast("string")).alias("identity"))
+    found = runs.review_items(a, r, crossref.new_persons(m, truth(t)), runs.merges(within, between), names, before)
+    return found.select("item_id", "kind", "identity", "confidence")
+
+
+@query(f"WITH {CORE} SELECT o.cluster, o.size, CASE WHEN mapped THEN space END AS space, CASE WHEN mapped THEN person_id END AS person_id, round(coalesce(fraction, 0), 6) AS fraction, coalesce(labeled, 0) AS labeled FROM (SELECT cluster, count(*) AS size FROM cluster_of GROUP BY 1) o LEFT JOIN m USING (cluster)")
+def run_clusters(t):
+    return runs.stored_clusters(t.cluster_of, mapping(t)).withColumn("fraction", F.round("fraction", 6))
 
 
 @query()

@@ -113,11 +113,12 @@ def evt_due_fire(t):
     return events.tick(t.schedules, t.part.filter("p_partkey IN (5, 6)").select(F.col("p_type").alias("job")), 1_704_100_000)
 
 
-@query("SELECT id, next_run_at FROM schedules WHERE id % 2 = 0")
+@query("""SELECT id, CASE WHEN enabled = 1 AND next_run_at <= 1704100000 THEN 1704100000 // 86400 * 86400 + id % 24 * 3600 + id % 60 * 60 + CASE WHEN id % 24 * 3600 + id % 60 * 60 > 1704100000 % 86400 // 60 * 60 THEN 0 ELSE 86400 END ELSE next_run_at END AS next_run_at FROM schedules""")
 def evt_manual(t):
-    """A manual run is one more run of its schedule; the next run stays where it was."""
-    runs = t.schedules.filter("id % 2 = 0").select(F.col("id").alias("schedule_id"), F.lit(1_704_100_000).cast("long").alias("fired_at"))
-    return t.schedules.join(runs.select(F.col("schedule_id").alias("id")).distinct(), "id", "left_semi").select("id", "next_run_at")
+    """Runs by hand beside those that are due: only the due ones' schedules move on, each to its own next time."""
+    every = F.concat_ws(" ", (F.col("id") % 60).cast("string"), (F.col("id") % 24).cast("string"), F.lit("* * *"))
+    plans = t.schedules.select("id", "job", "enabled", "next_run_at", every.alias("expression"), F.lit("UTC").alias("zone"))
+    return events.fire(plans, plans.filter("id % 2 = 0").select("id"), t.part.filter("p_partkey IN (5, 6)").select(F.col("p_type").alias("job")), 1_704_100_000)[1]
 
 
 def duration_sql(s: str) -> str:

@@ -14,7 +14,7 @@ from .readers import graph_signature
 
 
 def cached_graph(vectors: DataFrame, folder: str, k: int, weights: dict[str, float], build: Callable[[], DataFrame]) -> DataFrame:
-    """Neighbours from the folder named by their signature, built and written there first if it has none."""
+    """Neighbours from the folder named by their signature, built and written there first if it has none. Changed vectors have another signature."""
     spark = vectors.sparkSession
     path = f"{folder}/graph_{graph_signature(vectors, k, weights)}"
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

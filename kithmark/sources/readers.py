@@ -94,11 +94,21 @@ def copy_tables(spark: SparkSession, source: str, target: str, names: list[str])
         spark.read.parquet(f"{source}/{name}.parquet").write.mode("errorifexists").parquet(f"{target}/{name}.parquet")
 
 
-def graph_signature(ids: DataFrame, k: int, weights: dict[str, float]) -> str:
-    """Name of a cached graph: digest of the ids' own digests, k and the weights. Order-free, so nothing is gathered."""
-    row = ids.agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit("graph"), "id")).alias("x"))
-    said = F.concat_ws(":", *(F.col(c).cast("string") for c in ("n", "s", "x")), F.lit(f"{k}:{sorted(weights.items())}"))
-    return row.select(F.substring(F.sha1(said), 1, 16)).first()[0]
+def graph_signature(vectors: DataFrame, k: int, weights: dict[str, float]) -> str:
+    """Name of a cached graph: digest of the sum of the vectors' digests (id, and the parts in millionths), of k and of the weights.
+
+    The order doesn't matter, so nothing is gathered; another vector of an id gives another name.
+    """
+    parts = F.array_join(F.transform("vec", lambda x: F.floor(x.cast("double") * 1_000_000.0).cast("string")), ",")
+    own = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), parts)), 1, 13), 16, 10).cast("decimal(38,0)")
+    row = vectors.agg(F.count("*").cast("string").alias("n"), F.coalesce(F.sum(own), F.lit(0)).cast("string").alias("s"))
+    return row.select(F.substring(F.sha1(F.concat_ws(":", "n", "s", F.lit(f"{k}:{sorted(weights.items())}"))), 1, 16)).first()[0]
+
+
+def table_digest(df: DataFrame) -> Column:
+    """An aggregate that tells a table's rows, in any order, repeats included, from others'."""
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+    return F.concat_ws(":", F.count("*").cast("string"), F.sum(row.cast("decimal(38,0)")).cast("string"), F.sum(F.xxhash64(row).cast("decimal(38,0)")).cast("string"))
 
 
 def original_path(item: Column) -> Column:
