@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import cells, crossref, extract, graph, review, runs
-from ..sources import files, readers
+from ..sources import files, readers, sqlite
 from .analytics import CORE, DIM, mapping, models, near, tags, truth, vectors
 from .registry import SQL, query
 from .standins import Tables
@@ -103,6 +103,16 @@ def src_table_copy(t):
     return out
 
 
+@query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer WHERE c_custkey > 40 AND c_nationkey IN (1, 2, 3) AND c_mktsegment IS NOT NULL")
+def src_sql(t):
+    """Customers by way of SQLite files, some columns, filtered where they are."""
+    to = folder(t, "sqlite")
+    sqlite.write_table(t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal")), to, "customer")
+    got = sqlite.read_table(t.spark, to, "customer", "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal"], 500)
+    got = got.filter((F.col("c_custkey") > 40) & F.col("c_nationkey").isin(1, 2, 3) & F.col("c_mktsegment").isNotNull())
+    return got.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+
+
 @query("SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1")
 def snk_snapshot(t):
     to = folder(t, "snapshot")
