@@ -7,6 +7,7 @@ a time that a gap skips moves on, one that an overlap repeats fires first.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from itertools import product
@@ -92,33 +93,37 @@ def next_fire(df: DataFrame, after: str, expression: str, zone: str = "UTC", hor
     return df.withColumn(out, F.array_min(F.filter(when, lambda x: x > F.col(after))))
 
 
-@F.udtf(returnType="fire long")
-class CronFires:
-    """cron_fires(expression, zone, start, n): the first n instants (epoch seconds) after `start` at which the expression fires in the zone.
+def fire_times(expression: str, zone: str, start: int, n: int) -> Iterator[int]:
+    """The first n instants (epoch seconds) after `start` at which the expression fires in the zone; fewer if the horizon ends.
 
     Wall clock times: one that a clock change repeats fires once, at its first; one that it leaves out fires as much later as the clock is moved, and the
-    search goes on from there. Fewer than n if the horizon ends, none for nulls. For use in a lateral join.
+    search goes on from there.
     """
+    cron, tz = parse(expression), ZoneInfo(zone)
+    at = datetime.fromtimestamp(start, tz).replace(second=0, microsecond=0, tzinfo=None)
+    day, left = at.replace(hour=0, minute=0), n
+    for _ in range(HORIZON):
+        if left <= 0:
+            return
+        inside, weekday = day.day in cron.days, (day.weekday() + 1) % 7 in cron.weekdays
+        either = (inside or weekday) if not (cron.any_day or cron.any_weekday) else (inside or cron.any_day) and (weekday or cron.any_weekday)
+        for hour, minute in product(cron.hours, cron.minutes) if day.month in cron.months and either else ():
+            wall = day.replace(hour=hour, minute=minute)
+            if wall <= at or left <= 0:
+                continue
+            fire = int(wall.replace(tzinfo=tz).timestamp())
+            at, left = datetime.fromtimestamp(fire, tz).replace(tzinfo=None), left - 1
+            yield fire
+        day += timedelta(days=1)
+
+
+@F.udtf(returnType="fire long")
+class CronFires:
+    """cron_fires(expression, zone, start, n): fire_times() as rows, none for nulls. For use in a lateral join."""
 
     def eval(self, expression: str, zone: str, start: int, n: int):
-        if expression is None or zone is None or start is None:
-            return
-        cron, tz = parse(expression), ZoneInfo(zone)
-        at = datetime.fromtimestamp(start, tz).replace(second=0, microsecond=0, tzinfo=None)
-        day, left = at.replace(hour=0, minute=0), n
-        for _ in range(HORIZON):
-            if left <= 0:
-                return
-            inside, weekday = day.day in cron.days, (day.weekday() + 1) % 7 in cron.weekdays
-            either = (inside or weekday) if not (cron.any_day or cron.any_weekday) else (inside or cron.any_day) and (weekday or cron.any_weekday)
-            for hour, minute in product(cron.hours, cron.minutes) if day.month in cron.months and either else ():
-                wall = day.replace(hour=hour, minute=minute)
-                if wall <= at or left <= 0:
-                    continue
-                fire = int(wall.replace(tzinfo=tz).timestamp())
-                at, left = datetime.fromtimestamp(fire, tz).replace(tzinfo=None), left - 1
-                yield (fire,)
-            day += timedelta(days=1)
+        if expression is not None and zone is not None and start is not None:
+            yield from ((at,) for at in fire_times(expression, zone, start, n))
 
 
 def fires(df: DataFrame, expression: str, zone: str, start: str, n: int) -> DataFrame:
