@@ -35,7 +35,7 @@ SAMPLE, COMMON = 8192, 200_000
 #: Longs of a parity sketch.
 SKETCH = 4
 #: Bands, and min-hashes of a band: sets of similarity 0.8 share a band in 0.9998 of all cases. And how many of a band its nodes meet in each round.
-BANDS, ROWS, MET = 16, 4, (1, 4, 16)
+BANDS, ROWS, MET = 16, 4, (1, 8)
 _FACTORS = np.random.default_rng(45).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -80,13 +80,19 @@ def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
 
     few = texts.filter(F.pmod(F.xxhash64("t", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20))).select("t").distinct()
     counts = few.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
-    return np.array([r.h for r in counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()][::-1], np.int64).view(np.uint64)
+    return counts.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow()["h"].to_numpy()[::-1].view(np.uint64)
+
+
+def text_key(t: str) -> Column:
+    """Texts, as bytes, by their MD5."""
+    return F.unhex(F.md5(t))
 
 
 def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """doc_id, key (128 bits of the set), fp, n, bits (its parity sketch), bands, head (the set's first shingles), t (the text's bytes) for each row."""
+    """doc_id, key (128 bits of the set), fp, n, bits (its parity sketch), bands, head (the set's first shingles), tk (128 bits of the text) for each row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     late = common_shingles(texts, words)
+    texts = texts.withColumn("tk", text_key("t"))
     held = docs.sparkSession.sparkContext.broadcast((np.sort(late), np.argsort(late) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +113,10 @@ def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
                 banded.append(bands(h))
                 heads.append(h[np.argsort(rank, kind="stable")[: head_size(len(h))]].view(np.int64) if len(h) else h.view(np.int64))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(banded, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())), batch.column("t"),
-            ], names=["doc_id", "key", "fp", "n", "bits", "bands", "head", "t"])
+                batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(banded, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())), batch.column("tk"),
+            ], names=["doc_id", "key", "fp", "n", "bits", "bands", "head", "tk"])
 
-    return texts.mapInArrow(run, "doc_id long, key string, fp long, n long, bits array<long>, bands array<long>, head array<long>, t binary")
+    return texts.mapInArrow(run, "doc_id long, key string, fp long, n long, bits array<long>, bands array<long>, head array<long>, tk binary")
 
 
 def named(nodes: DataFrame) -> tuple[DataFrame, Column]:
@@ -123,45 +129,60 @@ def named(nodes: DataFrame) -> tuple[DataFrame, Column]:
         salt += 1
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, folder: str) -> DataFrame:
-    """The pairs (a, b) of nodes (rep, t) whose shingle sets are copies, written. The texts of nodes in pairs move, no others."""
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "near-pairs", folder)
-    used = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "near-used", folder)
-
-    def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "body"])
-
-    # In the shared folder once for each node; a pair then costs an intersection.
-    held = texts.join(small(used), "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(hash_sets, "rep long, body binary")
-    held = written(held, "near-bodies", folder)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (batch.column(c) for c in ("x", "y"))
-            keep = []
-            for i in range(len(x)):
-                p, q = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (x, y))
-                keep.append(bool(alike(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q))))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(held.select(F.col("rep").alias("b"), F.col("body").alias("y")), "b").join(held.select(F.col("rep").alias("a"), F.col("body").alias("x")), "a")
-    return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links", folder)
+class Verifier:
+    """Tells which pairs of nodes are copies. A node's shingle set is hashed from its text once, when a pair first needs it, and kept in the shared folder.
 
+    docs: the documents; nodes: rep, tk.
+    """
 
-def met_in_bands(texts: DataFrame, links: DataFrame, words: int, folder: str) -> DataFrame:
-    """links and what rounds over the bands add to them. texts: rep, bands, t.
+    def __init__(self, docs: DataFrame, text: str, nodes: DataFrame, words: int, folder: str):
+        self.texts = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).withColumn("tk", text_key("t"))
+        self.nodes, self.words, self.folder = nodes, words, folder
+        self.held: DataFrame | None = None
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of nodes whose shingle sets are copies, written. The texts of nodes in pairs move, no others."""
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "near-pairs", self.folder)
+        used = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        if self.held is not None:
+            used = used.join(self.held.select("rep"), "rep", "left_anti")
+        used = written(self.nodes.select("rep", "tk").join(small(written(used, "near-used", self.folder)), "rep", "left_semi"), "near-wanted", self.folder)
+        words = self.words
+
+        def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column("t").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "body"])
+
+        new = self.texts.join(small(used), "tk").select("rep", "t").dropDuplicates(["rep"]).mapInArrow(hash_sets, "rep long, body binary")
+        new = written(new, "near-bodies", self.folder)
+        held = self.held = new if self.held is None else self.held.unionByName(new)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = (batch.column(c) for c in ("x", "y"))
+                keep = []
+                for i in range(len(x)):
+                    p, q = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (x, y))
+                    keep.append(bool(alike(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q))))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        both = pairs.join(held.select(F.col("rep").alias("b"), F.col("body").alias("y")), "b").join(held.select(F.col("rep").alias("a"), F.col("body").alias("x")), "a")
+        return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links", self.folder)
+
+
+def met_in_bands(nodes: DataFrame, links: DataFrame, verifier: Verifier, folder: str) -> DataFrame:
+    """links and what rounds over the bands add to them. nodes: rep, bands.
 
     In each round a node meets those of each of its bands that hashes of the round put first, if links don't join them yet.
     """
-    each = written(texts.select("rep", F.explode("bands").alias("band")).distinct(), "near-bands", folder)
+    each = written(nodes.select("rep", F.explode("bands").alias("band")).distinct(), "near-bands", folder)
     for many in MET:
         now = each.join(small(linked_roots(links, folder)), F.col("rep") == F.col("linked"), "left").select("rep", "band", F.coalesce("root", "rep").alias("root"))
         met = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array(*(F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(many + k))) for k in range(many))).alias("tops"))
         met = met.filter("low <> high").select("band", F.explode(F.array_distinct("tops")).alias("top"))
         met = written(met.select("band", F.col("top.rep").alias("b"), F.col("top.root").alias("b_root")), "near-tops", folder)
-        found = verified(now.join(small(met, 1_000_000), "band").filter("root <> b_root").select(F.col("rep").alias("a"), "b"), texts.select("rep", "t"), words, folder)
+        found = verifier.links(now.join(small(met), "band").filter("root <> b_root").select(F.col("rep").alias("a"), "b"))
         if found.isEmpty():
             break
         links = links.unionByName(found)
@@ -182,7 +203,7 @@ def met_in_heads(each: DataFrame, sketches: DataFrame, folder: str) -> DataFrame
     top = sizes.groupBy("h").agg(F.max_by("root", F.struct("many", "root")).alias("top"))
     used = written(each.select("rep").distinct(), "near-meeting", folder)
     sketches = written(sketches.join(small(used), "rep", "left_semi").dropDuplicates(["rep"]), "near-sketches", folder)
-    few = each.join(small(sketches), "rep").join(small(written(top, "near-top", folder), 2_000_000), "h")
+    few = each.join(small(sketches), "rep").join(small(written(top, "near-top", folder)), "h")
     few = few.withColumn("small", F.col("root") != F.col("top")).drop("top")
     side = lambda df, x: df.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "root", "n", "pos", "small", "bits")))
     met = side(few.filter("small"), "a").join(side(few, "b").hint("merge"), "h").filter("root_a <> root_b AND (NOT small_b OR rep_a < rep_b)")
@@ -202,25 +223,26 @@ def copy_groups(docs: DataFrame, words: int = 5, radius: int = 5, text: str = "t
 
     Null or empty texts have an empty set and are copies of one another. A null doc_id takes part: a group without
     any id has none. Ids may be any long. Repeated rows get their row each; an empty table gives none; other columns are
-    ignored. radius, that of the fingerprints whose links are tried first, changes no result.
+    ignored. Texts are read from docs again where pairs need them, so docs should be a written table. radius, that of the fingerprints whose links are tried first, changes no result.
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "near")
     sets = written(shingle_sets(docs, words, text), "near-sets", folder)
-    nodes = sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.count("*").alias("rows"))
+    nodes = sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.min("tk").alias("tk"), F.count("*").alias("rows"))
     nodes, name = named(written(nodes, "near-nodes", folder))
-    # Of rows that share a set those with its least id bring its text and head, as good as one another.
+    # Of rows that share a set those with its least id bring its head, as good as one another.
     shared = nodes.filter("rows > 1").select(F.col("rep").alias("r"), F.col("least").alias("l"))
-    texts = sets.withColumn("rep", name).join(small(written(shared, "near-shared", folder)), F.col("rep") == F.col("r"), "left")
-    texts = texts.filter(F.col("r").isNull() | F.col("doc_id").eqNullSafe(F.col("l"))).select("rep", "n", "bits", "bands", "head", "t")
+    heads = sets.withColumn("rep", name).join(small(written(shared, "near-shared", folder)), F.col("rep") == F.col("r"), "left")
+    heads = heads.filter(F.col("r").isNull() | F.col("doc_id").eqNullSafe(F.col("l"))).select("rep", "n", "bits", "bands", "head")
+    verifier = Verifier(docs, text, nodes, words, folder)
 
     prints = written(nodes.groupBy("fp").agg(F.min("rep").alias("rep")), "near-prints", folder)
     same = nodes.join(prints.withColumnRenamed("rep", "b"), "fp").select(F.col("rep").alias("a"), "b")
-    first = verified(near_links(prints, radius=radius, folder=folder).unionByName(same), texts.select("rep", "t"), words, folder)
-    first = met_in_bands(texts.select("rep", "bands", "t"), first, words, folder)
+    first = verifier.links(near_links(prints, radius=radius, folder=folder).unionByName(same))
+    first = met_in_bands(heads, first, verifier, folder)
 
-    each = split_shingles(texts.select("rep", "n", F.posexplode("head").alias("pos", "h")), first, folder)
-    second = verified(met_in_heads(each, texts.select("rep", "bits"), folder), texts.select("rep", "t"), words, folder)
+    each = split_shingles(heads.select("rep", "n", F.posexplode("head").alias("pos", "h")), first, folder)
+    second = verifier.links(met_in_heads(each, heads.select("rep", "bits"), folder))
 
     groups = rooted(nodes, first.unionByName(second), "rep", folder).select("rep", "component_id")
     groups = written(groups, "near-named", folder)

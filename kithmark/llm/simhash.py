@@ -191,8 +191,7 @@ def near_links(nodes: DataFrame, leaf_size: int = LEAF, block: int = BLOCK, radi
     spark = nodes.sparkSession
     n = nodes.count()
     depth = max(0, min(int(np.ceil(np.log2(max(1, n / leaf_size)))), int(np.log2(SAMPLE)) - 4))
-    sample = [r.fp for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(SAMPLE, 64 << depth)).collect()]
-    sample = np.array(sample, np.int64).view(np.uint64)
+    sample = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(SAMPLE, 64 << depth)).toArrow()["fp"].to_numpy().view(np.uint64)
     trees = spark.sparkContext.broadcast([Tree(segment(sample, k), depth) for k in range(len(SEGMENTS))])
     reach = radius // len(SEGMENTS)
 
