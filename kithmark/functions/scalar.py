@@ -93,7 +93,7 @@ def one_digit(x: Column) -> Column:
 
 def scale_plan(width: Column, height: Column, scales: Column, most: int) -> Column:
     """Scales with none that takes the long side past `most`, in four digits, positive, each once, in order."""
-    cap = F.lit(float(most)) / F.greatest(width, height)
+    cap = F.try_divide(F.lit(float(most)), F.greatest(width, height))
     return F.array_distinct(F.filter(F.transform(scales, lambda s: units(F.least(s, cap), 4) / 10_000), lambda s: s > 0))
 
 

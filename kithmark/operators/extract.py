@@ -1,39 +1,15 @@
-"""Extraction with models plugged in: one pass over photos, errors as rows, and the advisory second pass.
-
-A model is a factory called once in each task; it maps a batch of photos (bytes or any columns) to detections. Real
-weights aren't part of this package, so the callables here are what a deployment, or a test, gives.
-"""
+"""What extraction passes report: their counts, why a photo was skipped, the advisory second pass, alignment, and stage times."""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FACE = "space string, photo_id long, n long, x double, y double, w double, h double, det_score double, vec array<double>, error string"
-
-
-def run_models(photos: DataFrame, factory: Callable[[], Callable[[pd.Series], list[dict]]], columns: list[str]) -> DataFrame:
-    """FACE rows of photos (space, id and `columns`): one for each detection; a photo that fails gives one row with its error."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detect = factory()
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                try:
-                    out += [(row.space, row.id, n, d["x"], d["y"], d["w"], d["h"], d["score"], d.get("vec"), None) for n, d in enumerate(detect(row))]
-                except Exception as e:  # noqa: BLE001  a bad photo is a row, not the end of the job
-                    out.append((row.space, row.id, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500]))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FACE.split(", ")])
-
-    return photos.select("space", "id", *columns).mapInPandas(run, FACE)
-
-
 def extract_stats(found: DataFrame) -> DataFrame:
     """photos, faces, skipped of a run."""
     return found.agg(F.count_distinct("space", "photo_id").alias("photos"), F.count("n").alias("faces"), F.count("error").alias("skipped"))

@@ -24,14 +24,19 @@ def fn_sha256(t: Tables) -> DataFrame:
     return t.photos.select("id", S.token_hash(F.col("filename")).alias("digest"), S.version_hash(F.col("filename"), F.col("cache_key")).alias("version"))
 
 
-def hashes(t: Tables) -> DataFrame:
-    """Hashes of gray pictures of 32 x 32, whose pixels are made from the vectors' values."""
+def gray_pictures(t: Tables) -> DataFrame:
+    """id, pixels: gray pictures of 32 x 32, whose pixels are made from the vectors' values."""
     value = lambda i: F.get("e", (i % 64).cast("int")) * 1_000_000.0 * (1 + F.floor(i / 64))
     pixels = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: (F.floor(F.abs(value(i))) % 256).cast("double"))
-    return t.embeddings.select(F.col("vec_id").alias("id"), S.doubles(F.col("embedding")).alias("e")).select("id", pictures.picture_hash(pixels).alias("hash"))
+    return t.embeddings.select(F.col("vec_id").alias("id"), S.doubles(F.col("embedding")).alias("e")).select("id", pixels.alias("pixels"))
+
+
+def hashes(t: Tables) -> DataFrame:
+    return gray_pictures(t).select("id", pictures.picture_hash(F.col("pixels")).alias("hash"))
 
 
-BITS = """x AS (SELECT vec_id AS id, unnest(range(0, 1024)) AS i, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), px AS (SELECT id, i // 32 AS row, i % 32 AS col, CAST(floor(abs(e[i % 64 + 1] * 1000000.0 * (1 + i // 64))) AS BIGINT) % 256 AS p FROM x),
+PIXELS = "x AS (SELECT vec_id AS id, unnest(range(0, 1024)) AS i, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), px AS (SELECT id, i // 32 AS row, i % 32 AS col, CAST(floor(abs(e[i % 64 + 1] * 1000000.0 * (1 + i // 64))) AS BIGINT) % 256 AS p FROM x)"
+BITS = f"""{PIXELS},
 d1 AS (SELECT id, u, col, sum(p * cos(pi() * u * (2 * row + 1) / 64)) AS s FROM px, range(0, 8) a(u) GROUP BY ALL), d2 AS (SELECT id, u, w, sum(s * cos(pi() * w * (2 * col + 1) / 64)) AS s FROM d1, range(0, 8) b(w) GROUP BY ALL),
 s AS (SELECT id, list(s ORDER BY u, w) AS e, list(s ORDER BY s) AS o FROM d2 GROUP BY id), b AS (SELECT id, list_transform(e, lambda x: CASE WHEN x > (o[32] + o[33]) / 2 THEN 1 ELSE 0 END) AS v FROM s)"""
 HEX = "h AS (SELECT id, array_to_string(list_transform(range(0, 16), lambda i: substr('0123456789abcdef', v[i * 4 + 1] * 8 + v[i * 4 + 2] * 4 + v[i * 4 + 3] * 2 + v[i * 4 + 4] + 1, 1)), '') AS hash, array_to_string(v, '') AS bits FROM b)"
