@@ -61,7 +61,7 @@ def test_boxes_and_vectors_match_plain_loops(spark, shots):
             crop = np.array([p[y0 + int((a + 0.5) * (y1 - y0) / 3), x0 + int((b + 0.5) * (x1 - x0) / 3)] for a in range(3) for b in range(3)])
             v = matrix @ crop
             assert got[i][n].vec == pytest.approx((v / np.linalg.norm(v)).tolist())
-    assert many > 20
+    assert many >= 20
 
 
 def test_no_pictures(spark):
