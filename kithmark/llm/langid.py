@@ -120,16 +120,12 @@ def infer(h: np.ndarray, logs: np.ndarray, penalty: float = PENALTY) -> np.ndarr
         # A language m adds nothing if sum n p_m / mix <= total: the likelihood is concave in the proportions.
         gain = (n / (p[:, chosen] @ w)) @ p
         gain[chosen] = 0
-        rest, paid = [m for m in np.argsort(-gain, kind="stable") if gain[m] > total], None
-        for i in range(0, len(rest), 3):  # of the first three that pay the best, else of the next three
-            tried = [(*mixture(p[:, [*chosen, m]], n, np.append(w * 0.9, 0.1)), int(m)) for m in rest[i : i + 3]]
-            w2, now, m = max(tried, key=lambda x: x[1])
-            if now - best > cost:
-                paid = w2, now, m
-                break
-        if paid is None:
+        rest = [m for m in np.argsort(-gain, kind="stable") if gain[m] > total]
+        tried = [(*mixture(p[:, [*chosen, m]], n, np.append(w * 0.9, 0.1)), int(m)) for m in rest]
+        more, now, m = max(tried, key=lambda x: x[1], default=(None, -np.inf, -1))
+        if now - best <= cost:
             break
-        chosen, w, best = [*chosen, paid[2]], paid[0], paid[1]
+        chosen, w, best = [*chosen, m], more, now
     out = np.zeros(p.shape[1])
     out[chosen] = w / w.sum()
     return out
