@@ -79,7 +79,7 @@ SHARED = 2_000_000
 class Ledger:
     """The ledger's tables below a folder: `scanned` (FINDINGS) and `history` (HISTORY), to which each scan appends.
 
-    A folder that has none yet starts an empty ledger; without a path it is a new folder. One scan at a time may write.
+    A folder that has none yet starts an empty ledger; without a path it is a new folder. Scans that overlap may each append what both found; readers take it once.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
@@ -97,7 +97,7 @@ class Ledger:
 
     def findings(self, rules: Rules) -> DataFrame:
         """path, scan, blob, spans: every version that any path ever had and that holds a finding under these rules."""
-        found = self.rows().filter((F.col("rule_version") == rules.version) & (F.col("n_found") > 0)).select("blob", "spans")
+        found = self.rows().filter((F.col("rule_version") == rules.version) & (F.col("n_found") > 0)).select("blob", "spans").distinct()
         return self.history().join(found, "blob").select("path", "scan", "blob", "spans")
 
     def scan(self, docs: DataFrame, rules: Rules, keep_history: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -137,7 +137,7 @@ def scan_secrets(docs: DataFrame, rules: Rules | None = None, ledger: Ledger | N
     """
     rules = rules or Rules()
     paths, findings = (ledger or Ledger(docs.sparkSession)).scan(docs, rules, keep_history=ledger is not None)
-    hits = findings.filter("n_found > 0").select("blob", "spans")
+    hits = findings.filter("n_found > 0").select("blob", "spans").distinct()
     return paths.join(hits, "blob", "left").select("doc_id", "blob", F.lit(rules.version).alias("rule_version"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 

@@ -308,6 +308,17 @@ def test_ledger_scans_only_unseen_blobs_and_versions(spark, odd, none):
     assert secret_ledger.scan_secrets(none).count() == 0
 
 
+def test_overlapping_scans_count_once(spark, tmp_path):
+    path, rules = f"file://{tmp_path}/ledger", secret_ledger.Rules()
+    docs = spark.createDataFrame([(1, "password=aaaaaaaaaa"), (2, "clean")], "doc_id long, text string")
+    secret_ledger.scan_secrets(docs, rules, secret_ledger.Ledger(spark, path)).count()
+    twice = spark.read.parquet(f"{path}/scanned").collect()
+    spark.createDataFrame(twice, secret_ledger.FINDINGS).write.mode("append").parquet(f"{path}/scanned")  # as a scan that ran beside would
+    found = secret_ledger.scan_secrets(docs, rules, secret_ledger.Ledger(spark, path))
+    assert rows(found, "doc_id", "spans") == [(1, "assign:0:19"), (2, "")]
+    assert secret_ledger.Ledger(spark, path).findings(rules).count() == 1
+
+
 def test_a_named_ledger_starts_new_and_keeps_history(spark, sf, tmp_path):
     path, rules = f"file://{tmp_path}/new/ledger", secret_ledger.Rules()
     first = spark.createDataFrame([(1, "password=aaaaaaaaaa"), (2, "clean"), (3, None)], "doc_id long, text string")
