@@ -70,6 +70,34 @@ def fn_graph_sig(t):
     return t.spark.createDataFrame(list(found.items()), "part string, signature string")
 
 
+@query("SELECT c_custkey AS id, c_name AS name FROM customer")
+def src_paginate(t):
+    """Customers by pages of 100 until one is short; ranges of pages are read side by side."""
+    t.spark.dataSource.register(readers.PagedSource)
+    options = {"fetch": "kithmark.sources.readers:table_page", "table": f"{t.sf_dir}/customer.parquet", "columns": "c_custkey,c_name", "total": 120, "page_size": 100, "pages": 1}
+    x = F.from_json("value", "c_custkey bigint, c_name string")
+    return t.spark.read.format("paged").options(**options).load().select(x.alias("x")).select(F.col("x.c_custkey").alias("id"), F.col("x.c_name").alias("name"))
+
+
+@query("SELECT id, CASE WHEN params_json = 'broken' THEN CAST(id % 9 AS VARCHAR) ELSE CAST(json_extract_string(params_json, '$.a') AS VARCHAR) END AS a, 'x' || (id % 4) AS b, 'd' AS c FROM schedules")
+def src_config_layers(t):
+    """A schedule's own parameters before its environment's before the defaults; what isn't JSON has none."""
+    text = "map<string,string>"
+    own = F.from_json("params_json", text)
+    env = F.create_map(F.lit("a"), (F.col("id") % 9).cast("string"), F.lit("b"), F.concat(F.lit("x"), (F.col("id") % 4).cast("string")))
+    every = files.layered_maps(own, env, F.create_map(F.lit("b"), F.lit("d"), F.lit("c"), F.lit("d")))
+    return t.schedules.select("id", *(F.try_element_at(every, F.lit(k)).alias(k) for k in "abc"))
+
+
+OVERRIDE = "concat('s', CAST(doc_id % 3 AS STRING), '.k.', source, '=', CASE doc_id % 5 WHEN 0 THEN '5' WHEN 1 THEN 'true' WHEN 2 THEN 'two = \"words\"' WHEN 3 THEN '{\"x\":[1,2]}' ELSE '' END)"
+
+
+@query(f"""SELECT doc_id AS id, split_part(split_part(t, '=', 1), '.', 1) AS section, split_part(split_part(t, '=', 1), '.', 3) AS key, CASE doc_id % 5 WHEN 0 THEN '5' WHEN 1 THEN 'true' WHEN 2 THEN '"two = \\"words\\""' WHEN 3 THEN '{{"x":[1,2]}}' ELSE '""' END AS value FROM (SELECT doc_id, {OVERRIDE.replace("AS STRING", "AS VARCHAR")} AS t FROM documents)""")
+def prj_params_override(t):
+    path, value = files.override(F.expr(OVERRIDE))
+    return t.documents.select(F.col("doc_id").alias("id"), F.get(path, F.lit(0)).alias("section"), F.get(path, F.lit(2)).alias("key"), value.alias("value"))
+
+
 @query("SELECT c_custkey AS id, c_name AS name, c_custkey % 3 = 0 AS hidden FROM customer")
 def src_persons(t):
     lines = t.customer.select(F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.struct((F.col("c_custkey") % 3 != 0).alias("show")).alias("additional"))).alias("value"))

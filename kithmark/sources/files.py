@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .readers import graph_signature
@@ -60,6 +60,24 @@ def layered(*layers: dict[str, Any]) -> dict[str, Any]:
     return out
 
 
+def layered_maps(*layers: Column) -> Column:
+    """Settings as maps of text, one row's layers each: the first layer that has a key decides. Null layers have no keys."""
+    out = None
+    for layer in layers:
+        layer = F.coalesce(layer, F.create_map().cast("map<string,string>"))
+        out = layer if out is None else F.map_zip_with(out, layer, lambda k, a, b: F.coalesce(a, b))
+    return out
+
+
+def override(text: Column) -> tuple[Column, Column]:
+    """(path of keys, value as JSON) of section.key=value: the value is JSON if it is, else a string; null for both without a =."""
+    value = F.regexp_extract(text, r"(?s)^[^=]*=(.*)$", 1)
+    as_json = F.when(F.try_parse_json(value).isNotNull(), value).otherwise(F.to_json(F.struct(value.alias("v"))))
+    as_json = F.when(F.try_parse_json(value).isNull(), F.regexp_replace(as_json, r'(?s)^\{"v":(.*)\}$', "$1")).otherwise(as_json)
+    has = text.contains("=")
+    return F.when(has, F.split(F.substring_index(text, "=", 1), r"\.")), F.when(has, as_json)
+
+
 def from_env(env: dict[str, str], prefix: str) -> dict[str, Any]:
     """PREFIX_SECTION__KEY=value as nested settings."""
     out: dict[str, Any] = {}

@@ -55,6 +55,15 @@ class PagedReader(DataSourceReader):
                 return
 
 
+def table_page(offset: int, limit: int, options: dict) -> list[dict]:
+    """Rows `offset` to `offset + limit` of a Parquet table (option `table`, columns in `columns`), as a service over it would answer."""
+    from pyarrow import dataset
+
+    rows = dataset.dataset(options["table"], format="parquet")
+    n = rows.count_rows()
+    return rows.take(list(range(min(offset, n), min(offset + limit, n))), columns=options["columns"].split(",")).to_pylist()
+
+
 def items(lines: DataFrame, space: str) -> DataFrame:
     """Item documents (value: JSON) as flat rows of photos."""
     x = F.from_json("value", ITEM)
