@@ -172,17 +172,20 @@ class Verifier:
 
 
 def met_in_bands(nodes: DataFrame, links: DataFrame, verifier: Verifier, folder: str) -> DataFrame:
-    """links and what rounds over the bands add to them. nodes: rep, bands.
+    """links and what rounds over the bands add to them. nodes: rep, n, bits, bands.
 
-    In each round a node meets those of each of its bands that hashes of the round put first, if links don't join them yet.
+    In each round a node meets those of each of its bands that hashes of the round put first, if links don't join them yet
+    and sizes and sketches don't rule them out.
     """
-    each = written(nodes.select("rep", F.explode("bands").alias("band")).distinct(), "near-bands", folder)
+    each = written(nodes.dropDuplicates(["rep"]).select("rep", "n", "bits", F.explode("bands").alias("band")), "near-bands", folder)
     for many in MET:
-        now = each.join(small(linked_roots(links, folder)), F.col("rep") == F.col("linked"), "left").select("rep", "band", F.coalesce("root", "rep").alias("root"))
-        met = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array(*(F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(many + k))) for k in range(many))).alias("tops"))
+        now = each.join(small(linked_roots(links, folder)), F.col("rep") == F.col("linked"), "left").select("rep", "n", "bits", "band", F.coalesce("root", "rep").alias("root"))
+        met = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array(*(F.min_by(F.struct("rep", "root", "n", "bits"), F.xxhash64("rep", F.lit(many + k))) for k in range(many))).alias("tops"))
         met = met.filter("low <> high").select("band", F.explode(F.array_distinct("tops")).alias("top"))
-        met = written(met.select("band", F.col("top.rep").alias("b"), F.col("top.root").alias("b_root")), "near-tops", folder)
-        found = verifier.links(now.join(small(met), "band").filter("root <> b_root").select(F.col("rep").alias("a"), "b"))
+        met = written(met.select("band", F.col("top.rep").alias("b"), F.col("top.root").alias("b_root"), F.col("top.n").alias("m"), F.col("top.bits").alias("b_bits")), "near-tops", folder)
+        n, m = F.col("n"), F.col("m")
+        pairs = now.join(small(met), "band").filter("root <> b_root").filter(alike(F.least(n, m), n, m) & may_be_alike(F.col("bits"), F.col("b_bits"), n, m))
+        found = verifier.links(pairs.select(F.col("rep").alias("a"), "b"))
         if found.isEmpty():
             break
         links = links.unionByName(found)
