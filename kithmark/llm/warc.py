@@ -125,6 +125,9 @@ def tag_end(page: str, at: int, closes: dict[str, int]) -> int:
 
     A quote that isn't closed is none. `closes` holds from where on a quote is known to be missing, so no stretch is searched twice for it.
     """
+    end = page.find(">", at)
+    if end < 0 or (page.find('"', at, end) < 0 and page.find("'", at, end) < 0):  # most tags have no quotes
+        return end
     while True:
         m = ENDS.search(page, at)
         if not m:
