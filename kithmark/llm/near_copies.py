@@ -4,11 +4,13 @@ Fingerprints alone can't say: sets of similarity 0.8 lie about 9 bits apart, som
 trees only propose links, which join most large groups of copies cheaply; every link is verified on the sets. What the trees leave
 apart is tried in rounds by min-hash bands: nodes of one band meet one of them, and those that this leaves apart a few others in the next rounds, so
 pairs grow with the nodes, however large a family of near copies is. Then an exact prefix join completes the links: with the shingles of all documents in one order, two sets of n and m that are
-similar enough share one of the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1. Only shingles there that documents
-of different groups have are looked at, of a shingle's documents those of its most frequent group only meet the others, and
-pairs that share too few shingles of their heads are left out. So are pairs whose parity sketches differ too much, where they
-would meet: a sketch has a bit for each of 256 classes of shingles, set if an odd number of the set's are in the class. Where a shared shingle stands in the two heads bounds what the sets can share as well. Each shingle
-that only one of two sets has flips one bit, so sketches of copies differ in no more bits than (n + m) / 9, which is all that copies may differ by. Shingles that a bounded sample shows to be
+similar enough share one of the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1, these heads. Only shingles there that documents
+of different groups have are looked at, and of those that the very same documents have, as of a passage, one. Of a shingle's documents those of its most frequent group only meet the others.
+The first shingle that copies share has all others that they share behind it in both sets, which bounds how late it may come.
+Where two documents meet they are listed only if their parity sketches may be those of copies. A sketch has a bit for each class of shingles,
+set if an odd number of the set's are in the class. Each shingle that only one of two sets has flips one bit, so sketches of copies differ in no more bits than
+(n + m) / 9, which is all that copies may differ by. Sketches have 256 classes where many rows carry them, and four classes a shingle or more
+in the prefix join: few pairs pass that are not copies or nearly so. Shingles that a bounded sample shows to be
 common come last in the order, which saves work and changes no result.
 
 A set is that of its shingles' XXH64. Documents with the same set are one node. Intermediate tables are deleted when
@@ -48,12 +50,17 @@ def alike(shared, n, m):
     return shared * (NUM + DEN) >= (n + m) * NUM
 
 
-def parity(h: np.ndarray) -> np.ndarray:
-    """The parity sketch of distinct hashes: SKETCH longs."""
-    odd = np.bincount((h >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+def parity(h: np.ndarray, longs: int = SKETCH) -> np.ndarray:
+    """The parity sketch of distinct hashes, of so many longs (a power of two)."""
+    odd = np.bincount((h >> np.uint64(40)).astype(np.int64) % (64 * longs), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_parity(h: np.ndarray) -> np.ndarray:
+    """A parity sketch of at least four bits a hash: sets that are not copies seldom pass for some."""
+    return parity(h, max(SKETCH, 1 << (max(1, len(h)) * 4 // 64).bit_length()))
+
+
 def bands(h: np.ndarray) -> list[int]:
     """Hashes of the min-hash bands of distinct hashes; none of an empty set."""
     if not len(h):
@@ -69,6 +76,17 @@ def may_be_alike(x: Column, y: Column, n: Column, m: Column) -> Column:
     return differ * (NUM + DEN) <= (n + m) * (DEN - NUM)
 
 
+def wide_may_be_alike(x: Column, y: Column, n: Column, m: Column) -> Column:
+    """may_be_alike() by sketches of wide_parity(); those of sets of such sizes are as long or one twice as long: then its halves are laid over one another."""
+
+    def folded(w: Column, other: Column) -> Column:
+        half = F.size(other)
+        return F.when(F.size(w) <= half, w).otherwise(F.zip_with(F.slice(w, F.lit(1), half), F.slice(w, half + 1, half), lambda a, b: a.bitwiseXOR(b)))
+
+    differ = F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    return alike(F.least(n, m), n, m) & (differ * (NUM + DEN) <= (n + m) * (DEN - NUM))
+
+
 def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
     """Hashes of shingles in three or more of about SAMPLE texts, from rare to common."""
     share = min(1.0, SAMPLE / max(1, texts.count()))
@@ -89,7 +107,7 @@ def text_key(t: str) -> Column:
 
 
 def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """doc_id, key (128 bits of the set), fp, n, bits (its parity sketch), bands, head (the set's first shingles), tk (128 bits of the text) for each row."""
+    """doc_id, key (128 bits of the set), fp, n, bits (its parity sketch), wide (a longer one), bands, head (the set's first shingles), tk (128 bits of the text) for each row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     late = common_shingles(texts, words)
     texts = texts.withColumn("tk", text_key("t"))
@@ -98,7 +116,7 @@ def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = held.value
         for batch in batches:
-            keys, fps, sizes, sketches, banded, heads = [], [], [], [], [], []
+            keys, fps, sizes, sketches, wides, banded, heads = [], [], [], [], [], [], []
             for t in batch.column("t").to_pylist():
                 h = shingle_hashes(t, words)
                 fps.append(majority(h))
@@ -110,13 +128,14 @@ def shingle_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
                 keys.append(xxhash.xxh3_128_hexdigest(h.tobytes()))
                 sizes.append(len(h))
                 sketches.append(parity(h))
+                wides.append(wide_parity(h))
                 banded.append(bands(h))
                 heads.append(h[np.argsort(rank, kind="stable")[: head_size(len(h))]].view(np.int64) if len(h) else h.view(np.int64))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(banded, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())), batch.column("tk"),
-            ], names=["doc_id", "key", "fp", "n", "bits", "bands", "head", "tk"])
+                batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(wides, pa.list_(pa.int64())), pa.array(banded, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())), batch.column("tk"),
+            ], names=["doc_id", "key", "fp", "n", "bits", "wide", "bands", "head", "tk"])
 
-    return texts.mapInArrow(run, "doc_id long, key string, fp long, n long, bits array<long>, bands array<long>, head array<long>, tk binary")
+    return texts.mapInArrow(run, "doc_id long, key string, fp long, n long, bits array<long>, wide array<long>, bands array<long>, head array<long>, tk binary")
 
 
 def named(nodes: DataFrame) -> tuple[DataFrame, Column]:
@@ -143,6 +162,8 @@ class Verifier:
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes whose shingle sets are copies, written. The texts of nodes in pairs move, no others."""
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "near-pairs", self.folder)
+        if pairs.isEmpty():
+            return pairs
         used = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         if self.held is not None:
             used = used.join(self.held.select("rep"), "rep", "left_anti")
@@ -193,32 +214,34 @@ def met_in_bands(nodes: DataFrame, links: DataFrame, verifier: Verifier, folder:
 
 
 def split_shingles(each: DataFrame, links: DataFrame, folder: str) -> DataFrame:
-    """rep, n, pos, h, root: the rows of `each` (rep, n, pos, h) whose shingle nodes of different groups have, groups being what links join; written."""
+    """rep, n, pos, h, root: the rows of `each` (rep, n, pos, h) whose shingle nodes of different groups have, groups being what links join; written.
+
+    Of shingles that the very same nodes have, as those of a passage, a node's first stands for all: one row.
+    """
     each = each.select("rep", "n", "pos", "h").join(small(linked_roots(links, folder)), F.col("rep") == F.col("linked"), "left").select("rep", "n", "pos", "h", F.coalesce("root", "rep").alias("root"))
-    split = each.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
-    return written(each.join(small(written(split, "near-split", folder), 2_000_000), "h", "left_semi"), "near-met", folder)
+    # 128 bits name a shingle's nodes: sums of halves of two hashes. A repeated node is in them as often for all of its shingles.
+    halves = [part for k in (1, 2) for x in [F.xxhash64(F.lit(k), "rep")] for part in (F.shiftright(x, 32), x.bitwiseAND(F.lit((1 << 32) - 1)))]
+    names = [f"s{i}" for i in range(len(halves))]
+    split = each.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), *(F.sum(x).alias(s) for s, x in zip(names, halves, strict=True))).filter("low <> high").select("h", *names)
+    met = each.join(small(written(split, "near-split", folder)), "h")
+    met = met.groupBy("rep", *names).agg(F.min("pos").alias("pos"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("root").alias("root"))
+    return written(met.select("rep", "n", "pos", "h", "root"), "near-met", folder)
 
 
 def met_in_heads(each: DataFrame, sketches: DataFrame, folder: str) -> DataFrame:
-    """a, b: all nodes of different groups that share enough shingles of their heads to be copies. each: rep, n, pos, h, root; sketches: rep, bits."""
+    """a, b: all nodes of different groups that share a shingle of their heads and may be copies. each: rep, n, pos, h, root; sketches: rep, bits, wide."""
     # A shingle's most frequent group doesn't meet itself, so the work grows with the others' nodes times all.
     sizes = each.groupBy("h", "root").agg(F.count("*").alias("many"))
     top = sizes.groupBy("h").agg(F.max_by("root", F.struct("many", "root")).alias("top"))
-    used = written(each.select("rep").distinct(), "near-meeting", folder)
-    sketches = written(sketches.join(small(used), "rep", "left_semi").dropDuplicates(["rep"]), "near-sketches", folder)
-    few = each.join(small(sketches), "rep").join(small(written(top, "near-top", folder)), "h")
+    few = each.join(sketches.dropDuplicates(["rep"]), "rep").join(small(written(top, "near-top", folder)), "h")
     few = few.withColumn("small", F.col("root") != F.col("top")).drop("top")
-    side = lambda df, x: df.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "root", "n", "pos", "small", "bits")))
+    side = lambda df, x: df.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "root", "n", "pos", "small", "bits", "wide")))
     met = side(few.filter("small"), "a").join(side(few, "b").hint("merge"), "h").filter("root_a <> root_b AND (NOT small_b OR rep_a < rep_b)")
-    met = met.filter(alike(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b")))
-    # What comes before the shingle in a head is shared by as many at most, what follows by the shorter rest.
-    upto = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    met = met.filter(alike(upto, F.col("n_a"), F.col("n_b")))
-    met = met.filter(may_be_alike(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b")))
-    met = met.groupBy(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).agg(F.count("*").alias("shared"), F.first("n_a").alias("n"), F.first("n_b").alias("m"))
-    # The head that ends first in the order shares no more than these, so only what follows a head can add to them.
-    tail = lambda n: F.ceil(n * NUM / DEN) - 1
-    return met.filter(alike(F.col("shared") + F.greatest(tail(F.col("n")), tail(F.col("m"))), F.col("n"), F.col("m"))).select("a", "b")
+    n, m = F.col("n_a"), F.col("n_b")
+    # The first shingle that two sets share has all others that they share behind it in both.
+    met = met.filter(alike(F.least(n - F.col("pos_a"), m - F.col("pos_b")), n, m))
+    met = met.filter(may_be_alike(F.col("bits_a"), F.col("bits_b"), n, m) & wide_may_be_alike(F.col("wide_a"), F.col("wide_b"), n, m))
+    return met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
 def copy_groups(docs: DataFrame, words: int = 5, radius: int = 5, text: str = "text") -> DataFrame:
@@ -236,7 +259,7 @@ def copy_groups(docs: DataFrame, words: int = 5, radius: int = 5, text: str = "t
     # Of rows that share a set those with its least id bring its head, as good as one another.
     shared = nodes.filter("rows > 1").select(F.col("rep").alias("r"), F.col("least").alias("l"))
     heads = sets.withColumn("rep", name).join(small(written(shared, "near-shared", folder)), F.col("rep") == F.col("r"), "left")
-    heads = heads.filter(F.col("r").isNull() | F.col("doc_id").eqNullSafe(F.col("l"))).select("rep", "n", "bits", "bands", "head")
+    heads = heads.filter(F.col("r").isNull() | F.col("doc_id").eqNullSafe(F.col("l"))).select("rep", "n", "bits", "wide", "bands", "head")
     verifier = Verifier(docs, text, nodes, words, folder)
 
     prints = written(nodes.groupBy("fp").agg(F.min("rep").alias("rep")), "near-prints", folder)
@@ -245,7 +268,7 @@ def copy_groups(docs: DataFrame, words: int = 5, radius: int = 5, text: str = "t
     first = met_in_bands(heads, first, verifier, folder)
 
     each = split_shingles(heads.select("rep", "n", F.posexplode("head").alias("pos", "h")), first, folder)
-    second = verifier.links(met_in_heads(each, heads.select("rep", "bits"), folder))
+    second = verifier.links(met_in_heads(each, heads.select("rep", "bits", "wide"), folder))
 
     groups = rooted(nodes, first.unionByName(second), "rep", folder).select("rep", "component_id")
     groups = written(groups, "near-named", folder)

@@ -33,6 +33,8 @@ SEGMENTS = ((43, 21), (22, 21), (0, 22))
 SAMPLE = 1 << 20
 #: Fingerprints a leaf should own, and most that one comparing task owns of a leaf.
 LEAF, BLOCK = 1024, 4096
+#: Links that a task joins up at once.
+GATHERED = 1 << 20
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -221,27 +223,48 @@ def near_links(nodes: DataFrame, leaf_size: int = LEAF, block: int = BLOCK, radi
     return dealt.select("shard", "block", "fp", "rep", "own").groupBy("shard", "block").applyInPandas(shard_linker(radius), "a long, b long")
 
 
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """u, v: for the links (u, v) of each GATHERED or so, each node but the least of its component with that least node."""
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("u", "v"))
+        nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+        label = components_of(len(nodes), at[: len(u)], at[len(u) :])
+        moved = np.flatnonzero(label < np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["u", "v"])
+
+    held, many = [], 0
+    for batch in batches:
+        held.append(batch)
+        many += batch.num_rows
+        if many >= GATHERED:
+            yield out(held)
+            held, many = [], 0
+    if many:
+        yield out(held)
+
+
 def connected(links: DataFrame, folder: str | None = None) -> DataFrame:
     """node, root: the smallest node of each linked node's component. links: a, b (longs).
 
-    Large-star and small-star rounds, each written to the shared folder, until a round changes nothing. While links are
-    few the least neighbours are broadcast, so a hub's links stay in their tasks.
+    Tasks first join up what their own links connect. Large-star and small-star rounds, each written to the shared folder, follow until all
+    links lead to roots. While links are few the least neighbours are broadcast, so a hub's links stay in their tasks.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links", folder)
-    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    now, before = state(edges), None
+    pairs = lambda df: written(df.filter("u <> v").distinct().mapInArrow(stars, "u long, v long"), "links", folder)
+    edges = pairs(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while True:
-        few = F.broadcast if now[0] * 2 <= BROADCAST_ROWS else lambda df: df
+        both = edges.select(F.col("u").alias("node"), F.lit(1).alias("low")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("low")))
+        # A node with two links to lesser ones, or with one and links from greater ones.
+        left = both.groupBy("node").agg(F.sum("low").alias("n"), F.min("low").alias("least")).agg(F.sum("n").alias("links"), F.bool_or((F.col("n") > 1) | ((F.col("n") == 1) & (F.col("least") == 0))).alias("open")).first()
+        if not left["open"]:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        few = F.broadcast if left["links"] * 2 <= BROADCAST_ROWS else lambda df: df
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(few(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(few(least), "u")
-        small_star = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = written(small_star.filter("u <> v").distinct(), "links", folder)
-        now, before = state(edges), now
-        if now == before:
-            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+        edges = pairs(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
 
 
 def linked_roots(links: DataFrame, folder: str | None = None) -> DataFrame:
