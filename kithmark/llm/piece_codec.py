@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words whose ids a worker keeps at most in each of two generations, and half as many parts of words.
+#: Words whose ids a worker keeps at most in each of two generations, and as many parts of words.
 KEPT = 160_000
 
 
@@ -107,11 +108,14 @@ class Codec:
         longest = sorted(self.map, key=len, reverse=True)
         self.known = re.compile("|".join(map(re.escape, longest))) if longest else None
         self.unit = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.side_by_side = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        #: Ranks of characters that some piece has side by side; infinite where the two are no piece.
+        self.beside = {p[i : i + 2]: self.rank.get(p[i : i + 2], self.none) for p in self.ids for i in range(len(p) - 1)}
         self.decimal = [str(i) for i in range(len(self.pieces))]
-        #: What an id decodes to by itself; None for a byte.
-        self.texts = [None if k == BYTE else " ⁇ " if k == UNKNOWN else "" if k == CONTROL else p.replace(MARK, " ") for p, _, k in self.pieces]
+        #: What an id decodes to, in UTF-8. Other pieces begin and end with whole characters, so a run of bytes decodes the same among them.
+        self.raws = [bytes([int(p[1:-1], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, _, k in self.pieces]
         self.plain = self.dummy and self.escape and not self.squeeze and not self.map and len(self.bytes) == 256
+        #: A piece's id and the bytes it stands for where a mark stands for one space, as 32-bit numbers.
+        self.rows = {p: array("i", [i, len(p.replace(MARK, " ").encode("utf-8", "surrogateescape"))]).tobytes() for p, i in self.ids.items()}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -152,27 +156,35 @@ class Codec:
 
     def merge(self, unit: str) -> list[str]:
         """The unit's symbols after merging the best-scored neighbours, leftmost first, until no pair is a piece."""
-        return [s for part in self.cut(unit) for s in self._merge(part)]
+        return [s for part, ranks in self._cut(unit) for s in self._merge(part, ranks)]
 
     def cut(self, unit: str) -> list[str]:
         """The unit cut between characters that no piece has side by side."""
-        beside = self.side_by_side
-        at = [i + 1 for i, (a, b) in enumerate(zip(unit, unit[1:], strict=False)) if a + b not in beside]
-        return [unit[a:b] for a, b in zip([0, *at], [*at, len(unit)], strict=True)] if at else [unit]
-
-    def _merge(self, unit: str) -> list[str]:
+        return [part for part, _ in self._cut(unit)]
+
+    def _cut(self, unit: str) -> list[tuple[str, list[float]]]:
+        """cut(), each part with the ranks of its neighbouring characters."""
+        ranks = list(map(self.beside.get, map(add, unit, unit[1:])))
+        if None not in ranks:
+            return [(unit, ranks)]
+        at = [0, *(k for k, r in enumerate(ranks, 1) if r is None), len(unit)]
+        return [(unit[a:b], ranks[a : b - 1]) for a, b in zip(at, at[1:], strict=False)]
+
+    def _merge(self, unit: str, pairs: list[float] | None = None) -> list[str]:
+        """Symbols of a part. pairs, which it uses up: the ranks of its neighbouring characters, if known."""
         if len(unit) > 256:
             return self._merge_long(unit)
         symbols, rank, none = list(unit), self.rank.get, self.none
-        pairs = [rank(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        if pairs is None:
+            pairs = [rank(a + b, none) for a, b in zip(unit, unit[1:], strict=False)]
         while pairs and (best := min(pairs)) < none:
             at = pairs.index(best)
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            both = symbols[at] = symbols[at] + symbols.pop(at + 1)
             del pairs[at]
             if at < len(pairs):
-                pairs[at] = rank(symbols[at] + symbols[at + 1], none)
+                pairs[at] = rank(both + symbols[at + 1], none)
             if at:
-                pairs[at - 1] = rank(symbols[at - 1] + symbols[at], none)
+                pairs[at - 1] = rank(symbols[at - 1] + both, none)
         return symbols
 
     def _merge_long(self, unit: str) -> list[str]:
@@ -233,19 +245,7 @@ class Codec:
 
     def _decode(self, ids: list[int]) -> str:
         """Text of ids, space marks as spaces; runs of byte pieces as UTF-8."""
-        got = list(map(self.texts.__getitem__, ids))
-        if None not in got:
-            return "".join(got)
-        out, raw = [], bytearray()
-        for i, text in zip([*ids, None], [*got, ""], strict=True):
-            if text is None:
-                raw.append(int(self.pieces[i][0][1:-1], 16))
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(text)
-        return "".join(out)
+        return b"".join(map(self.raws.__getitem__, ids)).decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
         text = self._decode(ids)
@@ -280,8 +280,11 @@ class Codec:
         """What _part() gives of a word's parts. Kept by generation: when the newer one is full it becomes the older."""
         got = self.older.get(word)
         if got is None:
-            kept = self.parts
-            got = b"".join([kept.get(part) or self._part(part) for part in self.cut(MARK + word)])
+            kept, parts = self.parts, self._cut(MARK + word)
+            if len(parts) == 1:  # kept as a word
+                got = self._part(*parts[0])
+            else:
+                got = b"".join([kept.get(part) or self._kept_part(part, ranks) for part, ranks in parts])
         if len(word) <= 64:
             if len(self.words) >= KEPT:
                 self.older = dict(self.words)
@@ -289,22 +292,20 @@ class Codec:
             self.words[word] = got
         return got
 
-    def _part(self, part: str) -> bytes:
+    def _part(self, part: str, ranks: list[float]) -> bytes:
         """A part's ids, each with the number of original bytes that it ends (0 for all but a character's last byte), as 32-bit numbers."""
-        form, spans = self.normalize(part.replace(MARK, " "))
-        if form[1:] != part:  # after the dummy
-            raise AssertionError(f"{part!r} has another normal form")
-        rows, at = [], 1
-        for s in self._merge(part):
-            n, at = spans[at + len(s) - 1][1] - spans[at][0], at + len(s)
-            if (i := self.ids.get(s)) is not None:
-                rows += i, n
-            else:  # a character that is no piece: its bytes
+        rows, row = [], self.rows.get
+        for s in self._merge(part, ranks):
+            if (got := row(s)) is None:  # a character that is no piece: its bytes
                 raw = s.encode("utf-8", "surrogateescape")
-                rows += [x for b in raw[:-1] for x in (self.bytes[b], 0)] + [self.bytes[raw[-1]], n]
-        got = array("i", rows).tobytes()
+                got = array("i", [x for b in raw[:-1] for x in (self.bytes[b], 0)] + [self.bytes[raw[-1]], 1 if s == MARK else len(raw)]).tobytes()
+            rows.append(got)
+        return b"".join(rows)
+
+    def _kept_part(self, part: str, ranks: list[float]) -> bytes:
+        got = self._part(part, ranks)
         if len(part) <= 64:
-            if len(self.parts) >= KEPT // 2:
+            if len(self.parts) >= KEPT:
                 self.parts.clear()
             self.parts[part] = got
         return got
