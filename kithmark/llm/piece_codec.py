@@ -4,7 +4,8 @@ Normalisation walks the text by the longest prefix that the model's compiled cha
 and notes for each character of the normal form which original bytes it came from. The normal form is cut
 before each run of space marks that follows another character; where no piece of the vocabulary has
 such a mark inside (checked), no merge can cross a cut. Nor can one between two characters that no piece has
-side by side. So the merges of what lies between cuts are found once and kept.
+side by side. So the merges of what lies between cuts are found once and kept; of many texts at once the
+different words are found first and all their merges made together, one of each part at a time.
 Each piece is then projected through the alignment onto a span of original bytes.
 """
 
@@ -16,12 +17,14 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import accumulate
 from operator import add
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,12 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words whose ids a worker keeps at most in each of two generations, and as many parts of words.
 KEPT = 160_000
+#: Bytes of text whose words meet at once, one text at least.
+TOGETHER = 4 << 20
+#: Words whose ids are laid out as texts at once, one text at least.
+WORDS = 1 << 16
+#: Characters of a part from which its merges are made by a heap.
+LONG = 256
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -172,7 +181,7 @@ class Codec:
 
     def _merge(self, unit: str, pairs: list[float] | None = None) -> list[str]:
         """Symbols of a part. pairs, which it uses up: the ranks of its neighbouring characters, if known."""
-        if len(unit) > 256:
+        if len(unit) > LONG:
             return self._merge_long(unit)
         symbols, rank, none = list(unit), self.rank.get, self.none
         if pairs is None:
@@ -276,6 +285,34 @@ class Codec:
         ids, spans = self.aligned(text)
         return len(ids), ",".join(map(self.decimal.__getitem__, ids)), self.decode(ids), spans.astype("<i8").tobytes()
 
+    @cached_property
+    def tables(self) -> Tables:
+        return Tables(self)
+
+    def digest_texts(self, texts: pa.Array) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """digest_spans() of each text, all in UTF-8."""
+        size = np.cumsum(np.concatenate(([0], pc.binary_length(texts).to_numpy(zero_copy_only=False))))
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(size, size[a] + TOGETHER, "right")) - 1)
+            yield from self._digest_together(texts.slice(a, b - a))
+            a = b
+
+    def _digest_together(self, texts: pa.Array) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        # here a mark is a space: texts with marks of their own are walked, and so are all by other models
+        own = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False) if self.plain else np.ones(len(texts), bool)
+        empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
+        if self.plain:
+            some = self.tables.digest_texts(texts.filter(pa.array(~own & ~empty)))
+        for k in range(len(texts)):
+            if empty[k]:
+                yield 0, b"", b"", b""
+            elif own[k]:
+                n, ids, decoded, spans = self.digest_spans(texts[k].as_py())
+                yield n, ids.encode(), decoded.encode(), spans
+            else:
+                yield next(some)
+
     def _word(self, word: str) -> bytes:
         """What _part() gives of a word's parts. Kept by generation: when the newer one is full it becomes the older."""
         got = self.older.get(word)
@@ -311,6 +348,143 @@ class Codec:
         return got
 
 
+class Tables:
+    """A codec as arrays, to encode many texts at once. Symbols are numbers: a piece's id, then characters that are no piece, last all unknown ones."""
+
+    def __init__(self, codec: Codec):
+        self.codec, self.n = codec, len(codec.pieces)
+        number = dict(codec.ids)
+        for c in sorted({c for p in codec.ids for c in p} - number.keys()):
+            number[c] = self.n + len(number) - len(codec.ids)
+        self.number, self.base = number, self.n + len(number) - len(codec.ids) + 1
+        self.of_char = np.full(0x110000, self.base - 1, np.int32)
+        for c, k in number.items():
+            if len(c) == 1:
+                self.of_char[ord(c)] = k
+        pairs = {(number[p[k]], number[p[k + 1]]): -1 for p in codec.ids for k in range(len(p) - 1)}
+        pairs |= {(number[p[:k]], number[p[k:]]): i for p, i in codec.ids.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number}
+        self.pairs = pd.Index(np.array([a * self.base + b for a, b in pairs], np.int64))
+        #: What two symbols merge to; -1: nothing, but some piece has them side by side; -2, last: neither.
+        self.merged = np.array([*pairs.values(), -2], np.int32)
+        places = {r: k for k, r in enumerate(sorted(set(codec.rank.values())))}
+        self.none = len(places)
+        #: A piece's place in the order of merges; the last two are those of -2 and -1.
+        self.rank = np.full(self.n + 2, self.none, np.int64)
+        for p, i in codec.ids.items():
+            self.rank[i] = places[codec.rank[p]]
+        self.of_byte = np.array([codec.bytes[k] for k in range(256)], np.int32)
+        self.decimal = pa.array([f"{d},".encode() for d in codec.decimal], pa.large_binary())
+        self.raws = pa.array(codec.raws, pa.large_binary())
+
+    def _meet(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return self.merged[self.pairs.get_indexer(left * np.int64(self.base) + right)]
+
+    def merge(self, symbols: np.ndarray, ends: np.ndarray, text: str) -> np.ndarray:
+        """For each character of units of text that end at `ends`: the symbol that begins there after all merges, or -1."""
+        out, n = np.full(len(symbols), -1, np.int32), len(symbols)
+        to = np.full(n, -2, np.int32)
+        to[:-1] = self._meet(symbols[:-1], symbols[1:])
+        to[ends - 1] = -2
+        cuts = np.flatnonzero(to == -2) + 1
+        size = np.diff(cuts, prepend=0)
+        if (long := np.flatnonzero(size > LONG)).size:
+            for k in long:
+                at = cuts[k] - size[k]
+                for s in self.codec._merge_long(text[at : cuts[k]]):
+                    out[at] = self.number.get(s, self.base - 1)
+                    at += len(s)
+            to[np.repeat(size > LONG, size)] = -3
+        at = np.flatnonzero(to != -3)
+        size, symbols, to = size[size <= LONG], symbols[at], to[at]
+        while len(size):
+            starts = np.cumsum(size) - size
+            best = np.minimum.reduceat(self.rank[to] << 32 | np.arange(len(to)), starts)
+            live = best >> 32 < self.none
+            keep = np.repeat(live, size)
+            out[at[~keep]] = symbols[~keep]
+            where, gone = best[live] & 0xFFFFFFFF, np.cumsum(np.where(live, 1, size))[live] - 1
+            symbols[where] = to[where]
+            keep[where + 1] = False
+            at, symbols, to, size = at[keep], symbols[keep], to[keep], size[live] - 1
+            where -= gone
+            ends = np.cumsum(size)
+            has = where + 1 < ends
+            to[where] = -1
+            a = where[has]
+            to[a] = self._meet(symbols[a], symbols[a + 1])
+            a = where[where > ends - size] - 1
+            to[a] = self._meet(symbols[a], symbols[a + 1])
+        return out
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, each after a mark; the original bytes each id ends (0 for all but a character's last byte); ids of each word."""
+        text = MARK + MARK.join(words)
+        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        found = self.merge(self.of_char[chars], ends, text)
+        at = np.flatnonzero(found >= 0)
+        ids = found[at]
+        raw = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
+        size = np.add.reduceat(np.where(chars == ord(MARK), 1, raw), at)
+        bounds = np.searchsorted(at, ends)
+        if (ids >= self.n).any():  # characters that are no piece: their bytes
+            times = np.where(ids < self.n, 1, raw[at])
+            last = np.cumsum(times)
+            from_byte = np.repeat(ids >= self.n, times)
+            place = np.repeat((np.cumsum(raw) - raw)[at] - last + times, times) + np.arange(last[-1])
+            ids, whole = np.repeat(ids, times), size
+            ids[from_byte] = self.of_byte[np.frombuffer(text.encode(), np.uint8)[place[from_byte]]]
+            size = np.zeros(len(ids), np.int64)
+            size[last - 1] = whole
+            bounds = last[bounds - 1]
+        return ids, size, np.diff(bounds, prepend=0)
+
+    def digest_texts(self, texts: pa.Array) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """Codec.digest_spans() of texts that are not empty and have no marks, in UTF-8."""
+        if not len(texts):
+            return
+        # of a run of spaces the first one cuts, the others stay with what follows, as do all before the first word
+        runs = pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " "))
+        if pc.any(runs).as_py():
+            texts = pc.if_else(runs, pc.replace_substring_regex(pc.replace_substring(texts, " ", MARK), f"([^{MARK}]){MARK}", r"\1 "), texts)
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten().dictionary_encode()
+        ids, size, counts = self.encode_words(words.dictionary.to_pylist())
+        code, first, last, a, k = words.indices.to_numpy(), np.cumsum(counts) - counts, np.cumsum(pc.list_value_length(split).to_numpy()), 0, 0
+        while k < len(last):  # of some texts at a time what their words say
+            to = max(k + 1, int(np.searchsorted(last, a + WORDS, "right")))
+            some = code[a : last[to - 1]]
+            many = counts[some]
+            ends = np.cumsum(many)
+            take = np.repeat(first[some] - ends + many, many) + np.arange(ends[-1])
+            yield from self._digests(ids[take], size[take], np.concatenate(([0], ends[last[k:to] - a - 1])))
+            a, k = last[to - 1], to
+
+    def _digests(self, ids: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """digest_texts() from the ids of texts one after another, the original bytes each id ends, and where texts begin and end."""
+        ends, per = np.cumsum(size), np.diff(bounds)
+        ends -= np.repeat(np.concatenate(([0], ends[bounds[1:-1] - 1])) + 1, per)  # the dummy stands for no byte
+        starts = np.maximum(ends - size, 0)
+        if not size.all():  # all bytes of a character share its span
+            whole = np.flatnonzero(size)
+            at = whole[np.searchsorted(whole, np.arange(len(size)))]
+            starts, ends = starts[at], ends[at]
+        spans = memoryview(np.column_stack((starts, ends)).astype("<i8", copy=False)).cast("B")
+        joined, decoded = (self._joined(table, ids, bounds) for table in (self.decimal, self.raws))
+        for k, n in enumerate(per.tolist()):
+            text = str(next(decoded), "utf-8", "replace")
+            yield n, next(joined)[:-1], text.removeprefix(" ").encode(), spans[16 * bounds[k] : 16 * bounds[k + 1]]
+
+    @staticmethod
+    def _joined(table: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> Iterator[memoryview]:
+        """What the table has for the ids of each text, joined."""
+        got = table.take(pa.array(ids))
+        _, places, data = got.buffers()
+        at, data = np.frombuffer(places, np.int64)[bounds].tolist(), memoryview(data)
+        for a, b in zip(at, at[1:], strict=False):
+            yield data[a:b]
+
+
 @lru_cache(maxsize=1)
 def codec_of(data: bytes) -> Codec:
     """One codec for a worker process: what it keeps serves all tasks that the process runs."""
@@ -339,9 +513,8 @@ def encode_documents(docs: DataFrame, model: str, spans: bool = False) -> DataFr
         codec, sha = codec_of(data.value), lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             sizes, ids, decoded, places = [], [], [], []
-            for t in batch.column("text").to_pylist():
-                n, i, d, p = codec.digest_spans(t)
-                sizes.append(n), ids.append(sha(i.encode())), decoded.append(sha(d.encode("utf-8", "surrogateescape"))), places.append(sha(p))
+            for n, i, d, p in codec.digest_texts(batch.column("text")):
+                sizes.append(n), ids.append(sha(i)), decoded.append(sha(d)), places.append(sha(p))
             columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(sizes, pa.int64())} | {k: pa.array(v, pa.string()) for k, v in (("ids_sha256", ids), ("decoded_sha256", decoded), ("spans_sha256", places))}
             if not spans:
                 del columns["spans_sha256"]
