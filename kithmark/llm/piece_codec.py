@@ -22,7 +22,6 @@ from itertools import accumulate
 from operator import add
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +32,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words whose ids a worker keeps at most in each of two generations, and as many parts of words.
 KEPT = 160_000
 #: Bytes of text whose words meet at once, one text at least.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 #: Words whose ids are laid out as texts at once, one text at least.
-WORDS = 1 << 16
+WORDS = 1 << 14
 #: Characters of a part from which its merges are made by a heap.
 LONG = 256
 
@@ -361,11 +360,12 @@ class Tables:
         for c, k in number.items():
             if len(c) == 1:
                 self.of_char[ord(c)] = k
-        pairs = {(number[p[k]], number[p[k + 1]]): -1 for p in codec.ids for k in range(len(p) - 1)}
-        pairs |= {(number[p[:k]], number[p[k:]]): i for p, i in codec.ids.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number}
-        self.pairs = pd.Index(np.array([a * self.base + b for a, b in pairs], np.int64))
-        #: What two symbols merge to; -1: nothing, but some piece has them side by side; -2, last: neither.
-        self.merged = np.array([*pairs.values(), -2], np.int32)
+        pairs = {number[p[k]] * self.base + number[p[k + 1]]: -1 for p in codec.ids for k in range(len(p) - 1)}
+        pairs |= {number[p[:k]] * self.base + number[p[k:]]: i for p, i in codec.ids.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number}
+        pairs[self.base**2] = -2  # behind all pairs
+        self.pairs = np.array(sorted(pairs), np.int64)
+        #: What two symbols merge to; -1: nothing, but some piece has them side by side.
+        self.merged = np.array([pairs[x] for x in self.pairs.tolist()], np.int32)
         places = {r: k for k, r in enumerate(sorted(set(codec.rank.values())))}
         self.none = len(places)
         #: A piece's place in the order of merges; the last two are those of -2 and -1.
@@ -377,7 +377,10 @@ class Tables:
         self.raws = pa.array(codec.raws, pa.large_binary())
 
     def _meet(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        return self.merged[self.pairs.get_indexer(left * np.int64(self.base) + right)]
+        """What pairs of symbols merge to, -1 or, where no piece has them side by side, -2."""
+        pair = left * np.int64(self.base) + right
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.merged[at], np.int32(-2))
 
     def merge(self, symbols: np.ndarray, ends: np.ndarray, text: str) -> np.ndarray:
         """For each character of units of text that end at `ends`: the symbol that begins there after all merges, or -1."""
