@@ -24,4 +24,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df by way of Parquet: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/kithmark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() returned and nothing reads any more: what came of them has been written, too."""
+    for table in tables:
+        there = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        there.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(there, True)

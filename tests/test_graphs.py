@@ -56,6 +56,34 @@ def test_neighbours_of_unequal_lengths_and_repeated_ids(spark):
     assert cells.neighbours(rows.limit(0), 4).count() == 0
 
 
+def on_disk(spark):
+    return sum(f.length() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()))
+
+
+@pytest.mark.parametrize("find", [lambda v: cells.neighbours(v, 5, 30), lambda v: cells.close_pairs(v, 0.3, 30)])
+def test_shuffles_grow_with_the_vectors_not_with_the_pairs_of_cells(spark, find):
+    x = np.random.default_rng(5).normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)  # no clusters: nearly all cells meet
+    vectors = frame(spark, x)
+    before = on_disk(spark)
+    assert find(vectors).count() > 1500
+    assert on_disk(spark) - before < 4 * x.nbytes
+
+
+def test_neighbours_of_floats_copies_and_odd_numbers(spark):
+    x = np.random.default_rng(6).normal(size=(200, 8)).astype(np.float32)
+    x[50:100] = x[0]  # one vector many times
+    x[100], x[101], x[102], x[103, 0] = 1e-30, 1e12, 0, np.nan
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>")
+    with np.errstate(invalid="ignore"):
+        sims = np.round(x.astype(np.float64) @ x.astype(np.float64).T, cells.DIGITS)
+    np.fill_diagonal(sims, -np.inf)
+    sims[~np.isfinite(sims)] = -np.inf
+    want = {(i, r + 1): j for i in range(200) for r, j in enumerate(np.argsort(-sims[i], kind="stable")[:4]) if np.isfinite(sims[i, j])}
+    for cell in (1024, 15):
+        assert {(r.src, r["rank"]): r.dst for r in cells.neighbours(rows, 4, cell).collect()} == want
+
+
 @pytest.mark.parametrize("cell", [1024, 30])
 def test_close_pairs_match_brute_force(spark, cell):
     x = clustered(300)
