@@ -1,8 +1,9 @@
 """Asynchronous label propagation: each node in turn takes the label of most weight around it.
 
-The order of a sweep is that of the nodes' hashes. A node's turn depends on its neighbours alone: it can be taken as soon as those
-of them that come earlier in the sweep have had theirs, so all nodes that are ready take their turns in one join. Labels are the same as if
-they had come one by one.
+The order of a sweep is that of the nodes' hashes. A node's turn depends on its neighbours alone: on the labels that those have after
+this sweep who come earlier in it, and that the others have after the sweep before. So all turns of a sweep are taken in one join on what is
+known so far, and those again for which an earlier neighbour's label has turned out otherwise, until none has. Labels are the same as if
+the nodes had come one by one: whoever comes first is right at once, and others as soon as those before them are.
 """
 
 from __future__ import annotations
@@ -11,14 +12,16 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..plans.storage import written
+from ..plans.storage import discard, written
 from .graph import components
 
-#: Edges up to which a component's turns are taken in one task, one by one; of larger ones all ready nodes in one join. Both give the same.
+#: Edges up to which a component's turns are taken in one task, one by one; of larger ones all turns of a sweep in joins. Both give the same.
 ALONE = 200_000
+#: Nodes that are sent to all tasks at once at most.
+FEW = 1_000_000
 TIE = 1e-12
 
 
@@ -51,31 +54,45 @@ def _one_by_one(iterations: int, seed: int):
     return run
 
 
-def by_readiness(edges: DataFrame, iterations: int, seed: int) -> DataFrame:
-    """id, label of the ends of edges (src, dst, w): in each step all nodes whose earlier neighbours have had their turn."""
-    both = written(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "w").unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v"), "w")), "whispering")
-    labels = written(both.select(F.col("u").alias("id")).distinct().withColumn("label", F.col("id")), "whispers")
+def by_changes(edges: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """id, label of the ends of edges (src, dst, w): each sweep's turns at once, then again those that a change concerns, until nothing changes.
+
+    In the sweeps after the first a turn is taken only if a neighbour's label isn't what it was at the node's turn before.
+    """
+    ends = F.explode(F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")), F.struct(F.col("dst").alias("u"), F.col("src").alias("v"))))
+    both = written(edges.select(ends.alias("e"), "w").select("e.u", "e.v", "w"), "whispering")
+    none, total = F.lit(False), both.count()
+    state = written(both.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("near")).select("id", "near", F.col("id").alias("old"), F.col("id").alias("now"), none.alias("fresh")), "whispers")
+    kept, due = state, None  # whose turn it is, everyone's if none are named
     for sweep in range(iterations):
-        start = labels
         earlier = F.struct(turn(seed, sweep, "v"), "v") < F.struct(turn(seed, sweep, "u"), "u")
-        waits = written(both.filter(earlier).select("u", "v"), "waits")  # u's turn comes after v's
+
+        def beside(moved: DataFrame, when: Column, n: int) -> DataFrame | None:
+            """Nodes with a neighbour among the moved, who have n neighbours, that comes when asked for."""
+            of = both.select("u", "v").join(moved.select(F.col("id").alias("v")), "v").filter(when).select("u").distinct()
+            return F.broadcast(of) if n <= FEW else of if n < total / 4 else None
+
         while True:
-            # `left` holds who waits for whom; a node that waits for none, and hasn't had its turn, is ready.
-            waiting = waits.select(F.col("u").alias("id")).distinct()
-            pending = labels if start is labels else labels.filter("NOT done")
-            ready = pending.select("id").join(waiting, "id", "left_anti")
-            votes = both.join(ready.withColumnRenamed("id", "u"), "u").join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy("u", "label").agg(F.sum("w").alias("w"))
+            rows = both if due is None else both.join(due, "u")
+            seen = rows.join(state.select(F.col("id").alias("v"), "old", "now"), "v").select("u", F.when(earlier, F.col("now")).otherwise(F.col("old")).alias("label"), "w")
+            votes = seen.repartition("u").groupBy("u", "label").agg(F.sum("w").alias("w"))  # both sums over one shuffle
             best = votes.groupBy("u").agg(F.max("w").alias("top"), F.collect_list(F.struct("label", "w")).alias("all"))
             new = best.select(F.col("u").alias("id"), F.array_min(F.transform(F.filter("all", lambda x: x["w"] >= F.col("top") - TIE), lambda x: x["label"])).alias("new"))
-            done = F.lit(False) if start is labels else F.col("done")
-            labels = written(labels.withColumn("done", done).join(new, "id", "left").select("id", F.coalesce("new", "label").alias("label"), (F.col("done") | F.col("new").isNotNull()).alias("done")), "whispers")
-            if waits.isEmpty():
+            new = state.join(new, "id", "left").select("id", "near", "old", F.coalesce("new", "now").alias("now"), F.coalesce(F.col("new") != F.col("now"), none).alias("fresh"))
+            counts, near = Observation(), lambda c: F.coalesce(F.sum(F.when(c, F.col("near"))), F.lit(0))
+            state = written(new.observe(counts, near(F.col("fresh")).alias("fresh"), near(F.col("old") != F.col("now")).alias("moved")), "whispers")
+            discard(kept)
+            kept = state
+            if not (n := counts.get["fresh"]):
                 break
-            waits = written(waits.join(labels.filter("done").select(F.col("id").alias("v")), "v", "left_anti").select("u", "v"), "waits")
-        labels = labels.select("id", "label")
-        if labels.join(start.select("id", F.col("label").alias("old")), "id").filter("label <> old").isEmpty():
+            due = beside(state.filter("fresh"), earlier, n)
+        if not (n := counts.get["moved"]):  # no later order can change anything
             break
-    return labels
+        # Who came before a neighbour that then changed has seen what it was.
+        due = beside(state.filter("old <> now"), ~earlier, n)
+        state = state.select("id", "near", F.col("now").alias("old"), "now", none.alias("fresh"))
+    discard(both)
+    return kept.select("id", F.col("now").alias("label"))
 
 
 def chinese_whispers(ids: DataFrame, edges: DataFrame, iterations: int = 30, seed: int = 42, alone: int = ALONE) -> DataFrame:
@@ -90,5 +107,5 @@ def chinese_whispers(ids: DataFrame, edges: DataFrame, iterations: int = 30, see
     large = written(sizes.filter(F.col("n") > alone).select("component"), "large-components")
     got = rows.join(large, "component", "left_anti").groupBy("component").applyInPandas(_one_by_one(iterations, seed), "id long, label long")
     if not large.isEmpty():
-        got = got.unionByName(by_readiness(rows.join(large, "component", "left_semi"), iterations, seed))
+        got = got.unionByName(by_changes(rows.join(large, "component", "left_semi"), iterations, seed))
     return ids.select("id").join(got, "id", "left").select("id", F.coalesce("label", "id").alias("label"))

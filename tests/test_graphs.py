@@ -224,3 +224,15 @@ def test_rounding_takes_the_exact_value(spark):
     for r in got:
         assert r.one == f"{r.v:.1f}" and r.four == round(r.s, 4)
         assert r.rate == (f"{r.v:.1f}/s" if r.v >= 1 else f"{r.v * 60:.1f}/min" if r.v > 0 else "0/s")
+
+
+def test_whispers_take_the_turns_of_a_sweep_in_few_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = sorted({tuple(sorted(rng.sample(range(150), 2))) for _ in range(900)})
+    edges = [(a, b, rng.choice([0.5, 0.75, 1.0])) for a, b in edges]
+    rounds, put = [], whispers.written
+    monkeypatch.setattr(whispers, "written", lambda df, name: rounds.append(name) or put(df, name))
+    got = whispers.chinese_whispers(spark.range(150), spark.createDataFrame(edges, "src long, dst long, w double"), 4, 3, 0)
+    want = plain_whispers(edges, 4, 3)
+    assert {r.id: r.label for r in got.collect()} == {i: want.get(i, i) for i in range(150)}
+    assert len(rounds) < 40
