@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import functools
+import itertools
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +23,8 @@ class Page(InputPartition):
 class PagedSource(DataSource):
     """A service that answers (offset, limit) with JSON rows; each partition reads one range of pages until one is short.
 
-    Options: fetch (module:function of (offset, limit, options) -> list of dicts), total (about how many rows there are: the last partition reads on until a page is short), page_size, pages (of a partition).
+    Options: fetch (module:function of (offset, limit, options) -> list of dicts), total (about how many rows there are), page_size, pages (of a partition).
+    If there are rows beyond `total`, pages at growing distances are asked for until one is empty, so that what lies between is read side by side, too. The last partition reads on until a page is short.
     """
 
     @classmethod
@@ -35,19 +39,38 @@ class PagedSource(DataSource):
 
 
 class PagedReader(DataSourceReader):
+    #: Partitions of the rows beyond the total, about: a partition has as many pages more as there are more rows.
+    BEYOND = 256
+
     def __init__(self, options: dict):
         self.options = options
+        self.size = int(options.get("page_size", 500))
 
-    def partitions(self) -> list[Page]:
-        span = int(self.options.get("page_size", 500)) * int(self.options.get("pages", 20))
-        starts = range(0, max(1, int(self.options["total"])), span)
-        return [Page(at, span if at != starts[-1] else 1 << 62) for at in starts]
-
-    def read(self, partition: Page) -> Iterator[tuple[str]]:
+    def fetch(self) -> Callable[[int, int, dict], list[dict]]:
         import importlib
 
         module, _, name = self.options["fetch"].partition(":")
-        fetch, size = getattr(importlib.import_module(module), name), int(self.options.get("page_size", 500))
+        return getattr(importlib.import_module(module), name)
+
+    def partitions(self) -> list[Page]:
+        span = self.size * int(self.options.get("pages", 20))
+        total, fetch = max(1, int(self.options["total"])), self.fetch()
+        known = len(range(0, total, span)) * span  # where the ranges end that the total asks for
+        some = lambda pages: bool(fetch(known + pages * self.size, self.size, self.options))
+        low, high = 0, 1  # pages after the known ones; the page at `low` was seen, the one at `high` is empty at last
+        if not some(0):
+            high = 0
+        while high and some(high):
+            low, high = high, 2 * high
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if some(middle) else (low, middle)
+        wide = span * max(1, -(-high * self.size // (span * self.BEYOND)))
+        starts = [(at, span) for at in range(0, known, span)] + [(at, wide) for at in range(known, known + high * self.size, wide)]
+        return [Page(at, n if i < len(starts) - 1 else 1 << 62) for i, (at, n) in enumerate(starts)]
+
+    def read(self, partition: Page) -> Iterator[tuple[str]]:
+        fetch, size = self.fetch(), self.size
         for at in range(partition.offset, partition.offset + partition.limit, size):
             rows = fetch(at, size, self.options)
             yield from ((json.dumps(r),) for r in rows)
@@ -55,13 +78,44 @@ class PagedReader(DataSourceReader):
                 return
 
 
-def table_page(offset: int, limit: int, options: dict) -> list[dict]:
-    """Rows `offset` to `offset + limit` of a Parquet table (option `table`, columns in `columns`), as a service over it would answer."""
+@functools.lru_cache(maxsize=4)
+def _groups(table: str, changed: str) -> tuple[list, list[int]]:
+    """A Parquet table's groups of rows, in order, and where each ends."""
     from pyarrow import dataset
 
-    rows = dataset.dataset(options["table"], format="parquet")
-    n = rows.count_rows()
-    return rows.take(list(range(min(offset, n), min(offset + limit, n))), columns=options["columns"].split(",")).to_pylist()
+    groups = [g for f in dataset.dataset(table, format="parquet").get_fragments() for g in f.split_by_row_group()]
+    return groups, list(itertools.accumulate(g.row_groups[0].num_rows for g in groups))
+
+
+@functools.lru_cache(maxsize=2)
+def _group(table: str, changed: str, i: int, columns: str):
+    return _groups(table, changed)[0][i].to_table(columns=columns.split(","))
+
+
+def _state(table: str) -> str:
+    """Names, sizes and times of a table's files: what was read of it is kept as long as these are the same."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(table) if "://" in table else (fs.LocalFileSystem(), table)
+    found = system.get_file_info(path)
+    found = [found] if found.is_file else system.get_file_info(fs.FileSelector(path, recursive=True))
+    return str([(f.path, f.size, f.mtime_ns) for f in found])
+
+
+def table_page(offset: int, limit: int, options: dict) -> list[dict]:
+    """Rows `offset` to `offset + limit` of a Parquet table (option `table`, columns in `columns`), as a service over it would answer.
+
+    A page reads the groups of rows that it lies in, and pages side by side share them.
+    """
+    table, changed = options["table"], _state(options["table"])
+    ends, out = _groups(table, changed)[1], []
+    for i in range(bisect.bisect_right(ends, offset), len(ends)):
+        start = ends[i - 1] if i else 0
+        if start >= offset + limit:
+            break
+        at = max(offset - start, 0)
+        out += _group(table, changed, i, options["columns"]).slice(at, offset + limit - start - at).to_pylist()
+    return out
 
 
 def items(lines: DataFrame, space: str) -> DataFrame:

@@ -259,6 +259,28 @@ def test_paged_source_reads_every_page_once(spark):
         assert sorted(ids) == list(range(1234))
 
 
+def test_paged_source_reads_rows_beyond_the_total_side_by_side():
+    for rows in (0, 1, 99, 100, 101, 1234, 40_000, 100_000):
+        fetch = lambda at, limit, options, rows=rows: [{"id": i} for i in range(at, min(at + limit, rows))]
+        reader = readers.PagedReader({"total": "120", "page_size": "100", "pages": "1"})
+        reader.fetch = lambda fetch=fetch: fetch
+        found = [[json.loads(v)["id"] for (v,) in reader.read(p)] for p in reader.partitions()]
+        assert sorted(x for part in found for x in part) == list(range(rows))
+        assert max(map(len, found)) <= max(200, rows // 50) and len(found) <= 2 + 2 * readers.PagedReader.BEYOND
+
+
+def test_pages_of_a_table_read_only_the_rows_around_them(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for part in range(2):
+        pq.write_table(pa.table({"a": range(part * 100, part * 100 + 100), "b": ["x"] * 100}), tmp_path / f"part-{part}.parquet", row_group_size=30)
+    page = lambda at, n: [r["a"] for r in readers.table_page(at, n, {"table": str(tmp_path), "columns": "a"})]
+    readers._group.cache_clear()
+    assert page(25, 10) == list(range(25, 35)) and readers._group.cache_info().misses == 2
+    assert page(95, 10) == list(range(95, 105)) and page(195, 10) == list(range(195, 200)) and page(200, 10) == []
+
+
 def test_upsert_and_vanish(spark):
     old = spark.createDataFrame([("a", 1, "x", "h1", 0), ("a", 2, "y", "h2", 1)], "space string, id long, name string, sha string, deleted long")
     new = spark.createDataFrame([("a", 2, "z"), ("a", 3, "n")], "space string, id long, name string")
