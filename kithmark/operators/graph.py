@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..plans.storage import written
+from ..plans.storage import discard, written
 from .ids import consecutive
 
 
@@ -41,28 +41,32 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
+    kept = labels
     while True:
         seen = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("m"))
         hooked = labels.join(seen, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("component"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
         now = hooked.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("further", "component")).alias("component"))
         now = written(now, "labels")
-        labels = now.select("id", "component")
+        discard(kept)
+        labels, kept = now.select("id", "component"), now
         if now.filter("old <> component").isEmpty():
+            discard(both)
             return labels
 
 
 def spread_once(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """One synchronous round: each id takes the label of most weight around it, the smallest of equals; alone it keeps its own."""
     both = edges.select("src", "dst", "w").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    votes = both.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.round(F.sum("w"), 9).alias("w"))
+    seen = both.join(labels.select(F.col("id").alias("dst"), "label"), "dst").select(F.col("src").alias("id"), "label", "w")
+    votes = seen.repartition("id").groupBy("id", "label").agg(F.round(F.sum("w"), 9).alias("w"))  # both sums over one shuffle
     best = votes.groupBy("id").agg(F.max(F.struct("w", (-F.col("label")).alias("n"))).alias("b")).select("id", (-F.col("b.n")).alias("new"))
     return labels.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label"))
 
 
 def spread_labels(ids: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     """Synchronous label propagation from labels = ids."""
-    labels = ids.select("id", F.col("id").alias("label"))
+    labels, edges = ids.select("id", F.col("id").alias("label")), written(edges, "spread-edges")
     for _ in range(rounds):
         labels = written(spread_once(labels, edges), "spread")
     return labels

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kithmark.functions import scalar as S
-from kithmark.operators import cells, density, whispers
+from kithmark.operators import cells, density, graph, whispers
 
 
 def frame(spark, x, first=0):
@@ -236,3 +236,20 @@ def test_whispers_take_the_turns_of_a_sweep_in_few_rounds(spark, monkeypatch):
     want = plain_whispers(edges, 4, 3)
     assert {r.id: r.label for r in got.collect()} == {i: want.get(i, i) for i in range(150)}
     assert len(rounds) < 40
+
+
+def test_components_and_labels_leave_only_what_is_read(spark, monkeypatch):
+    left, put, drop = set(), graph.written, graph.discard
+    monkeypatch.setattr(graph, "written", lambda df, name: (found := put(df, name), left.add(found.written_to))[0])
+    monkeypatch.setattr(graph, "discard", lambda *tables: (left.difference_update(t.written_to for t in tables), drop(*tables)))
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(30)], "src long, dst long, w double")
+    assert {r.component for r in graph.components(edges).collect()} == {0} and len(left) == 1
+    used = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            used.add(batch.num_rows)
+            yield batch
+
+    once = edges.mapInArrow(counted, edges.schema)
+    assert graph.spread_labels(spark.range(31), once, 3).count() == 31 and used.value == 30  # edges are made once for all rounds
