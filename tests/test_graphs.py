@@ -65,9 +65,13 @@ def test_shuffles_grow_with_the_vectors_not_with_the_pairs_of_cells(spark, find)
     x = np.random.default_rng(5).normal(size=(1500, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)  # no clusters: nearly all cells meet
     vectors = frame(spark, x)
-    before = on_disk(spark)
-    assert find(vectors).count() > 1500
-    assert on_disk(spark) - before < 4 * x.nbytes
+    before, threshold = on_disk(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for larger cells
+    try:
+        assert find(vectors).count() > 1500
+        assert on_disk(spark) - before < 4 * x.nbytes
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def test_neighbours_of_floats_copies_and_odd_numbers(spark):
